@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["flow_queries"]
+MODULES = ["flow_queries", "metric_queries", "alert_queries"]
 
 
 def load():
