@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions.labels import label
 from netweir.functions.timing import bucket_start, floor_div, grid_time, micros
-from netweir.operators.ordered import carry_last, overlapping_chunks, runs, with_neighbor
+from netweir.operators.ordered import carry, overlapping_chunks, run_bounds, runs, with_neighbors
 
 MICRO = 1_000_000
 CHUNK = 512
@@ -228,24 +228,24 @@ def notifications(
             F.min(F.col("repeat_s") if repeat is None else repeat).alias("repeat_s"),
         )
     )
-    sessions = runs(steps, by, "k", CHUNK)
-    joined = steps.join(
-        sessions.select(*by, F.col("first").alias("k"), F.col("first").alias("start_k"), "last"), [*by, "k"], "left"
+    # Only steps with a change and the last steps of a session matter from here on.
+    bounds = run_bounds(steps, by, "k", CHUNK).where("changed = 1 OR starts_run OR ends_run")
+    marked = bounds.withColumn("_start", F.when(F.col("starts_run"), F.col("k"))).withColumn(
+        "_end", F.when(F.col("ends_run"), F.col("k"))
     )
-    session = F.when(F.col("start_k").isNotNull(), F.struct("start_k", "last"))
-    marked = joined.where((F.col("changed") == 1) | F.col("start_k").isNotNull()).withColumn("_mark", session)
-    placed = carry_last(marked, by, "k", "_mark", "session", CHUNK)
-    start_us = F.col("session.start_k") * width + wait_s * MICRO
+    placed = carry(marked, by, "k", "_start", "start_k", CHUNK)
+    placed = carry(placed, by, "k", "_end", "last_k", CHUNK, back=True).where(F.col("changed") == 1)
+    start_us = F.col("start_k") * width + wait_s * MICRO
     late_us = F.greatest(F.col("k") * width - start_us, F.lit(0))
     every = interval_s * MICRO
     ticks = (
         placed.withColumn("tick", start_us + F.ceil(late_us / F.lit(every)).cast("long") * every)
-        .withColumn("end_us", (F.col("session.last") + 1) * width)
+        .withColumn("end_us", (F.col("last_k") + 1) * width)
         .where(F.col("tick") < F.col("end_us"))
         .groupBy(*by, "tick", "end_us")
         .agg(F.min("repeat_s").alias("repeat_s"))
     )
-    chained = with_neighbor(ticks, by, "tick", {"tick": "next_tick"}, CHUNK * width, ahead=True)
+    chained = with_neighbors(ticks, by, "tick", CHUNK * width, after={"tick": "next_tick"})
     again = (F.ceil(F.col("repeat_s") / F.lit(interval_s)) * interval_s).cast("long") * MICRO
     until = F.least(F.col("end_us"), F.coalesce("next_tick", "end_us")) - 1
     return chained.select(

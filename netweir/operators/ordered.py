@@ -1,55 +1,80 @@
 """Row-to-neighbour operators that do not put a whole key into one task.
 
 A plain ``lag`` needs all rows of a key in one place. Here the rows of a key are cut
-into chunks of the ordering value; neighbours inside a chunk come from a window over
-(key, chunk), and only one edge row per chunk travels on to link the chunks.
+into chunks of the ordering value. Neighbours inside a chunk come from a window over
+(key, chunk); only the first and the last row of each chunk meet in a second window
+that links the chunks. Every operator reads its input once, so chains of them stay
+linear in the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweir.functions.timing import floor_div
 
 
-def with_neighbor(
+def _pack(columns: dict[str, str]) -> Column:
+    return F.struct(*[F.col(source).alias(out) for source, out in columns.items()])
+
+
+def with_neighbors(
     df: DataFrame,
     keys: list[str],
     order: str,
-    columns: dict[str, str],
     chunk: int,
-    ahead: bool = False,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
     ties: list[str] | None = None,
 ) -> DataFrame:
-    """Add the values of the previous row (or the next, with ``ahead``) of the same key.
+    """Add values of the previous (``before``) and next (``after``) row of the same key.
 
-    ``order`` is a BIGINT column, ``chunk`` the number of its units per chunk and
-    ``columns`` maps source column to output column. NULL where there is no neighbour.
+    ``order`` is a BIGINT column, ``chunk`` the number of its units per chunk; the dicts
+    map source column to output column. NULL where there is no neighbour.
     """
-    way = (lambda c: F.col(c).desc()) if ahead else (lambda c: F.col(c).asc())
-    ordering = [way(c) for c in [order, *(ties or [])]]
+    before, after = before or {}, after or {}
+    ordering = [order, *(ties or [])]
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
-    packed = F.struct(*[F.col(source).alias(out) for source, out in columns.items()])
-    local = (
+    rows = (
         df.withColumn("_chunk", floor_div(F.col(order), chunk))
-        .withColumn("_own", packed)
-        .withColumn("_near", F.lag("_own").over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
+        .withColumn("_edge", F.lag(F.lit(1)).over(inside).isNull() | F.lead(F.lit(1)).over(inside).isNull())
     )
-    across = Window.partitionBy(*keys).orderBy(way("_chunk"))
-    links = (
-        local.where("_last").select(*keys, "_chunk", "_own")
-        .withColumn("_far", F.lag("_own").over(across))
-        .select(*keys, "_chunk", F.col("_far"), F.lit(True).alias("_first"))
+    # Edge rows of all chunks of a key share one group, all other rows keep their chunk.
+    linked = Window.partitionBy(*keys, F.when(~F.col("_edge"), F.col("_chunk"))).orderBy(*ordering)
+    outs: list[tuple[str, Column]] = []
+    for step, columns in ((F.lag, before), (F.lead, after)):
+        if columns:
+            tag = step.__name__
+            rows = rows.withColumn(f"_own_{tag}", _pack(columns)).withColumn(
+                f"_near_{tag}", step(f"_own_{tag}").over(inside)
+            )
+    for step, columns in ((F.lag, before), (F.lead, after)):
+        if columns:
+            tag = step.__name__
+            rows = rows.withColumn(f"_far_{tag}", step(f"_own_{tag}").over(linked))
+            found = F.when(F.col(f"_near_{tag}").isNotNull(), F.col(f"_near_{tag}")).when(
+                F.col("_edge"), F.col(f"_far_{tag}")
+            )
+            outs += [(out, found.getField(out)) for out in columns.values()]
+    return rows.select(*df.columns, *[value.alias(out) for out, value in outs])
+
+
+def carry(df: DataFrame, keys: list[str], order: str, column: str, out: str, chunk: int, back: bool = False) -> DataFrame:
+    """Add the latest non-NULL ``column`` at or before each row (at or after, with ``back``)."""
+    way = F.col(order).desc() if back else F.col(order).asc()
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(way)
+    sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        df.withColumn("_chunk", floor_div(F.col(order), chunk))
+        .withColumn("_seen", F.last(column, ignorenulls=True).over(sofar))
+        .withColumn("_edge", F.lag(F.lit(1)).over(inside).isNull() | F.lead(F.lit(1)).over(inside).isNull())
     )
-    joined = local.join(links, [*keys, "_chunk", "_first"], "left")
-    near = F.coalesce("_near", "_far")
-    result = joined
-    for out in columns.values():
-        result = result.withColumn(out, near.getField(out))
-    return result.select(*df.columns, *columns.values())
+    linked = Window.partitionBy(*keys, F.when(~F.col("_edge"), F.col("_chunk"))).orderBy(way)
+    reached = F.last("_seen", ignorenulls=True).over(linked.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_reached", F.when(F.col("_edge"), reached))
+    value = F.coalesce("_seen", F.first("_reached").over(sofar))
+    return rows.withColumn(out, value).select(*df.columns, out)
 
 
 def overlapping_chunks(df: DataFrame, order: str, reach: int, chunk: int) -> DataFrame:
@@ -66,35 +91,25 @@ def overlapping_chunks(df: DataFrame, order: str, reach: int, chunk: int) -> Dat
     return df.withColumn("_chunk", F.explode(F.sequence(first, last)))
 
 
-def carry_last(df: DataFrame, keys: list[str], order: str, column: str, out: str, chunk: int) -> DataFrame:
-    """Add the latest non-NULL ``column`` at or before each row of the same key."""
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    local = (
-        df.withColumn("_chunk", floor_div(F.col(order), chunk))
-        .withColumn("_seen", F.last(column, ignorenulls=True).over(inside))
-        .withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
-    )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    links = (
-        local.where("_last").select(*keys, "_chunk", "_seen")
-        .withColumn("_carried", F.last("_seen", ignorenulls=True).over(before))
-        .select(*keys, "_chunk", "_carried")
+def run_bounds(df: DataFrame, keys: list[str], order: str, chunk: int) -> DataFrame:
+    """Add ``starts_run`` and ``ends_run`` for stretches of consecutive integers."""
+    linked = with_neighbors(df, keys, order, chunk, before={order: "_before"}, after={order: "_after"})
+    return (
+        linked.withColumn("starts_run", F.col("_before").isNull() | (F.col("_before") < F.col(order) - 1))
+        .withColumn("ends_run", F.col("_after").isNull() | (F.col("_after") > F.col(order) + 1))
+        .drop("_before", "_after")
     )
-    joined = local.join(links, [*keys, "_chunk"], "left")
-    return joined.withColumn(out, F.coalesce("_seen", "_carried")).select(*df.columns, out)
 
 
 def runs(df: DataFrame, keys: list[str], order: str, chunk: int) -> DataFrame:
     """Stretches of consecutive integers: one row ``keys, first, last`` per stretch.
 
-    ``df`` has each (key, ``order``) once. Only the first row of a stretch travels on;
-    its end is the row before the next stretch begins.
+    ``df`` has each (key, ``order``) once. Only the two ends of a stretch travel on.
     """
-    slim = df.select(*keys, order)
-    linked = with_neighbor(slim, keys, order, {order: "_previous"}, chunk)
-    starts = linked.where(F.col("_previous").isNull() | (F.col("_previous") < F.col(order) - 1))
-    paired = with_neighbor(starts, keys, order, {"_previous": "_end"}, chunk, ahead=True)
-    final = slim.groupBy(*keys).agg(F.max(order).alias("_final"))
-    return paired.join(final, keys).select(
-        *keys, F.col(order).alias("first"), F.coalesce("_end", "_final").alias("last")
+    bounds = run_bounds(df.select(*keys, order), keys, order, chunk).where("starts_run OR ends_run")
+    paired = with_neighbors(bounds, keys, order, chunk, after={order: "_end"}).where("starts_run")
+    return paired.select(
+        *keys,
+        F.col(order).alias("first"),
+        F.when(F.col("ends_run"), F.col(order)).otherwise(F.col("_end")).alias("last"),
     )

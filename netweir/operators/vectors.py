@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions.labels import equals, label, matches, series_key
 from netweir.functions.timing import floor_div, grid_time, micros
-from netweir.operators.ordered import overlapping_chunks, with_neighbor
+from netweir.operators.ordered import overlapping_chunks, with_neighbors
 
 CHUNK_PANES = 512
 MICRO = 1_000_000
@@ -178,7 +178,7 @@ def instant(samples: DataFrame, at: str, lookback_s: int = 300) -> DataFrame:
 def carry_forward(samples: DataFrame, step_s: int, chunk_s: int = 86_400) -> DataFrame:
     """Grid from the first to the last reading of each series, gaps filled from before."""
     panes = gauge_panes(samples, step_s, include_end=True).select("series_key", "k", "last_value")
-    chained = with_neighbor(panes, ["series_key"], "k", {"k": "next_k"}, max(1, chunk_s // step_s), ahead=True)
+    chained = with_neighbors(panes, ["series_key"], "k", max(1, chunk_s // step_s), after={"k": "next_k"})
     until = F.coalesce(F.col("next_k") - 1, F.col("k"))
     return chained.select(
         "series_key", F.explode(F.sequence("k", until)).alias("e"), F.col("last_value").alias("value")
@@ -188,7 +188,7 @@ def carry_forward(samples: DataFrame, step_s: int, chunk_s: int = 86_400) -> Dat
 def gaps(samples: DataFrame, interval_s: int, tolerance: int = 3, chunk_s: int = 86_400) -> DataFrame:
     """Stretches in which a series was silent for more than ``tolerance`` intervals."""
     slim = samples.select("series_key", micros(F.col("ts")).alias("us"))
-    linked = with_neighbor(slim, ["series_key"], "us", {"us": "previous_us"}, chunk_s * MICRO)
+    linked = with_neighbors(slim, ["series_key"], "us", chunk_s * MICRO, before={"us": "previous_us"})
     silent = F.col("us") - F.col("previous_us")
     return linked.where(silent > tolerance * interval_s * MICRO).select(
         "series_key",

@@ -2,7 +2,9 @@
 
 import importlib
 
-MODULES = ["flow_queries", "metric_queries", "alert_queries"]
+MODULES = [
+    "flow_queries", "metric_queries", "alert_queries", "inventory_queries", "runbook_queries", "stream_queries",
+]
 
 
 def load():

@@ -16,17 +16,20 @@ from netweir.plans.views_sql import sql
 # ------------------------------------------------------------ projections
 
 
+CANONICAL_COLUMNS = [
+    "ts", "flow_type", "exporter_ip", "in_if", "out_if", "src_ip", "dst_ip", "ip_version", "protocol", "src_port",
+    "dst_port", "tcp_flags", "bytes", "packets", "sampling_rate", "src_as", "dst_as", "next_hop", "src_vlan",
+    "dst_vlan", "direction", "exporter_site", "src_country", "in_if_speed",
+]
+
+
 @query("flow_canonical", sql("""
     SELECT ts, flow_type, exporter_ip, in_if, out_if, src_ip, dst_ip, ip_version, protocol, src_port, dst_port,
            tcp_flags, bytes, packets, sampling_rate, src_as, dst_as, next_hop, src_vlan, dst_vlan, direction,
            '' AS exporter_site, '' AS src_country, CAST(0 AS BIGINT) AS in_if_speed
     FROM v_flows"""))
 def flow_canonical(spark, sf):
-    return v.printable(v.flows(spark, sf)).select(
-        "ts", "flow_type", "exporter_ip", "in_if", "out_if", "src_ip", "dst_ip", "ip_version", "protocol",
-        "src_port", "dst_port", "tcp_flags", "bytes", "packets", "sampling_rate", "src_as", "dst_as", "next_hop",
-        "src_vlan", "dst_vlan", "direction", "exporter_site", "src_country", "in_if_speed",
-    )
+    return v.printable(v.flows(spark, sf)).select(*CANONICAL_COLUMNS)
 
 
 @query("flow_time_filter", sql("""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import time
 import traceback
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,6 +26,7 @@ def main():
     for name, fn in queries.items():
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
+        t0 = time.time()
         try:
             df = fn(spark, sf_dir)
             if name in texts:
@@ -35,7 +37,7 @@ def main():
             problem, info = f"{type(exc).__name__}: {str(exc)[:900]}", ""
             if wanted:
                 traceback.print_exc()
-        print(("ok  " if problem is None else "BAD ") + name, info, problem or "", flush=True)
+        print(f"{time.time() - t0:6.2f}", ("ok  " if problem is None else "BAD ") + name, info, problem or "", flush=True)
         if problem:
             bad.append(name)
     print("FAILED:" if bad else "all ok", bad)
