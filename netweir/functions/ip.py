@@ -43,10 +43,9 @@ def is_v4(ip: Column) -> Column:
 
 def binary_to_text(ip: Column) -> Column:
     """Dotted text for mapped IPv4, eight groups of hex digits for IPv6."""
-    low = F.conv(F.hex(F.substring(ip, 13, 4)), 16, 10).cast("long")
-    hexed = F.lower(F.hex(ip))
-    groups = F.concat_ws(":", *[F.substring(hexed, 1 + 4 * i, 4) for i in range(8)])
-    return F.when(is_v4(ip), u32_to_text(low)).when(F.octet_length(ip) == 0, "").otherwise(groups)
+    dotted = F.concat_ws(".", *[F.conv(F.hex(F.substring(ip, 13 + i, 1)), 16, 10) for i in range(4)])
+    groups = F.regexp_replace(F.lower(F.hex(ip)), "(.{4})(?=.)", "$1:")
+    return F.when(is_v4(ip), dotted).otherwise(groups)
 
 
 def mask(ip: Column, prefix_len: int) -> Column:
@@ -67,6 +66,16 @@ def mask(ip: Column, prefix_len: int) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def words(ip: Column) -> tuple[Column, Column]:
+    """A 16-byte address as two signed 64-bit halves; NULL for anything else.
+
+    Masks and keys on numbers stay in compiled code, where byte strings would be copied.
+    """
+    whole = F.octet_length(ip) == 16
+    half = lambda start: F.conv(F.hex(F.substring(ip, start, 8)), 16, -10).cast("long")
+    return F.when(whole, half(1)), F.when(whole, half(9))
+
+
 def network(ip: Column) -> Column:
     """The reporting network of an address: /24 for IPv4, /48 for IPv6."""
     return F.when(is_v4(ip), mask(ip, 96 + 24)).otherwise(mask(ip, 48))

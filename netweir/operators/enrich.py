@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweir.operators.joins import PrefixTable, longest_prefix, lookup_left
+from netweir.operators.joins import PrefixTable, fits_broadcast, longest_prefix, lookup_left, with_words
 
 
 @dataclass(frozen=True)
@@ -31,40 +31,37 @@ def _or(value: Column, default) -> Column:
     return F.coalesce(value, F.lit(default))
 
 
-def enrich_device(flows: DataFrame, device: DataFrame) -> DataFrame:
+def enrich_device(flows: DataFrame, device: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Exporter name, site, region and role by the exporter's management address."""
+    fields = {"exporter_name": "name", "exporter_site": "site", "exporter_region": "region", "exporter_role": "role"}
     dim = device.select(
         F.col("mgmt_ip").alias("exporter_ip"),
-        F.struct("name", "site", "region", "role").alias("_device"),
+        F.struct(*[_or(F.col(c), "").alias(c) for c in fields.values()]).alias("_device"),
     )
-    joined = lookup_left(flows, dim, ["exporter_ip"])
-    hit = F.col("_device").isNotNull()
-    for target, source in (
-        ("exporter_name", "name"), ("exporter_site", "site"),
-        ("exporter_region", "region"), ("exporter_role", "role"),
-    ):
-        joined = joined.withColumn(
-            target, F.when(hit, _or(F.col(f"_device.{source}"), "")).otherwise(_or(F.col(target), ""))
-        )
-    return joined.drop("_device")
+    joined = lookup_left(flows, dim, ["exporter_ip"], broadcast=broadcast)
+    return joined.withColumns(
+        {target: F.coalesce(F.col(f"_device.{source}"), F.col(target)) for target, source in fields.items()}
+    ).drop("_device")
 
 
-def enrich_interfaces(flows: DataFrame, device: DataFrame, interface: DataFrame) -> DataFrame:
+def enrich_interfaces(
+    flows: DataFrame, device: DataFrame, interface: DataFrame, broadcast: bool | None = None
+) -> DataFrame:
     """Name and speed of both interfaces; looked up only where the device is known."""
     known = interface.join(device.select("mgmt_ip"), "mgmt_ip", "left_semi")
+    if broadcast is None:
+        broadcast = fits_broadcast(known)
     result = flows
     for side in ("in_if", "out_if"):
         dim = known.select(
             F.col("mgmt_ip").alias("exporter_ip"),
             F.col("snmp_index").cast("long").alias(side),
-            F.struct("name", "speed").alias("_if"),
-        )
-        result = lookup_left(result, dim, ["exporter_ip", side])
-        result = (
-            result.withColumn(f"{side}_name", _or(F.coalesce("_if.name", f"{side}_name"), ""))
-            .withColumn(f"{side}_speed", _or(F.coalesce("_if.speed", f"{side}_speed"), 0))
-            .drop("_if")
+            F.struct(_or(F.col("name"), "").alias("name"), _or(F.col("speed"), 0).cast("long").alias("speed")).alias("_if"),
         )
+        result = lookup_left(result, dim, ["exporter_ip", side], broadcast=broadcast)
+        result = result.withColumns(
+            {f"{side}_{c}": F.coalesce(F.col(f"_if.{c}"), F.col(f"{side}_{c}")) for c in ("name", "speed")}
+        ).drop("_if")
     return result
 
 
@@ -76,13 +73,13 @@ def enrich_geo(flows: DataFrame, geo: PrefixTable, strategy: str = "auto") -> Da
             result, f"{side}_ip", geo, {"country": "_country", "city": "_city"}, strategy
         )
         empty = F.octet_length(f"{side}_ip") == 0
-        for name in ("country", "city"):
-            target = f"{side}_{name}"
-            result = result.withColumn(
-                target, F.when(empty, _or(F.col(target), "")).otherwise(_or(F.col(f"_{name}"), ""))
-            )
-        result = result.drop("_country", "_city")
-    return result
+        result = result.withColumns(
+            {
+                f"{side}_{name}": F.when(empty, F.col(f"{side}_{name}")).otherwise(_or(F.col(f"_{name}"), ""))
+                for name in ("country", "city")
+            }
+        ).drop("_country", "_city")
+    return result.drop(*_helpers(flows, result))
 
 
 def enrich_asn(flows: DataFrame, asn: PrefixTable, strategy: str = "auto") -> DataFrame:
@@ -94,12 +91,18 @@ def enrich_asn(flows: DataFrame, asn: PrefixTable, strategy: str = "auto") -> Da
         )
         empty = F.octet_length(f"{side}_ip") == 0
         number, name = f"{side}_as", f"{side}_as_name"
-        result = (
-            result.withColumn(number, F.when(F.col(number) == 0, _or(F.col("_asn"), 0)).otherwise(F.col(number)))
-            .withColumn(name, F.when(empty, _or(F.col(name), "")).otherwise(_or(F.col("_as_name"), "")))
-            .drop("_asn", "_as_name")
-        )
-    return result
+        result = result.withColumns(
+            {
+                number: F.when(F.col(number) == 0, _or(F.col("_asn"), 0)).otherwise(F.col(number)),
+                name: F.when(empty, F.col(name)).otherwise(_or(F.col("_as_name"), "")),
+            }
+        ).drop("_asn", "_as_name")
+    return result.drop(*_helpers(flows, result))
+
+
+def _helpers(before: DataFrame, after: DataFrame) -> list[str]:
+    """Address numbers this step added for itself; those of the caller stay."""
+    return [c for c in after.columns if c.startswith(("_hi_", "_lo_", "_v4_")) and c not in before.columns]
 
 
 def enrich_sites(flows: DataFrame, site_prefix: PrefixTable, strategy: str = "auto") -> DataFrame:
@@ -108,7 +111,7 @@ def enrich_sites(flows: DataFrame, site_prefix: PrefixTable, strategy: str = "au
     for side in ("src", "dst"):
         result = longest_prefix(result, f"{side}_ip", site_prefix, {"site": f"{side}_site"}, strategy)
         result = result.withColumn(f"{side}_site", _or(F.col(f"{side}_site"), ""))
-    return result
+    return result.drop(*_helpers(flows, result))
 
 
 def enrich(flows: DataFrame, dims: Dimensions, strategy: str = "auto") -> DataFrame:
@@ -119,6 +122,8 @@ def enrich(flows: DataFrame, dims: Dimensions, strategy: str = "auto") -> DataFr
         result = enrich_device(result, dims.device)
         if dims.interface is not None:
             result = enrich_interfaces(result, dims.device, dims.interface)
+    if dims.geo is not None and dims.asn is not None:
+        result = with_words(with_words(result, "src_ip"), "dst_ip")
     if dims.geo is not None:
         result = enrich_geo(result, dims.geo, strategy)
     if dims.asn is not None:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweir.functions.ip import mask
+from netweir.functions.ip import words
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a dimension from its own rows: text and binary lengths, 8 bytes else."""
+def _width(df: DataFrame) -> Column:
+    """Approximate bytes of a row: its text and binary lengths, 8 bytes per other value."""
     width = F.lit(16)
     for field in df.schema.fields:
         if field.dataType.typeName() in ("string", "binary"):
@@ -23,7 +24,12 @@ def measured_bytes(df: DataFrame) -> int:
             width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
         else:
             width = width + F.lit(8)
-    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return width.cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a dimension from its own rows."""
+    return df.agg(F.sum(_width(df))).first()[0] or 0
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -54,28 +60,61 @@ def lookup_left(
     return salted.join(spread, keys + ["_salt"], "left").drop("_salt")
 
 
+# How a prefix is keyed for a probe. MAPPED: an IPv4 prefix. TOP: an IPv6 prefix that
+# lies in the first 57 bits. Both fit one number with their length. WIDE: all others.
+MAPPED, TOP, WIDE = 4, 6, 0
+TOP_BITS = 57
+V4_BITS = 96
+
+
 @dataclass(frozen=True)
 class PrefixTable:
-    """An IP-prefix dimension: ``prefix`` (16 bytes), ``plen``, and attributes."""
+    """An IP-prefix dimension: ``hi``, ``lo`` (64-bit halves), ``plen`` and attributes."""
 
     rows: DataFrame
     attributes: tuple[str, ...]
-    lengths: tuple[int, ...]
+    kinds: tuple[tuple[int, int], ...]
     small: bool
 
     @staticmethod
-    def of(rows: DataFrame, attributes: list[str], max_bytes: int = BROADCAST_BYTES) -> PrefixTable:
-        slim = rows.select("prefix", "plen", *attributes)
-        # At most 129 different lengths exist, so this list is bounded by the data type.
-        lengths = [r[0] for r in slim.select("plen").distinct().collect()]
-        return PrefixTable(
-            slim, tuple(attributes), tuple(sorted(lengths, reverse=True)), fits_broadcast(slim, max_bytes)
-        )
-
-
-# Beyond this many lengths one lookup per length costs more than resolving each
-# distinct address once.
-CHAIN_LENGTHS = 12
+    def of(prefixes: DataFrame, attributes: list[str], max_bytes: int = BROADCAST_BYTES) -> PrefixTable:
+        """From rows ``prefix`` (16 bytes), ``plen`` and the attributes."""
+        hi, lo = words(F.col("prefix"))
+        rows = prefixes.select(hi.alias("hi"), lo.alias("lo"), F.col("plen").cast("int"), *attributes)
+        mapped = (F.col("hi") == 0) & (F.shiftrightunsigned("lo", 32) == 0xFFFF) & (F.col("plen") >= V4_BITS)
+        kind = F.when(mapped, MAPPED).when((F.col("plen") <= TOP_BITS) & (F.col("hi") != 0), TOP).otherwise(WIDE)
+        rows = rows.withColumn("kind", kind)
+        # At most 129 lengths of three kinds exist, so this list is bounded by the data type.
+        sizes = rows.groupBy("kind", "plen").agg(F.sum(_width(rows)).alias("bytes")).collect()
+        kinds = sorted(((r["kind"], r["plen"]) for r in sizes), key=lambda x: -x[1])
+        return PrefixTable(rows, tuple(attributes), tuple(kinds), sum(r["bytes"] for r in sizes) <= max_bytes)
+
+    @property
+    def lengths(self) -> list[int]:
+        return sorted({n for _, n in self.kinds}, reverse=True)
+
+    def probes(self) -> list[dict[int, int]]:
+        """Lengths to try by kind, longest first. An address is IPv4 or IPv6, so one probe
+        can serve a length of each; not so where wide prefixes cover both families."""
+        if any(kind == WIDE for kind, _ in self.kinds):
+            return [{kind: n} for kind, n in self.kinds]
+        by_kind = {k: [n for kind, n in self.kinds if kind == k] for k in (MAPPED, TOP)}
+        pairs = zip_longest(by_kind[MAPPED], by_kind[TOP])
+        return [{k: n for k, n in ((MAPPED, n4), (TOP, n6)) if n is not None} for n4, n6 in pairs]
+
+
+# Beyond this many probes, resolving each distinct address once is cheaper.
+MOST_PROBES = 24
+
+
+def with_words(facts: DataFrame, ip: str) -> DataFrame:
+    """Add the numbers that probes of ``ip`` are made from; they serve several tables."""
+    if f"_v4_{ip}" in facts.columns:
+        return facts
+    hi, lo = words(F.col(ip))
+    split = facts.withColumns({f"_hi_{ip}": hi, f"_lo_{ip}": lo})
+    high, low = F.col(f"_hi_{ip}"), F.col(f"_lo_{ip}")
+    return split.withColumn(f"_v4_{ip}", (high == 0) & (F.shiftrightunsigned(low, 32) == 0xFFFF))
 
 
 def longest_prefix(
@@ -87,38 +126,75 @@ def longest_prefix(
 ) -> DataFrame:
     """Attach the attributes of the longest prefix that covers ``ip`` (NULL if none).
 
-    ``out`` maps attribute to output column. ``chain``: one broadcast hash join per
-    prefix length, longest first; the facts are never shuffled. ``distinct``: each
-    distinct address is resolved once and joined back. ``auto`` takes the chain when
-    the table is small enough to broadcast and has few lengths.
+    ``out`` maps attribute to output column. ``probe``: hash lookups into a broadcast
+    table, longest prefix first; the facts are never shuffled. ``distinct``: each
+    distinct address is resolved once and joined back. ``auto`` probes when the table is
+    small enough to broadcast.
     """
     if strategy == "auto":
-        strategy = "chain" if table.small and len(table.lengths) <= CHAIN_LENGTHS else "distinct"
-    if strategy == "chain":
-        return _chain(facts, ip, table, out)
+        strategy = "probe" if table.small and len(table.probes()) <= MOST_PROBES else "distinct"
+    if strategy == "probe":
+        return _probe(facts, ip, table, out)
     resolved = resolve_addresses(facts.select(F.col(ip).alias("_ip")), {"hit": table})
-    picked = resolved.select(
-        F.col("_ip").alias(ip), *[F.col(f"hit.{a}").alias(c) for a, c in out.items()]
+    picked = resolved.select(F.col("_ip").alias(ip), *[F.col(f"hit.{a}").alias(c) for a, c in out.items()])
+    # As many rows as there are addresses: too large to copy per salt. A hot address is
+    # split by the adaptive skew join instead.
+    return facts.join(picked, ip, "left")
+
+
+def _compact(top: Column, kind: int, plen: int) -> Column:
+    """Masked leading bits with the length in the low 7 bits: 0..57 IPv6, 64..96 IPv4."""
+    bits, code = (plen - V4_BITS, 64 + plen - V4_BITS) if kind == MAPPED else (plen, plen)
+    return top.bitwiseAND(_keep(bits)).bitwiseOR(F.lit(code).cast("long"))
+
+
+def _probe(facts: DataFrame, ip: str, table: PrefixTable, out: dict[str, str]) -> DataFrame:
+    result = with_words(facts, ip)
+    high, low, v4 = F.col(f"_hi_{ip}"), F.col(f"_lo_{ip}"), F.col(f"_v4_{ip}")
+    hit = F.struct(*table.attributes).alias("_hit")
+    leading = F.when(F.col("kind") == MAPPED, F.shiftleft("lo", 32)).otherwise(F.col("hi"))
+    code = F.when(F.col("kind") == MAPPED, F.col("plen") - (V4_BITS - 64)).otherwise(F.col("plen")).cast("long")
+    # All probes read the same broadcast, because the prefix length is part of the key.
+    compact = F.broadcast(
+        table.rows.where(F.col("kind") != WIDE).select(leading.bitwiseOR(code).alias("_key"), hit)
+    )
+    wide = F.broadcast(
+        table.rows.where(F.col("kind") == WIDE).select(
+            F.col("hi").alias("_k1"), F.col("lo").alias("_k2"), F.col("plen").alias("_k3"), hit
+        )
     )
-    return lookup_left(facts, picked, [ip])
+    names = []
+    for i, probe in enumerate(table.probes()):
+        names.append(f"_hit{i}")
+        if WIDE in probe:
+            plen = probe[WIDE]
+            on = (_masked(high, 0, plen) == F.col("_k1")) & (_masked(low, 1, plen) == F.col("_k2")) & (F.col("_k3") == plen)
+            side = wide
+        else:
+            of4 = _compact(F.shiftleft(low, 32), MAPPED, probe[MAPPED]) if MAPPED in probe else F.lit(None).cast("long")
+            of6 = _compact(high, TOP, probe[TOP]) if TOP in probe else F.lit(None).cast("long")
+            on = F.when(v4, of4).otherwise(of6) == F.col("_key")
+            side = compact
+        result = result.join(side.withColumnRenamed("_hit", names[-1]), on, "left").drop("_key", "_k1", "_k2", "_k3")
+    if names:
+        best = F.coalesce(*names)
+        values = {c: best.getField(a) for a, c in out.items()}
+    else:
+        types = dict(table.rows.dtypes)
+        values = {c: F.lit(None).cast(types[a]) for a, c in out.items()}
+    return result.withColumns(values).drop(*names)
 
 
-def _chain(facts: DataFrame, ip: str, table: PrefixTable, out: dict[str, str]) -> DataFrame:
-    result = facts
-    hits: list[Column] = []
-    for plen in table.lengths:
-        side = table.rows.where(F.col("plen") == plen).select(
-            F.col("prefix").alias(f"_p{plen}"),
-            F.struct(*table.attributes).alias(f"_h{plen}"),
-        )
-        masked = F.when(F.octet_length(ip) == 16, mask(F.col(ip), plen))
-        result = result.join(F.broadcast(side), masked == F.col(f"_p{plen}"), "left").drop(f"_p{plen}")
-        hits.append(F.col(f"_h{plen}"))
-    best = F.coalesce(*hits) if hits else None
-    for attribute, name in out.items():
-        value = best.getField(attribute) if best is not None else F.lit(None)
-        result = result.withColumn(name, value)
-    return result.drop(*[f"_h{plen}" for plen in table.lengths])
+def _keep(bits: int) -> Column:
+    """A 64-bit mask with the first ``bits`` bits set."""
+    mask = ((1 << bits) - 1) << (64 - bits)
+    return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")
+
+
+def _masked(word: Column, half: int, plen: int) -> Column:
+    """One half of an address with the bits after ``plen`` cleared."""
+    bits = min(max(plen - 64 * half, 0), 64)
+    return word if bits == 64 else word.bitwiseAND(_keep(bits))
 
 
 def resolve_addresses(addresses: DataFrame, tables: dict[str, PrefixTable]) -> DataFrame:
@@ -128,7 +204,8 @@ def resolve_addresses(addresses: DataFrame, tables: dict[str, PrefixTable]) -> D
     the table in an equi-join, and ``max_by`` keeps the longest. All steps combine on
     the map side, so an address that fills a third of the facts counts once per task.
     """
-    unique = addresses.where(F.octet_length("_ip") == 16).distinct()
+    hi, lo = words(F.col("_ip"))
+    unique = addresses.where(F.octet_length("_ip") == 16).distinct().select("_ip", hi.alias("_hi"), lo.alias("_lo"))
     result = unique
     for name, table in tables.items():
         candidates = unique.select(
@@ -136,19 +213,18 @@ def resolve_addresses(addresses: DataFrame, tables: dict[str, PrefixTable]) -> D
             F.explode(
                 F.array(
                     *[
-                        F.struct(F.lit(n).alias("plen"), mask(F.col("_ip"), n).alias("prefix"))
+                        F.struct(F.lit(n).alias("plen"), _masked(F.col("_hi"), 0, n).alias("hi"), _masked(F.col("_lo"), 1, n).alias("lo"))
                         for n in table.lengths
                     ]
                 )
             ).alias("c"),
-        ).select("_ip", "c.plen", "c.prefix")
-        rows = table.rows.withColumn("plen", F.col("plen").cast("int"))
-        if table.small:
-            rows = F.broadcast(rows)
+        ).select("_ip", "c.*")
+        rows = table.rows.drop("kind")
+        rows = F.broadcast(rows) if table.small else rows
         hit = (
-            candidates.join(rows, ["plen", "prefix"])
+            candidates.join(rows, ["hi", "lo", "plen"])
             .groupBy("_ip")
             .agg(F.max_by(F.struct(*table.attributes), F.col("plen")).alias(name))
         )
         result = result.join(hit, "_ip", "left")
-    return result
+    return result.drop("_hi", "_lo")

@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from netweir.functions.timing import bucket_start, ntz
 
-BYTES = F.sum("bytes").alias
-PACKETS = F.sum("packets").alias
-FLOWS = F.count(F.lit(1)).alias
+
+def _bytes(name: str) -> Column:
+    return F.sum("bytes").alias(name)
+
+
+def _packets(name: str) -> Column:
+    return F.sum("packets").alias(name)
+
+
+def _flow_count(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
 
 
 def time_range(flows: DataFrame, start: str, end: str) -> DataFrame:
@@ -38,79 +46,79 @@ def _ranked(flows, keys, measures, by, limit=None):
 
 
 def top_src_ips(flows: DataFrame, limit: int = 20) -> DataFrame:
-    return _ranked(flows, ["src_ip"], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows, ["src_ip"], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def top_dst_ips(flows: DataFrame, limit: int = 20) -> DataFrame:
-    return _ranked(flows, ["dst_ip"], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows, ["dst_ip"], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def top_conversations(flows: DataFrame, limit: int = 50) -> DataFrame:
     return _ranked(
         flows, ["src_ip", "dst_ip", "protocol"],
-        [BYTES("total_bytes"), PACKETS("total_packets")], "total_bytes", limit,
+        [_bytes("total_bytes"), _packets("total_packets")], "total_bytes", limit,
     )
 
 
 def top_protocols(flows: DataFrame, limit: int = 10) -> DataFrame:
-    return _ranked(flows, ["protocol"], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows, ["protocol"], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def protocol_bytes(flows: DataFrame) -> DataFrame:
-    return _ranked(flows, ["protocol"], [BYTES("total_bytes")], "total_bytes")
+    return _ranked(flows, ["protocol"], [_bytes("total_bytes")], "total_bytes")
 
 
 def protocol_packets(flows: DataFrame) -> DataFrame:
-    return _ranked(flows, ["protocol"], [PACKETS("total_packets")], "total_packets")
+    return _ranked(flows, ["protocol"], [_packets("total_packets")], "total_packets")
 
 
 def top_ports(flows: DataFrame, side: str, limit: int = 20) -> DataFrame:
-    return _ranked(flows, [f"{side}_port"], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows, [f"{side}_port"], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def tcp_flag_distribution(flows: DataFrame, limit: int = 16) -> DataFrame:
     return _ranked(
         flows.where(F.col("protocol") == 6), ["tcp_flags"],
-        [FLOWS("flow_count"), BYTES("total_bytes")], "flow_count", limit,
+        [_flow_count("flow_count"), _bytes("total_bytes")], "flow_count", limit,
     )
 
 
 def top_asn(flows: DataFrame, side: str, limit: int = 20) -> DataFrame:
     column = f"{side}_as"
-    return _ranked(flows.where(F.col(column) > 0), [column], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows.where(F.col(column) > 0), [column], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def as_pairs(flows: DataFrame, limit: int = 50) -> DataFrame:
     return _ranked(
         flows.where((F.col("src_as") > 0) & (F.col("dst_as") > 0)), ["src_as", "dst_as"],
-        [BYTES("total_bytes"), PACKETS("total_packets"), FLOWS("flow_count")], "total_bytes", limit,
+        [_bytes("total_bytes"), _packets("total_packets"), _flow_count("flow_count")], "total_bytes", limit,
     )
 
 
 def as_matrix(flows: DataFrame, limit: int = 50) -> DataFrame:
     return _ranked(
-        flows, ["src_as", "dst_as"], [BYTES("total_bytes"), FLOWS("flow_count")], "total_bytes", limit
+        flows, ["src_as", "dst_as"], [_bytes("total_bytes"), _flow_count("flow_count")], "total_bytes", limit
     )
 
 
 def site_matrix(flows: DataFrame) -> DataFrame:
     return _ranked(
-        flows, ["src_site", "dst_site"], [BYTES("total_bytes"), FLOWS("flow_count")], "total_bytes"
+        flows, ["src_site", "dst_site"], [_bytes("total_bytes"), _flow_count("flow_count")], "total_bytes"
     )
 
 
 def protocol_per_path(flows: DataFrame, limit: int = 50) -> DataFrame:
-    return _ranked(flows, ["src_site", "dst_site", "protocol"], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows, ["src_site", "dst_site", "protocol"], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def country_bytes(flows: DataFrame, side: str, limit: int | None = None) -> DataFrame:
     column = f"{side}_country"
-    return _ranked(flows.where(F.col(column) != ""), [column], [BYTES("total_bytes")], "total_bytes", limit)
+    return _ranked(flows.where(F.col(column) != ""), [column], [_bytes("total_bytes")], "total_bytes", limit)
 
 
 def _series(flows: DataFrame, condition: Column, measure: str, interval_s: int) -> DataFrame:
     bucketed = flows.where(condition).withColumn("time", ntz(bucket_start(F.col("ts"), interval_s)))
-    return bucketed.groupBy("time").agg(BYTES(measure)).orderBy("time")
+    return bucketed.groupBy("time").agg(_bytes(measure)).orderBy("time")
 
 
 def transit_series(flows: DataFrame, interval_s: int = 60) -> DataFrame:

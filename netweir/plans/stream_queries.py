@@ -28,9 +28,10 @@ from netweir.streaming import flows as sf_
 
 
 def table_stream(spark, sf_dir, name):
-    """The Parquet file of a test table as a file stream."""
+    """The Parquet file of a test table as a file stream, read by one task and then spread."""
     schema = v.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.repartition(spark.sparkContext.defaultParallelism)
 
 
 def in_arrivals(spark, rows, order, parts, process):

@@ -14,6 +14,7 @@ from netweir.functions.ip import V4_MAPPED, binary_to_text
 from netweir.operators.enrich import Dimensions
 from netweir.operators.joins import PrefixTable
 from netweir.sources.flows import to_canonical
+from netweir.sources.tables import spread
 
 NET10 = 167_772_160
 
@@ -72,7 +73,7 @@ def lineitem_wire(li: DataFrame) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_canonical(lineitem_wire(table(spark, sf_dir, "lineitem")))
+    return spread(to_canonical(lineitem_wire(table(spark, sf_dir, "lineitem"))))
 
 
 def event_wire(events: DataFrame) -> DataFrame:

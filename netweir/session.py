@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot does not compile methods beyond 8000 bytes of bytecode; Spark's own limit is
+    # higher, and a stage between the two limits would run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -17,6 +17,16 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that comes in fewer pieces than there are cores.
+
+    A single small file is one task. An input with many splits, as on a cluster, is left
+    alone, so large data is not shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_raw_flows(flows: DataFrame, path: str, files: int | None = None, mode: str = "append") -> None:
     """Day-partitioned table whose files are clustered by site, exporter and time.
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweir.operators.enrich import Dimensions, enrich
-from netweir.operators.joins import PrefixTable
 from netweir.operators.rollup import merge_partials, rollup_1h, rollup_1m
 from netweir.schema import HOUR_KEYS, MINUTE_KEYS
 
@@ -112,9 +112,7 @@ class RefreshingDimensions:
             tables[name] = None if df is None else self._copy(df, name)
         for name in ("geo", "asn"):
             table = getattr(fresh, name)
-            tables[name] = None if table is None else PrefixTable.of(
-                self._copy(table.rows, name), list(table.attributes)
-            )
+            tables[name] = None if table is None else replace(table, rows=self._copy(table.rows, name))
         return Dimensions(**tables)
 
     def get(self) -> Dimensions:
