@@ -52,10 +52,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     The cluster names the parent in ``spark.checkpoint.dir``. Only a local master may
     fall back to a temporary folder, because nothing else shares a machine's disk.
     """
-    parent = spark.conf.get("spark.checkpoint.dir", None)
+    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        parent = tempfile.mkdtemp(prefix="netweir-")
-        spark.conf.set("spark.checkpoint.dir", parent)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netweir-"))
+        parent = spark.sparkContext.getCheckpointDir()
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
