@@ -20,6 +20,8 @@ from netweir.operators.ordered import overlapping_chunks, with_neighbors
 
 CHUNK_PANES = 512
 MICRO = 1_000_000
+# What tells series apart. With ["metric", "series_key"] several metrics go through one pass.
+SERIES = ["series_key"]
 
 
 # ------------------------------------------------------------ selection
@@ -46,12 +48,12 @@ def label_values(samples: DataFrame, name: str) -> DataFrame:
 
 # ------------------------------------------------------------ panes
 
-def _with_pane(samples: DataFrame, step_s: int, include_end: bool) -> DataFrame:
+def _with_pane(samples: DataFrame, step_s: int, include_end: bool, keys: list[str]) -> DataFrame:
     """Add ``us`` and the index ``k`` of the grid point that closes the sample's pane."""
     us = micros(F.col("ts"))
     width = step_s * MICRO
     pane = -floor_div(-us, width) if include_end else floor_div(us, width) + 1
-    return samples.select("series_key", "value", us.alias("us"), pane.alias("k"))
+    return samples.select(*keys, "value", us.alias("us"), pane.alias("k"))
 
 
 def _counter_step(previous: Column, current: Column) -> Column:
@@ -59,10 +61,12 @@ def _counter_step(previous: Column, current: Column) -> Column:
     return F.when(current < previous, current).otherwise(current - previous)
 
 
-def gauge_panes(samples: DataFrame, step_s: int, include_end: bool = False) -> DataFrame:
+def gauge_panes(
+    samples: DataFrame, step_s: int, include_end: bool = False, keys: list[str] = SERIES
+) -> DataFrame:
     return (
-        _with_pane(samples, step_s, include_end)
-        .groupBy("series_key", "k")
+        _with_pane(samples, step_s, include_end, keys)
+        .groupBy(*keys, "k")
         .agg(
             F.count("value").alias("n"),
             F.sum("value").alias("total"),
@@ -71,13 +75,13 @@ def gauge_panes(samples: DataFrame, step_s: int, include_end: bool = False) -> D
     )
 
 
-def counter_panes(samples: DataFrame, step_s: int) -> DataFrame:
+def counter_panes(samples: DataFrame, step_s: int, keys: list[str] = SERIES) -> DataFrame:
     """Per pane: first and last reading, growth inside the pane, number of readings."""
-    inside = Window.partitionBy("series_key", "k").orderBy("us", "value")
+    inside = Window.partitionBy(*keys, "k").orderBy("us", "value")
     return (
-        _with_pane(samples, step_s, False)
+        _with_pane(samples, step_s, False, keys)
         .withColumn("grown", _counter_step(F.lag("value").over(inside), F.col("value")))
-        .groupBy("series_key", "k")
+        .groupBy(*keys, "k")
         .agg(
             F.count("value").alias("n"),
             F.coalesce(F.sum("grown"), F.lit(0.0)).alias("inner_growth"),
@@ -93,7 +97,7 @@ def _panes_per_range(range_s: int, step_s: int) -> int:
     return range_s // step_s
 
 
-def _slide(panes: DataFrame, width: int, carried: list[str], prepare=None):
+def _slide(panes: DataFrame, width: int, carried: list[str], keys: list[str], prepare=None):
     """Spread panes over the grid points they reach; return the rows and the frame.
 
     Each pane row stays at its own grid point and, until the next pane of the series
@@ -102,7 +106,7 @@ def _slide(panes: DataFrame, width: int, carried: list[str], prepare=None):
     """
     chunk = max(width, CHUNK_PANES)
     copies = overlapping_chunks(panes, "k", width - 1, chunk)
-    along = Window.partitionBy("series_key", "_chunk").orderBy("k")
+    along = Window.partitionBy(*keys, "_chunk").orderBy("k")
     if prepare is not None:
         copies = prepare(copies, along)
     start = F.col("_chunk") * chunk
@@ -114,19 +118,17 @@ def _slide(panes: DataFrame, width: int, carried: list[str], prepare=None):
     spread = copies.withColumn("_points", points).withColumn("e", F.explode("_points")).drop("_points")
     for name in carried:
         spread = spread.withColumn(name, F.when(F.col("e") == F.col("k"), F.col(name)))
-    frame = Window.partitionBy("series_key", "_chunk").orderBy("e").rangeBetween(-(width - 1), 0)
+    frame = Window.partitionBy(*keys, "_chunk").orderBy("e").rangeBetween(-(width - 1), 0)
     return spread, frame, F.col("e") >= start
 
 
-def _finish(rows: DataFrame, own: Column, value: Column, step_s: int, extra: list[str] | None = None) -> DataFrame:
-    return rows.where(own).select(
-        "series_key", grid_time(F.col("e"), step_s).alias("t"), value.alias("value"), *(extra or [])
-    )
+def _finish(rows: DataFrame, own: Column, value: Column, step_s: int, keys: list[str]) -> DataFrame:
+    return rows.where(own).select(*keys, grid_time(F.col("e"), step_s).alias("t"), value.alias("value"))
 
 
 # ------------------------------------------------------------ range functions
 
-def increase(samples: DataFrame, range_s: int, step_s: int) -> DataFrame:
+def increase(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SERIES) -> DataFrame:
     """Counter growth inside each range, resets corrected; ranges with one reading give none."""
     width = _panes_per_range(range_s, step_s)
 
@@ -137,31 +139,31 @@ def increase(samples: DataFrame, range_s: int, step_s: int) -> DataFrame:
             "high", F.sum(F.col("_link") + F.col("inner_growth")).over(along)
         ).withColumn("low", F.col("high") - F.col("inner_growth"))
 
-    rows, frame, own = _slide(counter_panes(samples, step_s), width, ["n", "high", "low"], accumulate)
+    rows, frame, own = _slide(counter_panes(samples, step_s, keys), width, ["n", "high", "low"], keys, accumulate)
     windowed = rows.withColumn("readings", F.sum("n").over(frame)).withColumn(
         "growth", F.max("high").over(frame) - F.min("low").over(frame)
     )
-    return _finish(windowed.where(F.col("readings") >= 2), own, F.col("growth"), step_s)
+    return _finish(windowed.where(F.col("readings") >= 2), own, F.col("growth"), step_s, keys)
 
 
-def rate(samples: DataFrame, range_s: int, step_s: int) -> DataFrame:
+def rate(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SERIES) -> DataFrame:
     """Counter growth per second."""
-    return scale(increase(samples, range_s, step_s), lambda v: v / F.lit(float(range_s)))
+    return scale(increase(samples, range_s, step_s, keys), lambda v: v / F.lit(float(range_s)))
 
 
-def avg_over_time(samples: DataFrame, range_s: int, step_s: int) -> DataFrame:
+def avg_over_time(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SERIES) -> DataFrame:
     width = _panes_per_range(range_s, step_s)
-    rows, frame, own = _slide(gauge_panes(samples, step_s), width, ["n", "total"])
+    rows, frame, own = _slide(gauge_panes(samples, step_s, keys=keys), width, ["n", "total"], keys)
     windowed = rows.withColumn("mean", F.sum("total").over(frame) / F.sum("n").over(frame))
-    return _finish(windowed, own, F.col("mean"), step_s)
+    return _finish(windowed, own, F.col("mean"), step_s, keys)
 
 
-def on_grid(samples: DataFrame, step_s: int, lookback_s: int = 300) -> DataFrame:
+def on_grid(samples: DataFrame, step_s: int, lookback_s: int = 300, keys: list[str] = SERIES) -> DataFrame:
     """Newest reading not older than the lookback, at every grid point."""
     width = _panes_per_range(lookback_s, step_s)
-    rows, frame, own = _slide(gauge_panes(samples, step_s, include_end=True), width, ["last_value"])
+    rows, frame, own = _slide(gauge_panes(samples, step_s, True, keys), width, ["last_value"], keys)
     windowed = rows.withColumn("newest", F.last("last_value", ignorenulls=True).over(frame))
-    return _finish(windowed, own, F.col("newest"), step_s)
+    return _finish(windowed, own, F.col("newest"), step_s, keys)
 
 
 def instant(samples: DataFrame, at: str, lookback_s: int = 300) -> DataFrame:
@@ -222,11 +224,21 @@ def ratio(left: Column, right: Column) -> Column:
     return F.try_divide(left, right)
 
 
+def side_by_side(vectors: DataFrame, metrics: list[str]) -> DataFrame:
+    """Values of several metrics (rows ``metric, series_key, t, value``) as columns.
+
+    The same match on all labels as ``combine``, in one aggregation and without computing
+    each side in a plan of its own. A metric without a value at that time is NULL.
+    """
+    columns = [F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in metrics]
+    return vectors.groupBy("series_key", "t").agg(*columns)
+
+
 def either(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left rows, and right rows whose labels the left side does not have at that time."""
     columns = ["series_key", "t", "value"]
-    extra = right.join(left.select("series_key", "t"), ["series_key", "t"], "left_anti")
-    return left.select(columns).unionByName(extra.select(columns))
+    ranked = left.select(*columns, F.lit(0).alias("_side")).unionByName(right.select(*columns, F.lit(1).alias("_side")))
+    return ranked.groupBy("series_key", "t").agg(F.min_by("value", "_side").alias("value"))
 
 
 def aggregate(vector: DataFrame, how: str, by: list[str] | None = None) -> DataFrame:
@@ -245,6 +257,13 @@ def or_zero(total: DataFrame, times: DataFrame) -> DataFrame:
     )
 
 
+def count_or_zero(vector: DataFrame, condition, by: list[str] | None = None) -> DataFrame:
+    """How many series meet the condition at each time, 0 where none does: one pass."""
+    names = by or []
+    keyed = vector.select("t", "value", *[label(F.col("series_key"), n).alias(n) for n in names])
+    return keyed.groupBy("t", *names).agg(F.count_if(condition(F.col("value"))).cast("double").alias("value"))
+
+
 def topk(vector: DataFrame, k: int, tie: list[str] | None = None) -> DataFrame:
     """The ``k`` largest rows of every evaluation time.
 

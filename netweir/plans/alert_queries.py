@@ -46,7 +46,7 @@ CONDITIONS = {
     "DeviceDown": lambda s, d: m.keep_where(_grid(s, d, "up", equal={"job": "gnmic"}), lambda x: x == 0),
     "DeviceUnreachable": lambda s, d: m.keep_where(mq.pulled_up(s, d), lambda x: x == 0),
     "InterfaceErrors": lambda s, d: m.keep_where(mq.iface_error_ratio(s, d), lambda x: x > 0.05),
-    "InterfaceErrorRate": lambda s, d: mq.vector_or(s, d),
+    "InterfaceErrorRate": lambda s, d: mq.error_share(s, d),
     "BGPSessionDown": lambda s, d: m.keep_where(_grid(s, d, "bgpPeerState"), lambda x: x != 6),
     "HighCPU": lambda s, d: m.keep_where(_grid(s, d, "device_cpu_utilization"), lambda x: x > 80),
     "HighMemory": lambda s, d: m.keep_where(_grid(s, d, "device_memory_utilization"), lambda x: x > 85),

@@ -152,6 +152,16 @@ def threshold_bands(spark, sf):
 # ------------------------------------------------------------ rates
 
 
+def rates_of(spark, sf, *metrics):
+    """Rates of several metrics in one pass."""
+    return m.rate(mv.samples(spark, sf, *metrics), RANGE, STEP, ["metric", "series_key"])
+
+
+def matched(spark, sf, *metrics):
+    """Rates of metrics that share their labels, one column each."""
+    return m.side_by_side(rates_of(spark, sf, *metrics), list(metrics))
+
+
 @query("counter_rate", sql(mv.rate_sql("ifHCInOctets", RANGE, STEP)))
 def counter_rate(spark, sf):
     return m.rate(mv.samples(spark, sf, "ifHCInOctets"), RANGE, STEP)
@@ -161,9 +171,12 @@ def counter_rate(spark, sf):
     SELECT 'in' AS direction, series_key, t, value * 8 AS value FROM ({mv.rate_sql('ifHCInOctets', RANGE, STEP)})
     UNION ALL SELECT 'out', series_key, t, value * 8 * -1 FROM ({mv.rate_sql('ifHCOutOctets', RANGE, STEP)})"""))
 def iface_bps_in_out(spark, sf):
-    inbound = m.scale(m.rate(mv.samples(spark, sf, "ifHCInOctets"), RANGE, STEP), lambda x: x * 8)
-    outbound = m.scale(m.rate(mv.samples(spark, sf, "ifHCOutOctets"), RANGE, STEP), lambda x: x * 8 * -1)
-    return inbound.withColumn("direction", F.lit("in")).unionByName(outbound.withColumn("direction", F.lit("out")))
+    both = rates_of(spark, sf, "ifHCInOctets", "ifHCOutOctets")
+    inbound = F.col("metric") == "ifHCInOctets"
+    return both.select(
+        F.when(inbound, "in").otherwise("out").alias("direction"), "series_key", "t",
+        F.when(inbound, F.col("value") * 8).otherwise(F.col("value") * 8 * -1).alias("value"),
+    )
 
 
 _ERROR_METRICS = ["ifInErrors", "ifOutErrors", "ifInDiscards", "ifOutDiscards"]
@@ -172,11 +185,7 @@ _ERROR_METRICS = ["ifInErrors", "ifOutErrors", "ifInDiscards", "ifOutDiscards"]
 @query("iface_error_rates", sql(" UNION ALL ".join(
     f"SELECT '{name}' AS metric, * FROM ({mv.rate_sql(name, RANGE, STEP)})" for name in _ERROR_METRICS)))
 def iface_error_rates(spark, sf):
-    result = None
-    for name in _ERROR_METRICS:
-        part = m.rate(mv.samples(spark, sf, name), RANGE, STEP).withColumn("metric", F.lit(name))
-        result = part if result is None else result.unionByName(part)
-    return result
+    return rates_of(spark, sf, *_ERROR_METRICS)
 
 
 @query("bgp_flaps", sql(mv.increase_sql("bgpPeerFsmEstablishedTransitions", DAY, STEP)))
@@ -221,16 +230,10 @@ def iface_utilization(spark, sf):
     FROM ({mv.rate_sql('interface_errors_total', RANGE, STEP)}) e
     JOIN ({mv.rate_sql('interface_packets_total', RANGE, STEP)}) p USING (series_key, t) WHERE p.value != 0"""))
 def iface_error_ratio(spark, sf):
-    errors = m.rate(mv.samples(spark, sf, "interface_errors_total"), RANGE, STEP)
-    packets = m.rate(mv.samples(spark, sf, "interface_packets_total"), RANGE, STEP)
-    return m.combine(errors, packets, m.ratio)
-
-
-def error_share(spark, sf, side, limit):
-    """rate(errors) / (rate(octets) + 1), where it is above the limit."""
-    errors = m.rate(mv.samples(spark, sf, f"if{side}Errors"), RANGE, STEP)
-    octets = m.scale(m.rate(mv.samples(spark, sf, f"if{side}Octets"), RANGE, STEP), lambda x: x + 1)
-    return m.keep_where(m.combine(errors, octets, m.ratio), lambda x: x > limit)
+    both = matched(spark, sf, "interface_errors_total", "interface_packets_total")
+    return both.select(
+        "series_key", "t", m.ratio(F.col("interface_errors_total"), F.col("interface_packets_total")).alias("value")
+    ).where(F.col("value").isNotNull())
 
 
 def error_share_sql(side, limit):
@@ -247,9 +250,29 @@ ERROR_SHARE_SQL = f"""
       (SELECT 1 FROM l WHERE l.series_key = r.series_key AND l.t = r.t)"""
 
 
+def _share(side):
+    return m.ratio(F.col(f"if{side}Errors"), F.col(f"if{side}Octets") + 1)
+
+
 @query("vector_or", sql(ERROR_SHARE_SQL))
 def vector_or(spark, sf):
-    return m.either(error_share(spark, sf, "In", SHARE_LIMIT), error_share(spark, sf, "Out", SHARE_LIMIT / 100))
+    """rate(errors) / (rate(octets) + 1) above the limit: inbound series, or else outbound ones."""
+    sides = []
+    for side, limit in (("In", SHARE_LIMIT), ("Out", SHARE_LIMIT / 100)):
+        rates = matched(spark, sf, f"if{side}Errors", f"if{side}Octets")
+        share = rates.select("series_key", "t", _share(side).alias("value"))
+        sides.append(m.keep_where(share, lambda x, limit=limit: x > limit))
+    return m.either(*sides)
+
+
+def error_share(spark, sf):
+    """The same vector in one pass: both sides of a series stand in one row."""
+    rates = matched(spark, sf, "ifInErrors", "ifInOctets", "ifOutErrors", "ifOutOctets")
+    inbound, outbound = _share("In"), _share("Out")
+    value = F.coalesce(
+        F.when(inbound > SHARE_LIMIT, inbound), F.when(outbound > SHARE_LIMIT / 100, outbound)
+    )
+    return rates.select("series_key", "t", value.alias("value")).where(F.col("value").isNotNull())
 
 
 @query("iface_correlation", sql(f"""
@@ -305,7 +328,7 @@ def devices_up(spark, sf):
     SELECT t, CAST(count(*) FILTER (value = 0) AS DOUBLE) AS value FROM ({_UP_SQL}) GROUP BY t"""))
 def devices_down_or_zero(spark, sf):
     up = pulled_up(spark, sf)
-    return m.or_zero(m.aggregate(m.keep_where(up, lambda x: x == 0), "count"), up)
+    return m.count_or_zero(up, lambda x: x == 0)
 
 
 @query("devices_per_site", sql(f"""
@@ -355,9 +378,14 @@ _DEVICE_SQL = f"""SELECT t, {mv.label_sql('instance')} AS instance, sum(value) /
 
 
 def both_directions(spark, sf):
-    inbound = m.increase(mv.samples(spark, sf, "ifHCInOctets"), RANGE, STEP)
-    outbound = m.increase(mv.samples(spark, sf, "ifHCOutOctets"), RANGE, STEP)
-    return m.combine(inbound, outbound, lambda a, b: a + b)
+    """Growth of both directions added up, for interfaces that have both."""
+    grown = m.increase(
+        mv.samples(spark, sf, "ifHCInOctets", "ifHCOutOctets"), RANGE, STEP, ["metric", "series_key"]
+    )
+    both = m.side_by_side(grown, ["ifHCInOctets", "ifHCOutOctets"])
+    return both.select(
+        "series_key", "t", (F.col("ifHCInOctets") + F.col("ifHCOutOctets")).alias("value")
+    ).where(F.col("value").isNotNull())
 
 
 def device_totals(spark, sf):
@@ -436,9 +464,9 @@ def topk_devices_over_time(spark, sf):
     SELECT series_key, t, a.value + b.value AS value FROM ({mv.rate_sql('ifInErrors', RANGE, STEP)}) a
     JOIN ({mv.rate_sql('ifOutErrors', RANGE, STEP)}) b USING (series_key, t)""", 10, "series_key")))
 def topk_errors(spark, sf):
-    inbound = m.rate(mv.samples(spark, sf, "ifInErrors"), RANGE, STEP)
-    outbound = m.rate(mv.samples(spark, sf, "ifOutErrors"), RANGE, STEP)
-    return m.topk(m.combine(inbound, outbound, lambda a, b: a + b), 10)
+    both = matched(spark, sf, "ifInErrors", "ifOutErrors")
+    total = both.select("series_key", "t", (F.col("ifInErrors") + F.col("ifOutErrors")).alias("value"))
+    return m.topk(total.where(F.col("value").isNotNull()), 10)
 
 
 # ------------------------------------------------------------ gaps, carry-forward

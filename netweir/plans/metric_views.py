@@ -111,18 +111,16 @@ def samples(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
     scraped = scrapes(spark, sf_dir)
     if any(FAMILIES[m][1].startswith("c_") for m in metrics):
         scraped = _with_counters(scraped)
-    result = None
+    families = []
     for metric in metrics:
         names, value = FAMILIES[metric]
         labels = F.create_map(*[x for n, column in split_labels(names) for x in (F.lit(n), F.col(column))])
-        rows = scraped.select(
-            F.lit(metric).alias("metric"),
-            labels.alias("labels"),
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.expr(value).cast("double").alias("value"),
-        ).withColumn("series_key", series_key(F.col("labels")))
-        result = rows if result is None else result.unionByName(rows)
-    return result
+        families.append(
+            F.struct(F.lit(metric).alias("metric"), labels.alias("labels"), F.expr(value).cast("double").alias("value"))
+        )
+    one = families[0] if len(families) == 1 else F.explode(F.array(*families))
+    rows = scraped.select(F.col("ts").cast("timestamp").alias("ts"), one.alias("m"))
+    return rows.select("m.metric", "m.labels", "ts", "m.value").withColumn("series_key", series_key(F.col("labels")))
 
 
 # ------------------------------------------------------------ the same in SQL
