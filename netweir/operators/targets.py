@@ -126,6 +126,21 @@ def sync_stats(devices: DataFrame) -> DataFrame:
     )
 
 
+def sync_runs(runs: DataFrame) -> DataFrame:
+    """Last success, its duration and the error count of a log of synchronisations.
+
+    runs: started, finished (timestamps), ok.
+    """
+    ok = F.col("ok")
+    seconds = (F.unix_micros("finished") - F.unix_micros("started")) / F.lit(1e6)
+    return runs.agg(
+        F.max(F.when(ok, F.col("finished"))).cast("timestamp_ntz").alias("last_success_at"),
+        F.max_by(F.when(ok, seconds), F.when(ok, F.col("finished"))).alias("last_duration_s"),
+        F.count_if(~ok).alias("errors_total"),
+        F.count(F.lit(1)).alias("runs_total"),
+    )
+
+
 def target_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """What a synchronisation would add, remove or change; equal rows are left out."""
     def packed(df: DataFrame, name: str) -> DataFrame:

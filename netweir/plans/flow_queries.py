@@ -223,6 +223,7 @@ def iface_flow_bps(spark, sf):
 
 @query("iface_flow_bps_selected", sql(_IFACE_SQL.format(where="exporter_ip IN (167772162, 167772165, 167772169)")))
 def iface_flow_bps_selected(spark, sf):
+    """The devices chosen in the dashboard's device list; choosing them is the feature."""
     return panels.interface_bit_rate(v.flows(spark, sf), [167772162, 167772165, 167772169], 3600)
 
 

@@ -128,6 +128,22 @@ def target_sync_stats(spark, sf):
     return tg.sync_stats(inventory(spark, sf))
 
 
+@query("target_sync_runs", sql("""
+    WITH r AS (SELECT o_orderstatus != 'F' AS ok, o_orderdate + to_seconds(o_orderkey) AS started,
+        o_orderdate + to_seconds(o_orderkey) + to_milliseconds(o_orderkey % 90000) AS finished FROM orders)
+    SELECT max(finished) FILTER (ok) AS last_success_at,
+        arg_max((epoch_us(finished) - epoch_us(started)) / 1000000.0E0, finished) FILTER (ok) AS last_duration_s,
+        count(*) FILTER (NOT ok) AS errors_total, count(*) AS runs_total FROM r"""))
+def target_sync_runs(spark, sf):
+    """Orders as synchronisations: a failed order is a failed run."""
+    started = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("o_orderkey"))
+    finished = F.timestamp_micros(F.unix_micros(started) + F.col("o_orderkey") % 90_000 * 1000)
+    runs = v.table(spark, sf, "orders").select(
+        (F.col("o_orderstatus") != "F").alias("ok"), started.alias("started"), finished.alias("finished")
+    )
+    return tg.sync_runs(runs)
+
+
 @query("snmp_module", sql(f"""
     SELECT manufacturer, platform, {_MODULE} AS module, count(*) AS devices FROM v_inventory GROUP BY ALL"""))
 def snmp_module(spark, sf):

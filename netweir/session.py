@@ -28,6 +28,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    # The stock 200 shuffle partitions suit neither a laptop nor a large cluster. On one
+    # machine two per core are enough; a cluster states its own number.
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, spark.sparkContext.defaultParallelism)))
     return spark
 
 
