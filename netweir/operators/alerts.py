@@ -105,18 +105,26 @@ def states(active: DataFrame, rule: Rule, step_s: int) -> DataFrame:
     )
 
 
-def intervals(active: DataFrame, rule: Rule, step_s: int) -> DataFrame:
-    """One row per uninterrupted activity: when it became active, fired and was resolved."""
-    need = -(-rule.for_s // step_s)
-    placed = active.select("series_key", floor_div(micros(F.col("t")), step_s * MICRO).alias("k"))
-    found = runs(placed, ["series_key"], "k", CHUNK)
-    fired = F.col("last") - F.col("first") >= need
+def with_rule(active: DataFrame, rule: Rule, step_s: int) -> DataFrame:
+    """Tag a condition with its rule, so that several rules can go through one pass."""
+    return active.select(
+        F.lit(rule.name).alias("alertname"), F.lit(rule.severity).alias("severity"), "series_key", "t", "value",
+        F.lit(-(-rule.for_s // step_s)).alias("need"),
+    )
+
+
+def intervals(tagged: DataFrame, step_s: int) -> DataFrame:
+    """One row per uninterrupted activity: when it became active, fired and was resolved.
+
+    ``tagged`` holds the conditions of any number of rules, made by ``with_rule``.
+    """
+    placed = tagged.withColumn("k", floor_div(micros(F.col("t")), step_s * MICRO))
+    found = runs(placed, ["alertname", "severity", "need", "series_key"], "k", CHUNK)
+    fired = F.col("last") - F.col("first") >= F.col("need")
     return found.select(
-        F.lit(rule.name).alias("alertname"),
-        F.lit(rule.severity).alias("severity"),
-        "series_key",
+        "alertname", "severity", "series_key",
         grid_time(F.col("first"), step_s).alias("active_at"),
-        F.when(fired, grid_time(F.col("first") + need, step_s)).alias("firing_at"),
+        F.when(fired, grid_time(F.col("first") + F.col("need"), step_s)).alias("firing_at"),
         grid_time(F.col("last") + 1, step_s).alias("resolved_at"),
     )
 

@@ -60,6 +60,12 @@ def lookup_left(
     return salted.join(spread, keys + ["_salt"], "left").drop("_salt")
 
 
+def keep_known(facts: DataFrame, dim: DataFrame, keys: list[str], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Fact rows whose keys the dimension has; broadcast only if it measures small."""
+    known = dim.select(*keys).distinct()
+    return facts.join(F.broadcast(known) if fits_broadcast(known, max_bytes) else known, keys, "left_semi")
+
+
 # How a prefix is keyed for a probe. MAPPED: an IPv4 prefix. TOP: an IPv6 prefix that
 # lies in the first 57 bits. Both fit one number with their length. WIDE: all others.
 MAPPED, TOP, WIDE = 4, 6, 0

@@ -148,8 +148,13 @@ def all_states(spark, sf):
     return _union(rule_states(spark, sf, name) for name in OVERVIEW)
 
 
+def intervals_of(spark, sf, names):
+    tagged = _union(al.with_rule(CONDITIONS[name](spark, sf), RULES[name], STEP) for name in names)
+    return al.intervals(tagged, STEP)
+
+
 def all_intervals(spark, sf):
-    return _union(al.intervals(CONDITIONS[name](spark, sf), RULES[name], STEP) for name in OVERVIEW)
+    return intervals_of(spark, sf, OVERVIEW)
 
 
 # ------------------------------------------------------------ one query per rule

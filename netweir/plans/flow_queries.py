@@ -8,6 +8,7 @@ from netweir.functions import ip as ipf
 from netweir.functions.timing import ntz
 from netweir.operators import panels, rollup
 from netweir.operators.enrich import enrich, enrich_asn, enrich_device, enrich_geo, enrich_interfaces, enrich_sites
+from netweir.operators.joins import keep_known
 from netweir.operators.rollup import retained
 from netweir.plans import views as v
 from netweir.plans.registry import query
@@ -217,7 +218,7 @@ _IFACE_SQL = """SELECT time_bucket(INTERVAL '1 hour', ts) AS time, exporter_ip,
 @query("iface_flow_bps", sql(_IFACE_SQL.format(where="exporter_ip IN (SELECT mgmt_ip FROM v_device)")))
 def iface_flow_bps(spark, sf):
     known = v.devices(spark, sf).select(F.col("mgmt_ip").alias("exporter_ip"))
-    flows = v.flows(spark, sf).join(known, "exporter_ip", "left_semi")
+    flows = keep_known(v.flows(spark, sf), known, ["exporter_ip"])
     return panels.interface_bit_rate(flows, None, 3600)
 
 

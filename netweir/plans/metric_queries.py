@@ -109,9 +109,10 @@ _gauge("probe_http_time", "probe_http_duration_seconds")
     SELECT 'received' AS direction, * FROM ({mv.latest_sql('bgpPeerPrefixesReceived', DAY, STEP)})
     UNION ALL SELECT 'sent', * FROM ({mv.latest_sql('bgpPeerPrefixesSent', DAY, STEP)})"""))
 def bgp_prefixes(spark, sf):
-    received = m.on_grid(mv.samples(spark, sf, "bgpPeerPrefixesReceived"), STEP, DAY)
-    sent = m.on_grid(mv.samples(spark, sf, "bgpPeerPrefixesSent"), STEP, DAY)
-    return received.withColumn("direction", F.lit("received")).unionByName(sent.withColumn("direction", F.lit("sent")))
+    samples = mv.samples(spark, sf, "bgpPeerPrefixesReceived", "bgpPeerPrefixesSent")
+    direction = F.when(F.col("metric") == "bgpPeerPrefixesReceived", "received").otherwise("sent")
+    both = m.on_grid(samples, STEP, DAY, ["metric", "series_key"])
+    return both.select(direction.alias("direction"), "series_key", "t", "value")
 
 
 @query("uptime_seconds", sql(f"""
@@ -140,13 +141,15 @@ def threshold_bands(spark, sf):
         "memory": ("device_memory_utilization", 70, 85),
         "temperature": ("device_temperature_celsius", 50, 70),
     }
-    result = None
-    for panel, (metric, warn, high) in panels.items():
-        vector = m.on_grid(mv.samples(spark, sf, metric), STEP, DAY)
-        named = m.band(F.col("value"), [(warn, "yellow"), (high, "red")], "green").alias("band")
-        part = vector.groupBy(F.lit(panel).alias("panel"), named).agg(F.count(F.lit(1)).alias("points"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    samples = mv.samples(spark, sf, *[metric for metric, _, _ in panels.values()])
+    panel = named = None
+    for name, (metric, warn, high) in panels.items():
+        hit = F.col("metric") == metric
+        bands = m.band(F.col("value"), [(warn, "yellow"), (high, "red")], "green")
+        panel = F.when(hit, name) if panel is None else panel.when(hit, name)
+        named = F.when(hit, bands) if named is None else named.when(hit, bands)
+    vector = m.on_grid(samples, STEP, DAY, ["metric", "series_key"])
+    return vector.groupBy(panel.alias("panel"), named.alias("band")).agg(F.count(F.lit(1)).alias("points"))
 
 
 # ------------------------------------------------------------ rates
@@ -365,11 +368,15 @@ _IN, _OUT = mv.increase_sql("ifHCInOctets", RANGE, STEP), mv.increase_sql("ifHCO
       FROM ({_IN}) GROUP BY ALL
     UNION ALL SELECT t, {mv.label_sql('site')}, 'out', sum(value) / {RANGE}.0E0 * 8 * -1 FROM ({_OUT}) GROUP BY ALL"""))
 def site_bandwidth(spark, sf):
-    inbound = m.aggregate(m.increase(mv.samples(spark, sf, "ifHCInOctets"), RANGE, STEP), "sum", ["site"])
-    outbound = m.aggregate(m.increase(mv.samples(spark, sf, "ifHCOutOctets"), RANGE, STEP), "sum", ["site"])
-    return _per_second(inbound).withColumn("direction", F.lit("in")).unionByName(
-        m.scale(_per_second(outbound), lambda x: x * -1).withColumn("direction", F.lit("out"))
+    grown = m.increase(
+        mv.samples(spark, sf, "ifHCInOctets", "ifHCOutOctets"), RANGE, STEP, ["metric", "series_key"]
+    )
+    direction = F.when(F.col("metric") == "ifHCInOctets", "in").otherwise("out").alias("direction")
+    summed = grown.groupBy("t", label(F.col("series_key"), "site").alias("site"), direction).agg(
+        F.sum("value").alias("value")
     )
+    sign = F.when(F.col("direction") == "in", 1).otherwise(-1)
+    return m.scale(_per_second(summed), lambda x: x * sign)
 
 
 _BOTH = f"""SELECT series_key, t, a.value + b.value AS value FROM ({_IN}) a JOIN ({_OUT}) b USING (series_key, t)"""

@@ -280,8 +280,7 @@ def approval_timeouts(spark, sf):
     SELECT alert_id, active_at, coalesce(executions, 0) AS executions, first_execution, last_execution,
         coalesce(executions, 0) > 0 AS remediated FROM a LEFT JOIN r USING (alert_id)"""))
 def alert_remediation(spark, sf):
-    name = "DeviceUnreachable"
-    found = aq.al.intervals(aq.CONDITIONS[name](spark, sf), aq.RULES[name], aq.STEP)
+    found = aq.intervals_of(spark, sf, ["DeviceUnreachable"])
     alerts = found.select(
         F.concat("alertname", F.lit("/"), label(F.col("series_key"), "instance")).alias("alert_id"), "active_at"
     )

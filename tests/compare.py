@@ -10,6 +10,10 @@ import time
 import duckdb
 
 
+# With CHECK_STRICT set, doubles have to agree in every bit.
+STRICT = bool(os.environ.get("CHECK_STRICT"))
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -25,7 +29,7 @@ def _cell(value):
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.9g}"
+        return "nan" if math.isnan(value) else repr(value) if STRICT else f"{value:.9g}"
     if hasattr(value, "isoformat"):
         return value.isoformat()
     if isinstance(value, (int,)):

@@ -55,7 +55,7 @@ def test_intervals_match_states(spark, monkeypatch, chunk):
     monkeypatch.setattr(al, "CHUNK", chunk)
     rows = active_rows(9)
     rule = al.Rule("R", "critical", 300)
-    found = al.intervals(frame(spark, rows), rule, STEP).collect()
+    found = al.intervals(al.with_rule(frame(spark, rows), rule, STEP), STEP).collect()
     starts = islands(rows)
     ends = {}
     for (k, i), start in starts.items():
