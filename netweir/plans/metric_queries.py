@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netweir.functions.labels import any_of, copy_label, equals, label, matches, rename_metric, series_key
+from netweir.functions.labels import any_of, copy_label, label, rename_metric, series_key
 from netweir.functions.timing import bucket_start, ntz
 from netweir.operators import vectors as m
 from netweir.plans import metric_views as mv
