@@ -45,7 +45,7 @@ def anomalies(spark, sf):
 CONDITIONS = {
     "DeviceDown": lambda s, d: m.keep_where(_grid(s, d, "up", equal={"job": "gnmic"}), lambda x: x == 0),
     "DeviceUnreachable": lambda s, d: m.keep_where(mq.pulled_up(s, d), lambda x: x == 0),
-    "InterfaceErrors": lambda s, d: m.keep_where(mq.iface_error_ratio(s, d), lambda x: x > 0.05),
+    "InterfaceErrors": lambda s, d: m.keep_where(mq.iface_error_ratio(s, d), lambda x: x > 0.01),
     "InterfaceErrorRate": lambda s, d: mq.error_share(s, d),
     "BGPSessionDown": lambda s, d: m.keep_where(_grid(s, d, "bgpPeerState"), lambda x: x != 6),
     "HighCPU": lambda s, d: m.keep_where(_grid(s, d, "device_cpu_utilization"), lambda x: x > 80),
@@ -93,7 +93,7 @@ CONDITION_SQL = {
     "InterfaceErrors": f"""SELECT series_key, t, e.value / nullif(p.value, 0) AS value
         FROM ({mv.rate_sql('interface_errors_total', RANGE, STEP)}) e
         JOIN ({mv.rate_sql('interface_packets_total', RANGE, STEP)}) p USING (series_key, t)
-        WHERE e.value / nullif(p.value, 0) > 0.05""",
+        WHERE e.value / nullif(p.value, 0) > 0.01""",
     "InterfaceErrorRate": f"SELECT * FROM ({mq.ERROR_SHARE_SQL})",
     "BGPSessionDown": _latest("bgpPeerState", "true", "value != 6"),
     "HighCPU": _latest("device_cpu_utilization", "true", "value > 80"),

@@ -246,9 +246,9 @@ def error_share_sql(side, limit):
         WHERE e.value / (o.value + 1) > {limit}"""
 
 
-SHARE_LIMIT = 0.0015
+SHARE_LIMIT = 0.01
 ERROR_SHARE_SQL = f"""
-    WITH l AS ({error_share_sql('In', SHARE_LIMIT)}), r AS ({error_share_sql('Out', SHARE_LIMIT / 100)})
+    WITH l AS ({error_share_sql('In', SHARE_LIMIT)}), r AS ({error_share_sql('Out', SHARE_LIMIT)})
     SELECT * FROM l UNION ALL SELECT * FROM r WHERE NOT EXISTS
       (SELECT 1 FROM l WHERE l.series_key = r.series_key AND l.t = r.t)"""
 
@@ -261,10 +261,10 @@ def _share(side):
 def vector_or(spark, sf):
     """rate(errors) / (rate(octets) + 1) above the limit: inbound series, or else outbound ones."""
     sides = []
-    for side, limit in (("In", SHARE_LIMIT), ("Out", SHARE_LIMIT / 100)):
+    for side in ("In", "Out"):
         rates = matched(spark, sf, f"if{side}Errors", f"if{side}Octets")
         share = rates.select("series_key", "t", _share(side).alias("value"))
-        sides.append(m.keep_where(share, lambda x, limit=limit: x > limit))
+        sides.append(m.keep_where(share, lambda x: x > SHARE_LIMIT))
     return m.either(*sides)
 
 
@@ -273,7 +273,7 @@ def error_share(spark, sf):
     rates = matched(spark, sf, "ifInErrors", "ifInOctets", "ifOutErrors", "ifOutOctets")
     inbound, outbound = _share("In"), _share("Out")
     value = F.coalesce(
-        F.when(inbound > SHARE_LIMIT, inbound), F.when(outbound > SHARE_LIMIT / 100, outbound)
+        F.when(inbound > SHARE_LIMIT, inbound), F.when(outbound > SHARE_LIMIT, outbound)
     )
     return rates.select("series_key", "t", value.alias("value")).where(F.col("value").isNotNull())
 

@@ -31,7 +31,8 @@ COUNTERS = {
     "c_octets": "cents",
     "c_out": "cents * 3 % 10007",
     "c_errors": "cents % 1000",
-    "c_out_errors": "cents % 7",
+    "c_out_errors": "cents % 1500",
+    "c_if_errors": "cents % 2",
     "c_discards": "cents % 5",
     "c_out_discards": "cents % 3",
     "c_packets": "1 + cents % 100",
@@ -53,7 +54,7 @@ FAMILIES: dict[str, tuple[list[str], str]] = {
     "ifInDiscards": (_IF, "c_discards"),
     "ifOutDiscards": (_IF, "c_out_discards"),
     "ifHighSpeed": (_IF, "user_id % 10"),
-    "interface_errors_total": (_IF, "c_out_errors"),
+    "interface_errors_total": (_IF, "c_if_errors"),
     "interface_packets_total": (_IF, "c_packets"),
     "bgpPeerState": (["instance", "site", "peer"], "1 + cents % 6"),
     "bgpPeerFsmEstablishedTransitions": (["instance", "peer"], "c_flaps"),
