@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netweir.llm.common import reachable, table
+from netweir.llm.common import reachable, stored, table
 from netweir.llm.minhash_forest import near_duplicates
+from netweir.llm.packing import place, token_pieces
+from netweir.llm.quality_trees import fit_quality, score_quality
+from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
 from netweir.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +32,36 @@ def query(name: str, sql: str | None = None):
 @query("op9_minhash_forest")
 def minhash_forest(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def fold(folds: int, held: int) -> Column:
+    """Whether crc32 of the id as text (a null id: empty text) leaves ``held`` modulo ``folds``."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == held
+
+
+def training_labels(spark, sf_dir, column, held_out=None):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
+    return labels if held_out is None else labels.filter(~held_out)
+
+
+@query("op8_quality_trees")
+def quality_trees(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, training_labels(spark, sf_dir, "quality", fold(5, 0)))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_toxic_segments")
+def toxic_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, training_labels(spark, sf_dir, "toxic", fold(3, 1)))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op4_packing")
+def packing(spark, sf_dir):
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = stored(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    return place(pieces, ["doc_id", "start", "ids_crc32"])
