@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netweir.llm.common import reachable, stored, table
 from netweir.llm.minhash_forest import near_duplicates
 from netweir.llm.packing import place, token_pieces
+from netweir.llm.pair_index_bpe import digests
 from netweir.llm.quality_trees import fit_quality, score_quality
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
 from netweir.session import configure
@@ -65,3 +66,8 @@ def packing(spark, sf_dir):
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     pieces = stored(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
     return place(pieces, ["doc_id", "start", "ids_crc32"])
+
+
+@query("op7_pair_index_bpe")
+def pair_index_bpe(spark, sf_dir):
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
