@@ -12,6 +12,7 @@ from netweir.llm.common import reachable, stored, table
 from netweir.llm.minhash_forest import near_duplicates
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.pair_index_bpe import digests
+from netweir.llm.parsed_fingerprints import edited_and_next
 from netweir.llm.quality_trees import fit_quality, score_quality
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
 from netweir.session import configure
@@ -71,3 +72,8 @@ def packing(spark, sf_dir):
 @query("op7_pair_index_bpe")
 def pair_index_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_parsed_fingerprints")
+def parsed_fingerprints(spark, sf_dir):
+    return edited_and_next(table(spark, sf_dir, "documents"))
