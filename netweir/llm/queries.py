@@ -14,6 +14,7 @@ from netweir.llm.packing import place, token_pieces
 from netweir.llm.pair_index_bpe import digests
 from netweir.llm.parsed_fingerprints import edited_and_next
 from netweir.llm.quality_trees import fit_quality, score_quality
+from netweir.llm.text_density import extract
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
 from netweir.session import configure
 
@@ -77,3 +78,8 @@ def pair_index_bpe(spark, sf_dir):
 @query("op3_parsed_fingerprints")
 def parsed_fingerprints(spark, sf_dir):
     return edited_and_next(table(spark, sf_dir, "documents"))
+
+
+@query("op6_text_density")
+def text_density(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
