@@ -169,8 +169,9 @@ class Page:
             if self.cut[i] or not chars[i]:
                 continue
             c, plain = chars[i], max(1, chars[i] - links[i])
+            # One is added to the base of the logarithm: without any link it would be one.
             base = math.log(c / plain * links[i] + share * c + math.e)
-            ratio = math.log(c / max(1, links[i]) * tags[i] / max(1, link_tags[i])) / math.log(base)
+            ratio = math.log(c / max(1, links[i]) * tags[i] / max(1, link_tags[i])) / math.log1p(base)
             density[i] = c / tags[i] * max(ratio, 0.0 if links[i] else 1.0)  # a few plain letters count as such
         for i in range(n):
             total[i] += own[i]
