@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweir.llm.common import reachable, stored, table
+from netweir.llm.epsilon_grid import near_vectors
 from netweir.llm.minhash_forest import near_duplicates
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.pair_index_bpe import digests
@@ -83,3 +84,21 @@ def parsed_fingerprints(spark, sf_dir):
 @query("op6_text_density")
 def text_density(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op1_epsilon_grid",
+    """WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+    reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, p.b FROM reach JOIN p ON p.a = reach.r),
+    c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+    n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+)
+def epsilon_grid(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
