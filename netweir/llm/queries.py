@@ -17,6 +17,7 @@ from netweir.llm.parsed_fingerprints import edited_and_next
 from netweir.llm.quality_trees import fit_quality, score_quality
 from netweir.llm.text_density import extract
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
+from netweir.llm.warc_index import write_and_read
 from netweir.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,15 @@ def text_density(spark, sf_dir):
 )
 def epsilon_grid(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query(
+    "op2_warc_index",
+    """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id > min(page_id) OVER (PARTITION BY payload_digest)
+      THEN min(page_id) OVER (PARTITION BY payload_digest) END AS refers_to FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM f""",
+)
+def warc_index(spark, sf_dir):
+    return write_and_read(table(spark, sf_dir, "pages")).drop("url")
