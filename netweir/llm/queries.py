@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netweir.llm.common import reachable, stored, table
 from netweir.llm.epsilon_grid import near_vectors
+from netweir.llm.license_scan import licenses, scan
 from netweir.llm.minhash_forest import near_duplicates
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.pair_index_bpe import digests
@@ -115,3 +116,11 @@ def epsilon_grid(spark, sf_dir):
 )
 def warc_index(spark, sf_dir):
     return write_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op5_license_scan")
+def license_scan(spark, sf_dir):
+    """Documents as files of a tree: source, language, thousands of ids."""
+    docs = table(spark, sf_dir, "documents")
+    part = [F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")]
+    return licenses(stored(scan(docs.select("doc_id", F.concat_ws("/", *part).alias("path"), "text")), "scanned"))
