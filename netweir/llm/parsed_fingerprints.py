@@ -45,7 +45,7 @@ def _phrase_starts(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
     right = left.copy()
     left[1:], right[:-1] = label[:-1], label[1:]
     left[begins] = 127
-    right[:-1][begins[1:]] = -1
+    right[begins[1:] - 1] = -1
     start = (label > left) & (label > right)
     start[begins] = True
     return start
