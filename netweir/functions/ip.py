@@ -19,12 +19,13 @@ def u32_to_text(ip: Column) -> Column:
 
 
 def text_to_u32(text: Column) -> Column:
-    """Dotted text to a 32-bit number held in a BIGINT."""
-    octet = F.split(text, r"\.")
+    """Dotted text to a 32-bit number held in a BIGINT; NULL for anything but four octets."""
+    octets = F.when(text.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.split(text, r"\."))
+    parts = [F.get(octets, F.lit(i)).try_cast("long") for i in range(4)]
     total = F.lit(0).cast("long")
-    for i in range(4):
-        total = total * 256 + F.get(octet, F.lit(i)).cast("long")
-    return total
+    for part in parts:
+        total = total * 256 + part
+    return F.when(F.greatest(*parts) <= 255, total)
 
 
 def u32_to_binary(ip: Column) -> Column:

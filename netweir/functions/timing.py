@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 # --- fixed values: duration units and their seconds ---
-DURATION_UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001}
+DURATION_UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ns": 1e-9}
 
 
 def micros(ts: Column) -> Column:
@@ -36,14 +36,21 @@ def bucket_start(ts: Column, width_s: int) -> Column:
 
 
 def duration_seconds(text: Column, default_s: int | None = None) -> Column:
-    """Seconds of a duration such as ``1h30m``; ``default_s`` where it gives none."""
-    total = F.lit(0.0)
-    for unit, seconds in DURATION_UNITS.items():
-        found = F.regexp_extract(text, rf"([0-9.]+){unit}(?![a-z])", 1)
-        total = total + F.coalesce(F.nullif(found, F.lit("")).cast("double"), F.lit(0.0)) * F.lit(seconds)
-    if default_s is not None:
-        return F.when(total > 0, total).otherwise(F.lit(float(default_s)))
-    return total
+    """Seconds of a duration such as ``1h30m`` or ``-1.5s``.
+
+    The whole text has to be an optional sign and numbers with units. Other text, NULL and a
+    duration of nothing give ``default_s``, or 0 without one.
+    """
+    units = "|".join(sorted(DURATION_UNITS, key=len, reverse=True))
+    number = r"[0-9]+\.?[0-9]*|\.[0-9]+"
+    valid = text.rlike(rf"^[-+]?((?:{number})({units}))+$")
+    parts = F.regexp_extract_all(text, F.lit(rf"({number})({units})"), F.lit(1))
+    names = F.regexp_extract_all(text, F.lit(rf"({number})({units})"), F.lit(2))
+    scale = F.create_map(*[F.lit(x) for pair in DURATION_UNITS.items() for x in pair])
+    seconds = F.zip_with(parts, names, lambda n, u: F.coalesce(n.try_cast("double"), F.lit(0.0)) * scale[u])
+    total = F.aggregate(seconds, F.lit(0.0), lambda a, x: a + x) * F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    known = F.when(valid & (total != 0), total)
+    return F.coalesce(known, F.lit(float(default_s or 0)))
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:

@@ -22,48 +22,43 @@ CHUNK = 512
 
 @dataclass(frozen=True)
 class Rule:
+    """``runbook`` is the page of the rule below the site's runbook address, '' if it has none."""
+
     name: str
     severity: str
     for_s: int
     summary: str = ""
     description: str = ""
+    runbook: str = ""
 
     def stretched(self, factor: int) -> Rule:
         """The rule for data on a slower clock."""
         return replace(self, for_s=self.for_s * factor)
 
 
-# --- fixed values: alert rules, their waits, severities and texts -------------
+# --- fixed values: names, severities and waits of the alert rules --------------
 RULES = {
     rule.name: rule
     for rule in (
-        Rule("DeviceDown", "critical", 120, "Device {device} at site {site} is unreachable",
-             "Target {instance} has been down for 2 minutes."),
-        Rule("DeviceUnreachable", "critical", 120, "Device {instance} is unreachable",
-             "Device {instance} has been unreachable for more than 2 minutes."),
-        Rule("InterfaceErrors", "warning", 300, "High error rate on {device} {interface}",
-             "Interface {interface} on {device} at site {site} has error rate >1% for 5 minutes."),
-        Rule("InterfaceErrorRate", "warning", 300, "Interface error rate >1% on {instance} {ifName}",
-             "Interface {ifName} on {instance} has an error rate exceeding 1% for 5 minutes."),
-        Rule("BGPSessionDown", "critical", 60, "BGP session down on {instance} peer {peer}",
-             "BGP session with peer {peer} on {instance} is not in Established state."),
-        Rule("HighCPU", "warning", 300, "High CPU on {instance} ({value}%)",
-             "Device {instance} CPU utilization has been above 80% for 5 minutes."),
-        Rule("HighMemory", "warning", 300, "High memory on {instance} ({value}%)",
-             "Device {instance} memory utilization has been above 85% for 5 minutes."),
-        Rule("TargetSyncErrorsIncreasing", "warning", 900, "Target sync errors increasing",
-             "The count of target sync errors has been increasing for more than 15 minutes."),
-        Rule("TargetSyncStale", "warning", 900, "Target sync has not succeeded recently",
-             "Last successful target sync was more than 15 minutes ago."),
-        Rule("RunbookPendingApprovalTooLong", "warning", 300,
-             "Runbook execution {name} pending approval for over 1 hour",
-             "Execution {namespace}/{name} has been waiting for approval for more than 1 hour."),
-        Rule("RunbookExecutionFailed", "critical", 60, "Runbook execution {name} failed",
-             "Execution {namespace}/{name} has entered Failed state."),
-        Rule("RunbookRollbackTriggered", "critical", 60, "Runbook rollback triggered for {name}",
-             "Execution {namespace}/{name} is rolling back."),
-        Rule("FlowRateAnomaly", "warning", 0, "Flow rate anomaly at {exporter}",
-             "Traffic of {exporter} is more than 2 standard deviations from its baseline."),
+        Rule("DeviceDown", "critical", 120, "{device} ({site}): no telemetry", "The telemetry session with {instance} was lost.", "device-down"),
+        Rule("DeviceUnreachable", "critical", 120, "{instance}: polling fails", "No poll of {instance} was answered."),
+        Rule("InterfaceErrors", "warning", 300, "{device} {interface}: packet errors",
+             "More than one packet in a hundred is bad on {device} {interface} ({site}).", "interface-errors"),
+        Rule("InterfaceErrorRate", "warning", 300, "{instance} {ifName}: error counters grow",
+             "Errors are more than 1% of the packets of {ifName} on {instance}."),
+        Rule("BGPSessionDown", "critical", 60, "{instance}: peer {peer} lost", "{instance} has no established session with {peer}."),
+        Rule("BGPSessionStateDown", "critical", 60, "{device}: neighbor {neighbor_address} lost",
+             "{device} ({site}) has no established session with {neighbor_address}.", "bgp-session-down"),
+        Rule("HighCPU", "warning", 300, "{instance}: processor at {value}%", "{instance} uses more than 80% of its processor."),
+        Rule("HighCPUUtilization", "warning", 300, "{device}: processor busy", "{device} ({site}) uses more than 80% of its processor.", "high-cpu"),
+        Rule("HighMemory", "warning", 300, "{instance}: memory at {value}%", "{instance} uses more than 85% of its memory."),
+        Rule("HighMemoryUtilization", "warning", 300, "{device}: memory short", "{device} ({site}) uses more than 85% of its memory.", "high-memory"),
+        Rule("TargetSyncErrorsIncreasing", "warning", 900, "Target lists: errors grow", "Every check found new errors of the target sync."),
+        Rule("TargetSyncStale", "warning", 900, "Target lists: out of date", "No target sync has ended well for a quarter of an hour."),
+        Rule("RunbookPendingApprovalTooLong", "warning", 300, "{name}: nobody approves", "{namespace}/{name} has waited for an approval for an hour."),
+        Rule("RunbookExecutionFailed", "critical", 60, "{name}: failed", "{namespace}/{name} ended in failure."),
+        Rule("RunbookRollbackTriggered", "critical", 60, "{name}: rolls back", "{namespace}/{name} undoes its steps."),
+        Rule("FlowRateAnomaly", "warning", 0, "{exporter}: unusual traffic", "The bytes of {exporter} are two deviations off its baseline."),
     )
 }
 
@@ -81,35 +76,45 @@ GROUP_INTERVAL_S = 300
 
 # ------------------------------------------------------------ states
 
-def states(active: DataFrame, rule: Rule, step_s: int) -> DataFrame:
+def states(tagged: DataFrame, needs: list[int], step_s: int) -> DataFrame:
     """``pending`` or ``firing`` per active step: firing once active for all of ``for``.
 
-    Whether a step fires depends only on the steps of the last ``for``, so the time
-    axis is cut into chunks that overlap by that much.
+    ``tagged`` holds the conditions of any number of rules, made by ``with_rule``, and
+    ``needs`` the steps that these rules wait for. Whether a step fires depends only on the
+    steps of the last ``for``, so the time axis is cut into chunks that overlap by that much.
+    All rules share one window; it counts each distinct wait once.
     """
-    need = -(-rule.for_s // step_s)
-    placed = active.withColumn("k", floor_div(micros(F.col("t")), step_s * MICRO))
-    chunk = max(CHUNK, need + 1)
-    copies = overlapping_chunks(placed, "k", need + 1, chunk)
-    by_time = Window.partitionBy("series_key", "_chunk").orderBy("k")
-    full = F.count(F.lit(1)).over(by_time.rangeBetween(-need, 0)) == need + 1
-    full_before = F.count(F.lit(1)).over(by_time.rangeBetween(-need - 1, -1)) == need + 1
-    return (
-        copies.withColumn("alertstate", F.when(full, "firing").otherwise("pending"))
-        .withColumn("just_fired", full & ~full_before)
-        .where(floor_div(F.col("k"), chunk) == F.col("_chunk"))
-        .select(
-            F.lit(rule.name).alias("alertname"), F.lit(rule.severity).alias("severity"),
-            "series_key", "t", "alertstate", "value", "just_fired",
-        )
+    needs = sorted(set(needs))
+    reach = max(needs, default=0) + 1
+    chunk = max(CHUNK, reach)
+    placed = tagged.withColumn("k", floor_div(micros(F.col("t")), step_s * MICRO))
+    copies = overlapping_chunks(placed, "k", reach, chunk)
+    by_time = Window.partitionBy("alertname", "series_key", "_chunk").orderBy("k")
+
+    def full(shift: int) -> Column:
+        found = F.lit(False)
+        for need in needs:
+            counted = F.count(F.lit(1)).over(by_time.rangeBetween(-need - shift, -shift)) == need + 1
+            found = F.when(F.col("need") == need, counted).otherwise(found)
+        return found
+
+    marked = copies.withColumns({"_full": full(0), "_before": full(1)})
+    return marked.where(floor_div(F.col("k"), chunk) == F.col("_chunk")).select(
+        "alertname", "severity", "series_key", "t", F.when(F.col("_full"), "firing").otherwise("pending").alias("alertstate"),
+        "value", (F.col("_full") & ~F.col("_before")).alias("just_fired"),
     )
 
 
+def need_of(rule: Rule, step_s: int) -> int:
+    """Steps a condition has to hold after the first one until the rule fires."""
+    return -(-rule.for_s // step_s)
+
+
 def with_rule(active: DataFrame, rule: Rule, step_s: int) -> DataFrame:
     """Tag a condition with its rule, so that several rules can go through one pass."""
     return active.select(
         F.lit(rule.name).alias("alertname"), F.lit(rule.severity).alias("severity"), "series_key", "t", "value",
-        F.lit(-(-rule.for_s // step_s)).alias("need"),
+        F.lit(need_of(rule, step_s)).alias("need"),
     )
 
 
@@ -141,6 +146,24 @@ def annotation(template: str, key: Column, value: Column) -> Column:
     return F.concat(*parts)
 
 
+def annotated(found: DataFrame, rules: list[Rule], runbook_site: str) -> DataFrame:
+    """Add each alert's texts and the address of its runbook ('' for a rule without one)."""
+    def chosen(text) -> Column:
+        out = F.lit("")
+        for rule in rules:
+            out = F.when(F.col("alertname") == rule.name, text(rule)).otherwise(out)
+        return out
+
+    key, value = F.col("series_key"), F.col("value")
+    return found.withColumns(
+        {
+            "summary": chosen(lambda r: annotation(r.summary, key, value)),
+            "description": chosen(lambda r: annotation(r.description, key, value)),
+            "runbook_url": chosen(lambda r: F.lit(f"{runbook_site}/{r.runbook}" if r.runbook else "")),
+        }
+    )
+
+
 def drop_ruler_replicas(alerts: DataFrame, column: str = "ruler_replica") -> DataFrame:
     return alerts.drop(column).distinct()
 

@@ -5,7 +5,7 @@ A missing lookup leaves the empty string or 0, never NULL, and never drops a flo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from netweir.operators.joins import PrefixTable, fits_broadcast, longest_prefix, lookup_left, with_words
 
 
+SIDES = ("src", "dst")
+
+
 @dataclass(frozen=True)
 class Dimensions:
     """Lookup tables of the enrichment; an absent table leaves its columns alone.
@@ -25,6 +28,13 @@ class Dimensions:
     interface: DataFrame | None = None
     geo: PrefixTable | None = None
     asn: PrefixTable | None = None
+    sizes: dict[str, bool] = field(default_factory=dict, compare=False)
+
+    def small(self, name: str) -> bool:
+        """Whether a table may be broadcast; measured once, when it is first asked for."""
+        if name not in self.sizes:
+            self.sizes[name] = fits_broadcast(getattr(self, name))
+        return self.sizes[name]
 
 
 def _or(value: Column, default) -> Column:
@@ -65,10 +75,10 @@ def enrich_interfaces(
     return result
 
 
-def enrich_geo(flows: DataFrame, geo: PrefixTable, strategy: str = "auto") -> DataFrame:
-    """Country and city of both ends; overwritten by '' where nothing covers the address."""
+def enrich_geo(flows: DataFrame, geo: PrefixTable, strategy: str = "auto", sides: tuple[str, ...] = SIDES) -> DataFrame:
+    """Country and city of the ends; overwritten by '' where nothing covers the address."""
     result = flows
-    for side in ("src", "dst"):
+    for side in sides:
         result = longest_prefix(
             result, f"{side}_ip", geo, {"country": "_country", "city": "_city"}, strategy
         )
@@ -82,10 +92,10 @@ def enrich_geo(flows: DataFrame, geo: PrefixTable, strategy: str = "auto") -> Da
     return result.drop(*_helpers(flows, result))
 
 
-def enrich_asn(flows: DataFrame, asn: PrefixTable, strategy: str = "auto") -> DataFrame:
-    """AS name of both ends; the AS number is filled only where the flow carries 0."""
+def enrich_asn(flows: DataFrame, asn: PrefixTable, strategy: str = "auto", sides: tuple[str, ...] = SIDES) -> DataFrame:
+    """AS name of the ends; the AS number is filled only where the flow carries 0."""
     result = flows
-    for side in ("src", "dst"):
+    for side in sides:
         result = longest_prefix(
             result, f"{side}_ip", asn, {"asn": "_asn", "as_name": "_as_name"}, strategy
         )
@@ -119,9 +129,9 @@ def enrich(flows: DataFrame, dims: Dimensions, strategy: str = "auto") -> DataFr
     columns = flows.columns
     result = flows
     if dims.device is not None:
-        result = enrich_device(result, dims.device)
+        result = enrich_device(result, dims.device, dims.small("device"))
         if dims.interface is not None:
-            result = enrich_interfaces(result, dims.device, dims.interface)
+            result = enrich_interfaces(result, dims.device, dims.interface, dims.small("interface"))
     if dims.geo is not None and dims.asn is not None:
         result = with_words(with_words(result, "src_ip"), "dst_ip")
     if dims.geo is not None:

@@ -55,7 +55,8 @@ def lookup_left(
         broadcast = fits_broadcast(dim, max_bytes)
     if broadcast:
         return facts.join(F.broadcast(dim), keys, "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    hashed = [c for c, kind in facts.dtypes if "map<" not in kind]  # maps have no hash
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, keys + ["_salt"], "left").drop("_salt")
 
@@ -73,9 +74,16 @@ TOP_BITS = 57
 V4_BITS = 96
 
 
+# Prefixes are filed under lengths that are multiples of this; a shorter one is filed once for
+# each value of the bits it leaves open, at most 128 times. So an address is looked up for a few
+# lengths only (four for IPv4, sixteen for IPv6), however many lengths the prefixes have.
+STRIDE = 8
+
+
 @dataclass(frozen=True)
 class PrefixTable:
-    """An IP-prefix dimension: ``hi``, ``lo`` (64-bit halves), ``plen`` and attributes."""
+    """An IP-prefix dimension: ``hi``, ``lo`` (64-bit halves), ``plen`` (the length it is filed
+    under) and attributes; one row per key."""
 
     rows: DataFrame
     attributes: tuple[str, ...]
@@ -84,13 +92,30 @@ class PrefixTable:
 
     @staticmethod
     def of(prefixes: DataFrame, attributes: list[str], max_bytes: int = BROADCAST_BYTES) -> PrefixTable:
-        """From rows ``prefix`` (16 bytes), ``plen`` and the attributes."""
+        """From rows ``prefix`` (16 bytes), ``plen`` and the attributes.
+
+        Bits after the length are cleared. Of rows with the same prefix and length the greatest
+        attributes stay, so a flow meets one row at most. Rows that are no prefix are left out.
+        """
         hi, lo = words(F.col("prefix"))
-        rows = prefixes.select(hi.alias("hi"), lo.alias("lo"), F.col("plen").cast("int"), *attributes)
+        rows = prefixes.select(hi.alias("hi"), lo.alias("lo"), F.col("plen").cast("int").alias("plen"), F.struct(*attributes).alias("attributes"))
+        rows = rows.where(F.col("hi").isNotNull() & F.col("plen").between(0, 128))
+        rows = rows.withColumns({"hi": F.col("hi").bitwiseAND(_keep_column(F.col("plen"))), "lo": F.col("lo").bitwiseAND(_keep_column(F.col("plen") - 64))})
         mapped = (F.col("hi") == 0) & (F.shiftrightunsigned("lo", 32) == 0xFFFF) & (F.col("plen") >= V4_BITS)
-        kind = F.when(mapped, MAPPED).when((F.col("plen") <= TOP_BITS) & (F.col("hi") != 0), TOP).otherwise(WIDE)
-        rows = rows.withColumn("kind", kind)
-        # At most 129 lengths of three kinds exist, so this list is bounded by the data type.
+        filed = (F.ceil(F.col("plen") / STRIDE) * STRIDE).cast("int")
+        top = (filed <= TOP_BITS) & (F.col("hi") != 0)
+        rows = rows.withColumns({"kind": F.when(mapped, MAPPED).when(top, TOP).otherwise(WIDE), "filed": filed})
+        open_bits = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, filed - plen) - 1")))
+        rows = rows.withColumn("bits", open_bits)
+        rows = rows.withColumns(
+            {
+                "hi": F.when(F.col("filed") <= 64, F.col("hi").bitwiseOR(F.expr("shiftleft(bits, 64 - filed)"))).otherwise(F.col("hi")),
+                "lo": F.when(F.col("filed") > 64, F.col("lo").bitwiseOR(F.expr("shiftleft(bits, 128 - filed)"))).otherwise(F.col("lo")),
+            }
+        )
+        longest = rows.groupBy("hi", "lo", "kind", "filed").agg(F.max(F.struct("plen", "attributes")).alias("best"))
+        rows = longest.select("hi", "lo", F.col("filed").alias("plen"), "kind", "best.attributes.*")
+        # At most 17 lengths of three kinds exist, so this list is bounded by the data type.
         sizes = rows.groupBy("kind", "plen").agg(F.sum(_width(rows)).alias("bytes")).collect()
         kinds = sorted(((r["kind"], r["plen"]) for r in sizes), key=lambda x: -x[1])
         return PrefixTable(rows, tuple(attributes), tuple(kinds), sum(r["bytes"] for r in sizes) <= max_bytes)
@@ -109,10 +134,6 @@ class PrefixTable:
         return [{k: n for k, n in ((MAPPED, n4), (TOP, n6)) if n is not None} for n4, n6 in pairs]
 
 
-# Beyond this many probes, resolving each distinct address once is cheaper.
-MOST_PROBES = 24
-
-
 def with_words(facts: DataFrame, ip: str) -> DataFrame:
     """Add the numbers that probes of ``ip`` are made from; they serve several tables."""
     if f"_v4_{ip}" in facts.columns:
@@ -132,13 +153,14 @@ def longest_prefix(
 ) -> DataFrame:
     """Attach the attributes of the longest prefix that covers ``ip`` (NULL if none).
 
-    ``out`` maps attribute to output column. ``probe``: hash lookups into a broadcast
-    table, longest prefix first; the facts are never shuffled. ``distinct``: each
-    distinct address is resolved once and joined back. ``auto`` probes when the table is
-    small enough to broadcast.
+    ``out`` maps attribute to output column. ``probe``: lookups by equality, longest prefix
+    first; the facts are not shuffled if the table is small enough to broadcast.
+    ``distinct``: each distinct address is resolved once and joined back. Both give the same
+    rows. ``auto`` probes unless the table is large; a stream always probes, because it
+    can't be joined to its own distinct addresses.
     """
     if strategy == "auto":
-        strategy = "probe" if table.small and len(table.probes()) <= MOST_PROBES else "distinct"
+        strategy = "probe" if table.small or facts.isStreaming else "distinct"
     if strategy == "probe":
         return _probe(facts, ip, table, out)
     resolved = resolve_addresses(facts.select(F.col(ip).alias("_ip")), {"hit": table})
@@ -161,10 +183,9 @@ def _probe(facts: DataFrame, ip: str, table: PrefixTable, out: dict[str, str]) -
     leading = F.when(F.col("kind") == MAPPED, F.shiftleft("lo", 32)).otherwise(F.col("hi"))
     code = F.when(F.col("kind") == MAPPED, F.col("plen") - (V4_BITS - 64)).otherwise(F.col("plen")).cast("long")
     # All probes read the same broadcast, because the prefix length is part of the key.
-    compact = F.broadcast(
-        table.rows.where(F.col("kind") != WIDE).select(leading.bitwiseOR(code).alias("_key"), hit)
-    )
-    wide = F.broadcast(
+    sent = F.broadcast if table.small else lambda rows: rows
+    compact = sent(table.rows.where(F.col("kind") != WIDE).select(leading.bitwiseOR(code).alias("_key"), hit))
+    wide = sent(
         table.rows.where(F.col("kind") == WIDE).select(
             F.col("hi").alias("_k1"), F.col("lo").alias("_k2"), F.col("plen").alias("_k3"), hit
         )
@@ -197,6 +218,13 @@ def _keep(bits: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")
 
 
+def _keep_column(bits: Column) -> Column:
+    """The same for a column of lengths; a length outside 0..64 counts as the nearest bound."""
+    cut = F.greatest(F.lit(0), F.least(F.lit(64), bits)).cast("int")
+    # A shift by 64 is a shift by nothing, so no bits at all is a case of its own.
+    return F.when(cut == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(64) - cut))
+
+
 def _masked(word: Column, half: int, plen: int) -> Column:
     """One half of an address with the bits after ``plen`` cleared."""
     bits = min(max(plen - 64 * half, 0), 64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from netweir.functions.labels import label
@@ -48,6 +50,9 @@ CONDITIONS = {
     "InterfaceErrors": lambda s, d: m.keep_where(mq.iface_error_ratio(s, d), lambda x: x > 0.01),
     "InterfaceErrorRate": lambda s, d: mq.error_share(s, d),
     "BGPSessionDown": lambda s, d: m.keep_where(_grid(s, d, "bgpPeerState"), lambda x: x != 6),
+    "BGPSessionStateDown": lambda s, d: m.keep_where(_grid(s, d, "bgp_session_state"), lambda x: x != 6),
+    "HighCPUUtilization": lambda s, d: m.keep_where(_grid(s, d, "cpu_utilization"), lambda x: x > 80),
+    "HighMemoryUtilization": lambda s, d: m.keep_where(_grid(s, d, "memory_utilization"), lambda x: x > 85),
     "HighCPU": lambda s, d: m.keep_where(_grid(s, d, "device_cpu_utilization"), lambda x: x > 80),
     "HighMemory": lambda s, d: m.keep_where(_grid(s, d, "device_memory_utilization"), lambda x: x > 85),
     "TargetSyncErrorsIncreasing": lambda s, d: m.keep_where(mq.sync_errors_increase(s, d), lambda x: x > 0),
@@ -96,6 +101,9 @@ CONDITION_SQL = {
         WHERE e.value / nullif(p.value, 0) > 0.01""",
     "InterfaceErrorRate": f"SELECT * FROM ({mq.ERROR_SHARE_SQL})",
     "BGPSessionDown": _latest("bgpPeerState", "true", "value != 6"),
+    "BGPSessionStateDown": _latest("bgp_session_state", "true", "value != 6"),
+    "HighCPUUtilization": _latest("cpu_utilization", "true", "value > 80"),
+    "HighMemoryUtilization": _latest("memory_utilization", "true", "value > 85"),
     "HighCPU": _latest("device_cpu_utilization", "true", "value > 80"),
     "HighMemory": _latest("device_memory_utilization", "true", "value > 85"),
     "TargetSyncErrorsIncreasing":
@@ -127,14 +135,22 @@ for _name, _text in CONDITION_SQL.items():
           until + to_seconds({STEP}) AS resolved_at
       FROM v_active_{_name} GROUP BY series_key, since, until"""
 
-# The rules whose alerts the overview queries look at.
-OVERVIEW = ["DeviceUnreachable", "BGPSessionDown", "HighCPU", "HighMemory", "InterfaceErrorRate"]
+# The overview queries look at the alerts of all rules.
+OVERVIEW = list(RULES)
 for _kind in ("states", "intervals"):
     VIEWS[f"v_alert_{_kind}"] = " UNION ALL ".join(f"SELECT * FROM v_{_kind}_{name}" for name in OVERVIEW)
 
 
+def tagged(spark, sf, names):
+    return _union(al.with_rule(CONDITIONS[name](spark, sf), RULES[name], STEP) for name in names)
+
+
+def states_of(spark, sf, names):
+    return al.states(tagged(spark, sf, names), [al.need_of(RULES[name], STEP) for name in names], STEP)
+
+
 def rule_states(spark, sf, name):
-    return al.states(CONDITIONS[name](spark, sf), RULES[name], STEP)
+    return states_of(spark, sf, [name])
 
 
 def _union(parts):
@@ -145,12 +161,11 @@ def _union(parts):
 
 
 def all_states(spark, sf):
-    return _union(rule_states(spark, sf, name) for name in OVERVIEW)
+    return states_of(spark, sf, OVERVIEW)
 
 
 def intervals_of(spark, sf, names):
-    tagged = _union(al.with_rule(CONDITIONS[name](spark, sf), RULES[name], STEP) for name in names)
-    return al.intervals(tagged, STEP)
+    return al.intervals(tagged(spark, sf, names), STEP)
 
 
 def all_intervals(spark, sf):
@@ -165,14 +180,14 @@ _STATE_COLUMNS = "alertname, severity, series_key, t, alertstate, value"
 def _rule_query(key, names):
     @query(key, sql(" UNION ALL ".join(f"SELECT {_STATE_COLUMNS} FROM v_states_{n}" for n in names)))
     def run(spark, sf):
-        return _union(rule_states(spark, sf, n) for n in names).drop("just_fired")
+        return states_of(spark, sf, names).drop("just_fired")
 
 
 _rule_query("alert_device_down", ["DeviceDown", "DeviceUnreachable"])
 _rule_query("alert_iface_errors", ["InterfaceErrors", "InterfaceErrorRate"])
-_rule_query("alert_bgp_down", ["BGPSessionDown"])
-_rule_query("alert_high_cpu", ["HighCPU"])
-_rule_query("alert_high_memory", ["HighMemory"])
+_rule_query("alert_bgp_down", ["BGPSessionDown", "BGPSessionStateDown"])
+_rule_query("alert_high_cpu", ["HighCPU", "HighCPUUtilization"])
+_rule_query("alert_high_memory", ["HighMemory", "HighMemoryUtilization"])
 _rule_query("alert_sync_errors", ["TargetSyncErrorsIncreasing"])
 _rule_query("alert_sync_stale", ["TargetSyncStale"])
 _rule_query("alert_pending_approval", ["RunbookPendingApprovalTooLong"])
@@ -192,26 +207,28 @@ def alert_intervals(spark, sf):
     return all_intervals(spark, sf)
 
 
-@query("alert_annotations", sql(f"""
-    SELECT alertname, series_key, t, concat('High CPU on ', {mv.label_sql('instance')}, ' (', CAST(value AS BIGINT), '%)')
-        AS summary, concat('Device ', {mv.label_sql('instance')}, ' CPU utilization has been above 80% for 5 minutes.')
-        AS description FROM v_states_HighCPU
-    UNION ALL SELECT alertname, series_key, t,
-        concat('BGP session down on ', {mv.label_sql('instance')}, ' peer ', {mv.label_sql('peer')}),
-        concat('BGP session with peer ', {mv.label_sql('peer')}, ' on ', {mv.label_sql('instance')},
-               ' is not in Established state.') FROM v_states_BGPSessionDown"""))
+RUNBOOK_SITE = "https://runbooks.example.net"
+
+
+def _annotation_sql(template):
+    """The text of a rule with its labels filled in."""
+    pieces = re.split(r"(\{\w+\})", template)
+    number = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
+    parts = [
+        (number if p == "{value}" else mv.label_sql(p[1:-1])) if re.fullmatch(r"\{\w+\}", p) else "'" + p.replace("'", "''") + "'"
+        for p in pieces if p
+    ]
+    return f"concat({', '.join(parts)})" if parts else "''"
+
+
+@query("alert_annotations", sql(" UNION ALL ".join(
+    f"""SELECT alertname, series_key, t, {_annotation_sql(r.summary)} AS summary, {_annotation_sql(r.description)} AS description,
+        {f"'{RUNBOOK_SITE}/{r.runbook}'" if r.runbook else "''"} AS runbook_url FROM v_states_{r.name}"""
+    for r in RULES.values())))
 def alert_annotations(spark, sf):
-    parts = []
-    for name in ("HighCPU", "BGPSessionDown"):
-        rule = RULES[name]
-        parts.append(
-            rule_states(spark, sf, name).select(
-                "alertname", "series_key", "t",
-                al.annotation(rule.summary, F.col("series_key"), F.col("value")).alias("summary"),
-                al.annotation(rule.description, F.col("series_key"), F.col("value")).alias("description"),
-            )
-        )
-    return _union(parts)
+    return al.annotated(all_states(spark, sf), list(RULES.values()), RUNBOOK_SITE).select(
+        "alertname", "series_key", "t", "summary", "description", "runbook_url"
+    )
 
 
 # ------------------------------------------------------------ overview panels
@@ -281,7 +298,7 @@ _ROUTE_SQL = """CASE severity WHEN 'critical' THEN 'pagerduty' WHEN 'warning' TH
 @query("alert_routing", sql(f"""
     SELECT series_key, alertname, firing_at, severity, {_ROUTE_SQL} FROM (
       SELECT series_key, alertname, firing_at,
-        CASE WHEN series_key LIKE '%"site5"%' THEN 'info' WHEN series_key LIKE '%"site6"%' THEN 'none' ELSE severity END
+        CASE {mv.label_sql('site')} WHEN 'site5' THEN 'info' WHEN 'site6' THEN 'none' ELSE severity END
         AS severity FROM v_alert_intervals WHERE firing_at IS NOT NULL)"""))
 def alert_routing(spark, sf):
     """Firing alerts and where they go; two sites override the severity of their alerts."""

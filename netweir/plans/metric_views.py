@@ -63,6 +63,9 @@ FAMILIES: dict[str, tuple[list[str], str]] = {
     "bgpPeerFsmEstablishedTime": (["instance", "peer"], "cents"),
     "device_cpu_utilization": (_DEV, "cents % 101"),
     "device_memory_utilization": (_DEV, "cents * 7 % 101"),
+    "bgp_session_state": (["device:instance", "site", "neighbor_address:peer"], "1 + cents % 6"),
+    "cpu_utilization": (["device:instance", "site"], "cents * 3 % 101"),
+    "memory_utilization": (["device:instance", "site"], "cents * 11 % 101"),
     "device_temperature_celsius": (_DEV, "cents % 90"),
     "device_power_supply_status": (_DEV, "1 + cents % 3"),
     "sysUpTime": (_DEV, "cents * 13"),

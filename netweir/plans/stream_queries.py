@@ -234,11 +234,14 @@ def guarded_overwrite(spark, sf):
 
 @query("stream_alerts", SQL["alert_high_memory"])
 def stream_alerts(spark, sf):
-    name = "HighMemory"
-    out, checkpoint = work_dir(spark, "alerts"), work_dir(spark, "checkpoint")
-    sink = sa.evaluate_batches(aq.RULES[name], aq.STEP, out)
-    in_arrivals(spark, aq.CONDITIONS[name](spark, sf), micros(F.col("t")), 3, _foreach(sink, checkpoint))
-    return spark.read.parquet(f"{out}/states").drop("batch_id", "just_fired")
+    found = None
+    for name in ("HighMemory", "HighMemoryUtilization"):
+        out, checkpoint = work_dir(spark, "alerts"), work_dir(spark, "checkpoint")
+        sink = sa.evaluate_batches(aq.RULES[name], aq.STEP, out)
+        in_arrivals(spark, aq.CONDITIONS[name](spark, sf), micros(F.col("t")), 3, _foreach(sink, checkpoint))
+        states = sa.read_states(spark, out).drop("just_fired")
+        found = states if found is None else found.unionByName(states)
+    return found
 
 
 @query("stream_notifications", aq.SCHEDULE_SQL)

@@ -114,10 +114,15 @@ def guarded_overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_
         return False
     _, target = _fs(spark, path)
     _, previous = _fs(spark, f"{path.rstrip('/')}.previous")
-    if fs.exists(target):
+    replaced = fs.exists(target)
+    if replaced:
         fs.delete(previous, True)
-        fs.rename(target, previous)
-    fs.rename(staged_path, target)
+        if not fs.rename(target, previous):
+            raise OSError(f"{path} could not be moved aside; its content is as it was, the new one is in {staged}")
+    if not fs.rename(staged_path, target):
+        if replaced and not fs.rename(previous, target):
+            raise OSError(f"{path} could not be replaced; its content is in {previous}, the new one in {staged}")
+        raise OSError(f"{path} could not be replaced; its content is as it was, the new one is in {staged}")
     return True
 
 

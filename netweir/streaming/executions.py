@@ -14,46 +14,52 @@ MICRO = 1_000_000
 DONE = ["Completed", "Failed", "Cancelled", "RolledBack"]
 
 
-def track_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that follows executions until they leave PendingApproval or finish.
+STATE = "execution STRING, deadline_us BIGINT, left_us BIGINT, ended_us BIGINT"
 
-    Input rows: execution, phase, ts, start_time, approval_timeout. Waiting executions are
-    kept between batches as a table, one row each. Event time drives the clock: an
-    approval times out when the newest event seen is later than its deadline.
+
+def track_batches(path: str, late_s: int = 0, keep_s: int = 7 * 86_400) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that follows executions until their approval times out or they finish.
+
+    Input rows: execution, phase, ts, start_time, approval_timeout. An execution whose first
+    event after PendingApproval comes later than its deadline has timed out, and that is its
+    end; so has one that still waits when the newest event seen is ``late_s`` past the deadline.
+    Each execution ends once, however its events are cut into batches of rising time. Between
+    batches one row per execution is kept; ended ones for ``keep_s`` more, so that repeated
+    events do not end them again.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        deadline = micros(F.col("ts")) + (
-            duration_seconds(F.col("approval_timeout"), APPROVAL_TIMEOUT_S) * MICRO
-        ).cast("long")
-        events = batch.select("execution", "phase", "ts", "start_time", deadline.alias("deadline_us"))
-        events = events.persist()
+        us = micros(F.col("ts"))
+        pending = F.col("phase") == "PendingApproval"
+        wait = (duration_seconds(F.col("approval_timeout"), APPROVAL_TIMEOUT_S) * MICRO).cast("long")
+        done = F.when(F.col("phase").isin(DONE), F.struct("ts", "phase", "start_time"))
+        events = batch.groupBy("execution").agg(
+            F.min(F.when(pending, us + wait)).alias("new_deadline"), F.min(F.when(~pending, us)).alias("new_left"), F.min(done).alias("done"), F.max(us).alias("newest")
+        ).persist()
         try:
-            batch_newest = events.agg(F.max(micros(F.col("ts")))).first()[0]
-            newest = batch_newest or 0
-            latest = events.groupBy("execution").agg(F.max_by(F.struct("phase", "deadline_us"), F.col("ts")).alias("l"))
-            waiting = latest.where(F.col("l.phase") == "PendingApproval").select("execution", "l.deadline_us")
+            newest = events.agg(F.max("newest")).first()[0] or 0
+            before = spark.createDataFrame([], STATE)
             if batch_id > 0:
-                before = f"{path}/waiting/batch_id={batch_id - 1}"
+                before = spark.read.schema(STATE).parquet(f"{path}/waiting/batch_id={batch_id - 1}")
                 newest = max(newest, spark.read.parquet(f"{path}/clock/batch_id={batch_id - 1}").first()[0])
-                still = spark.read.parquet(before).join(latest.select("execution"), "execution", "left_anti")
-                waiting = waiting.unionByName(still)
-            spark.range(1).select(F.lit(newest).cast("long").alias("us")).write.mode("overwrite").parquet(
-                f"{path}/clock/batch_id={batch_id}"
-            )
-            expired = F.col("deadline_us") < F.lit(newest)
-            timed_out = waiting.where(expired).select(
-                "execution", F.lit("TimedOut").alias("phase"),
-                F.timestamp_micros("deadline_us").cast("timestamp_ntz").alias("at"),
-                F.lit(None).cast("long").alias("duration_s"),
+            spark.range(1).select(F.lit(newest).cast("long").alias("us")).write.mode("overwrite").parquet(f"{path}/clock/batch_id={batch_id}")
+            deadline, left = F.least("deadline_us", "new_deadline"), F.least("left_us", "new_left")
+            now = before.join(events, "execution", "full").withColumns({"deadline_us": deadline, "left_us": left})
+            overdue = F.coalesce(F.col("left_us") > F.col("deadline_us"), F.lit(newest - late_s * MICRO) > F.col("deadline_us"), F.lit(False))
+            now = now.withColumn("late", overdue & F.col("deadline_us").isNotNull()).withColumn(
+                "ends", F.col("ended_us").isNull() & (F.col("late") | F.col("done").isNotNull())
             )
-            finished = events.where(F.col("phase").isin(DONE)).select(
-                "execution", "phase", F.col("ts").cast("timestamp_ntz").alias("at"),
-                elapsed_seconds(F.col("start_time"), F.col("ts")).alias("duration_s"),
+            ended = now.where("ends").select(
+                "execution",
+                F.when(F.col("late"), "TimedOut").otherwise(F.col("done.phase")).alias("phase"),
+                F.when(F.col("late"), F.timestamp_micros("deadline_us").cast("timestamp_ntz")).otherwise(F.col("done.ts").cast("timestamp_ntz")).alias("at"),
+                F.when(~F.col("late"), elapsed_seconds(F.col("done.start_time"), F.col("done.ts"))).alias("duration_s"),
             )
-            timed_out.unionByName(finished).write.mode("overwrite").parquet(f"{path}/ended/batch_id={batch_id}")
-            waiting.where(~expired).write.mode("overwrite").parquet(f"{path}/waiting/batch_id={batch_id}")
+            ended.write.mode("overwrite").parquet(f"{path}/ended/batch_id={batch_id}")
+            kept = now.select("execution", "deadline_us", "left_us", F.when(F.col("ends"), F.lit(newest).cast("long")).otherwise(F.col("ended_us")).alias("ended_us"))
+            kept = kept.where(F.col("ended_us").isNull() | (F.col("ended_us") > newest - keep_s * MICRO))
+            kept.write.mode("overwrite").parquet(f"{path}/waiting/batch_id={batch_id}")
         finally:
             events.unpersist()
 

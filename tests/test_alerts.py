@@ -40,7 +40,10 @@ def islands(rows):
 def test_states(spark, monkeypatch, for_s, need, chunk):
     monkeypatch.setattr(al, "CHUNK", chunk)
     rows = active_rows(for_s)
-    got = al.states(frame(spark, rows), al.Rule("R", "warning", for_s), STEP).collect()
+    rule = al.Rule("R", "warning", for_s)
+    # A second rule with another wait goes through the same pass.
+    both = al.with_rule(frame(spark, rows), rule, STEP).unionByName(al.with_rule(frame(spark, rows), al.Rule("S", "info", 120), STEP))
+    got = al.states(both, [al.need_of(rule, STEP), 2], STEP).where("alertname = 'R'").collect()
     begin = int(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp()) // STEP
     found = {(r.series_key, int(r.t.replace(tzinfo=dt.timezone.utc).timestamp()) // STEP - begin): (r.alertstate, r.just_fired) for r in got}
     want = {

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweir.operators import rollup
-from netweir.operators.alerts import Rule, states
+from netweir.operators.alerts import Rule, states, with_rule
 from netweir.plans import views as v
 from netweir.schema import MINUTE_KEYS
 from netweir.sources.flows import read_flow_files
@@ -99,8 +99,19 @@ def test_alert_states_across_batches_and_a_retry(spark, tmp_path):
         batch = active.where((F.col("t") >= F.lit(at(60 * low))) & (F.col("t") < F.lit(at(60 * high))))
         sink(batch, n)
         sink(batch, n)
-    got = spark.read.parquet(f"{tmp_path}/states").drop("batch_id")
-    assert same(got, states(active, rule, 60).select(*got.columns))
+    got = sa.read_states(spark, str(tmp_path))
+    assert same(got, states(with_rule(active, rule, 60), [3], 60).select(*got.columns))
+
+
+@pytest.mark.parametrize("batches", [[[0, 1, 3, 4], [2]], [[0], [4], [2, 3], [1]], [[4, 3], [2, 1, 0]]])
+def test_late_steps_are_judged_again(spark, tmp_path, batches):
+    rule = Rule("R", "warning", 120)
+    frame = lambda steps: spark.createDataFrame([("a", at(60 * i), 1.0) for i in steps], "series_key string, t timestamp, value double")
+    sink = sa.evaluate_batches(rule, 60, str(tmp_path), late_s=600)
+    for n, steps in enumerate(batches):
+        sink(frame(steps), n)
+    got = sa.read_states(spark, str(tmp_path))
+    assert same(got, states(with_rule(frame(range(5)), rule, 60), [2], 60).select(*got.columns))
 
 
 def test_executions_time_out_only_while_waiting(spark, tmp_path):
@@ -119,6 +130,21 @@ def test_executions_time_out_only_while_waiting(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("cuts", [[], [1], [2, 4], [1, 2, 3, 4, 5, 6]])
+def test_an_execution_ends_once_however_batches_are_cut(spark, tmp_path, cuts):
+    rows = [
+        ("a", "PendingApproval", at(0), None, "30m"), ("b", "PendingApproval", at(10), None, "2h"), ("b", "Approved", at(600), None, "2h"),
+        ("c", "Completed", at(700), at(100), None), ("b", "Completed", at(4000), at(601.4), "2h"), ("a", "Approved", at(5000), None, "30m"),
+        ("a", "Completed", at(5100), at(5001), "30m"),
+    ]
+    schema = "execution string, phase string, ts timestamp, start_time timestamp, approval_timeout string"
+    sink = se.track_batches(str(tmp_path))
+    for n, (low, high) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+        sink(spark.createDataFrame(rows[low:high], schema), n)
+    got = sorted((r.execution, r.phase, r.at, r.duration_s) for r in spark.read.parquet(f"{tmp_path}/ended").collect())
+    assert got == [("a", "TimedOut", at(1800), None), ("b", "Completed", at(4000), 3399), ("c", "Completed", at(700), 600)]
+
+
 def test_redelivered_records_are_dropped(spark, tmp_path):
     rows = [(1, 0, 5, at(0)), (1, 0, 5, at(0)), (1, 0, 6, at(1)), (2, 0, 5, at(2))]
     schema = "topic int, partition int, offset bigint, ts timestamp"
