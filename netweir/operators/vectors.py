@@ -61,6 +61,16 @@ def _counter_step(previous: Column, current: Column) -> Column:
     return F.when(current < previous, current).otherwise(current - previous)
 
 
+def _at_last(time: str, value: str) -> Column:
+    """The value at the latest time; of readings with the same time the greatest."""
+    return F.max(F.struct(time, value)).getField(value)
+
+
+def _at_first(time: str, value: str) -> Column:
+    """The value at the earliest time; of readings with the same time the least."""
+    return F.min(F.struct(time, value)).getField(value)
+
+
 def gauge_panes(
     samples: DataFrame, step_s: int, include_end: bool = False, keys: list[str] = SERIES
 ) -> DataFrame:
@@ -70,7 +80,7 @@ def gauge_panes(
         .agg(
             F.count("value").alias("n"),
             F.sum("value").alias("total"),
-            F.max_by("value", "us").alias("last_value"),
+            _at_last("us", "value").alias("last_value"),
         )
     )
 
@@ -85,8 +95,8 @@ def counter_panes(samples: DataFrame, step_s: int, keys: list[str] = SERIES) ->
         .agg(
             F.count("value").alias("n"),
             F.coalesce(F.sum("grown"), F.lit(0.0)).alias("inner_growth"),
-            F.min_by("value", "us").alias("first_value"),
-            F.max_by("value", "us").alias("last_value"),
+            _at_first("us", "value").alias("first_value"),
+            _at_last("us", "value").alias("last_value"),
         )
     )
 
@@ -172,7 +182,7 @@ def instant(samples: DataFrame, at: str, lookback_s: int = 300) -> DataFrame:
     return (
         samples.where((F.col("ts") <= moment) & (F.col("ts") > moment - F.expr(f"INTERVAL {lookback_s} SECONDS")))
         .groupBy("series_key")
-        .agg(F.max_by("value", micros(F.col("ts"))).alias("value"))
+        .agg(_at_last("ts", "value").alias("value"))
         .select("series_key", moment.cast("timestamp_ntz").alias("t"), "value")
     )
 
@@ -298,8 +308,8 @@ def downsample(samples: DataFrame, width_s: int) -> DataFrame:
             F.sum("value").alias("sample_sum"),
             F.min("value").alias("sample_min"),
             F.max("value").alias("sample_max"),
-            F.min_by("value", "us").alias("sample_first"),
-            F.max_by("value", "us").alias("sample_last"),
+            _at_first("us", "value").alias("sample_first"),
+            _at_last("us", "value").alias("sample_last"),
             F.coalesce(F.sum("grown"), F.lit(0.0)).alias("counter_growth"),
         )
         .select(grid_time(F.col("w"), width_s).alias("window_start"), "*")
@@ -321,8 +331,8 @@ def downsample_further(fine: DataFrame, width_s: int) -> DataFrame:
             F.sum("sample_sum").alias("sample_sum"),
             F.min("sample_min").alias("sample_min"),
             F.max("sample_max").alias("sample_max"),
-            F.min_by("sample_first", "us").alias("sample_first"),
-            F.max_by("sample_last", "us").alias("sample_last"),
+            _at_first("us", "sample_first").alias("sample_first"),
+            _at_last("us", "sample_last").alias("sample_last"),
             F.sum(F.col("counter_growth") + F.col("link")).alias("counter_growth"),
         )
         .select(grid_time(F.col("w"), width_s).alias("window_start"), "*")

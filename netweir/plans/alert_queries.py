@@ -141,8 +141,55 @@ for _kind in ("states", "intervals"):
     VIEWS[f"v_alert_{_kind}"] = " UNION ALL ".join(f"SELECT * FROM v_{_kind}_{name}" for name in OVERVIEW)
 
 
+# Rules on the newest reading of a gauge: metric, label matchers, value of the alert, condition on it.
+def _age_of(value):
+    return F.unix_seconds(F.col("t").cast("timestamp")).cast("double") - value
+
+
+def _labelled(name, *values):
+    return label(F.col("series_key"), name).isin(*values)
+
+
+_PHASES = "runbook_execution_phase"
+GAUGES = {
+    "DeviceDown": ("up", lambda: _labelled("job", "gnmic"), lambda x: x, lambda x: x == 0),
+    "DeviceUnreachable": ("up", lambda: _labelled("job", "snmp", "gnmic"), lambda x: x, lambda x: x == 0),
+    "BGPSessionDown": ("bgpPeerState", None, lambda x: x, lambda x: x != 6),
+    "BGPSessionStateDown": ("bgp_session_state", None, lambda x: x, lambda x: x != 6),
+    "HighCPU": ("device_cpu_utilization", None, lambda x: x, lambda x: x > 80),
+    "HighCPUUtilization": ("cpu_utilization", None, lambda x: x, lambda x: x > 80),
+    "HighMemory": ("device_memory_utilization", None, lambda x: x, lambda x: x > 85),
+    "HighMemoryUtilization": ("memory_utilization", None, lambda x: x, lambda x: x > 85),
+    "TargetSyncStale": ("target_sync_last_success_timestamp", None, _age_of, lambda x: x > 900),
+    "RunbookPendingApprovalTooLong": (_PHASES, lambda: _labelled("phase", "PendingApproval"), _age_of, lambda x: x > 3600),
+    "RunbookExecutionFailed": (_PHASES, lambda: _labelled("phase", "Failed"), lambda x: x, lambda x: x == 1),
+    "RunbookRollbackTriggered": (_PHASES, lambda: _labelled("phase", "RollingBack"), lambda x: x, lambda x: x == 1),
+}
+
+
+def gauge_alerts(spark, sf, names):
+    """The conditions of all gauge rules from one pass over the readings."""
+    metrics = sorted({GAUGES[n][0] for n in names})
+    grid = m.on_grid(mv.samples(spark, sf, *metrics), STEP, DAY, ["metric", "series_key"])
+    found = []
+    for name in names:
+        metric, matcher, value, condition = GAUGES[name]
+        rule, x = RULES[name], value(F.col("value"))
+        holds = (F.col("metric") == metric) & condition(x) & (matcher() if matcher else F.lit(True))
+        row = [F.lit(name).alias("alertname"), F.lit(rule.severity).alias("severity"), x.alias("value"), F.lit(al.need_of(rule, STEP)).alias("need")]
+        found.append(F.when(holds, F.struct(*row)))
+    hits = F.filter(F.array(*found), lambda r: r.isNotNull())
+    return grid.select("series_key", "t", F.explode(hits).alias("r")).select(
+        "r.alertname", "r.severity", "series_key", "t", "r.value", "r.need"
+    )
+
+
 def tagged(spark, sf, names):
-    return _union(al.with_rule(CONDITIONS[name](spark, sf), RULES[name], STEP) for name in names)
+    """The conditions of the named rules, each row with its rule."""
+    gauges, others = [n for n in names if n in GAUGES], [n for n in names if n not in GAUGES]
+    parts = [gauge_alerts(spark, sf, gauges)] if gauges else []
+    parts += [al.with_rule(CONDITIONS[n](spark, sf), RULES[n], STEP) for n in others]
+    return _union(parts)
 
 
 def states_of(spark, sf, names):
