@@ -149,14 +149,14 @@ def stream_rollup_1h(spark, sf):
 
 @query("stream_late_rows", _MINUTES)
 def stream_late_rows(spark, sf):
-    """Flows arrive out of order, hours of the day mixed: each late one still counts."""
-    out = _stream_tiers(spark, sf, F.hour("ts"))
+    """Each minute's flows arrive in three batches, days apart: the late ones still count."""
+    out = _stream_tiers(spark, sf, F.second("ts"))
     return v.printable(sf_.read_tier(spark, out, "1m"))
 
 
 @query("stream_rollup_1m_closed", sql(f"""
     SELECT * FROM ({_MINUTES}) WHERE minute + INTERVAL 1 MINUTE <= (
-      SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) - INTERVAL 1 HOUR FROM events)"""))
+      SELECT max(ts) - INTERVAL 1 HOUR FROM v_event_flows)"""))
 def stream_rollup_1m_closed(spark, sf):
     """Append mode: what the watermark has closed by the end of the stream."""
     flows = to_canonical(v.event_wire(table_stream(spark, sf, "events")))
@@ -189,6 +189,21 @@ def compact_rollup(spark, sf):
     return v.printable(spark.read.parquet(out).drop("event_date"))
 
 
+LIFE_END, LIFE_DAYS, LIFE_FROM, LIFE_TO = "2024-01-31 15:30:00", 15, "2024-01-12 00:00:00", "2024-01-20 12:00:00"
+
+
+@query("stream_store_lifecycle", f"""
+    SELECT * FROM ({_MINUTES}) WHERE minute > TIMESTAMP '{LIFE_END}' - INTERVAL {LIFE_DAYS} DAY
+        AND minute >= TIMESTAMP '{LIFE_FROM}' AND minute < TIMESTAMP '{LIFE_TO}'""")
+def stream_store_lifecycle(spark, sf):
+    """A stream fills the minute tier, half of its days are compacted, old ones expire, a range is read."""
+    out = _stream_tiers(spark, sf, F.second("ts"))
+    days = spark.read.parquet(f"{out}/1m").where("event_date < DATE'2024-01-18'").select(F.col("event_date").cast("string")).distinct()
+    tables.compact_rollup(spark, f"{out}/1m", rollup.MINUTE_KEYS, [r[0] for r in days.collect()])
+    tables.expire(spark, f"{out}/1m", "minute", LIFE_END, LIFE_DAYS)
+    return v.printable(sf_.read_tier(spark, out, "1m", LIFE_FROM, LIFE_TO))
+
+
 @query("expire_raw", sql("""
     SELECT ts, exporter_ip, bytes FROM v_event_flows WHERE ts > TIMESTAMP '2024-01-31 15:30:00' - INTERVAL 7 DAY"""))
 def expire_raw(spark, sf):

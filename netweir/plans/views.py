@@ -76,18 +76,23 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(to_canonical(lineitem_wire(table(spark, sf_dir, "lineitem"))))
 
 
+BUSY_MS = 6 * 3_600_000
+
+
 def event_wire(events: DataFrame) -> DataFrame:
-    """Events as wire records with sub-minute times: a few talkers, many repeats."""
+    """Events as wire records: four talkers in one busy minute every six hours, so several
+    flows meet in every row of a rollup."""
     user, event = F.col("user_id"), F.col("event_id")
     kind = F.col("event_type")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return events.select(
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
+        (ms - F.pmod(ms, F.lit(BUSY_MS)) + event % 30 * 1000).alias("timestamp_ms"),
         F.lit(3).alias("flow_type"),
         (NET10 + user).alias("exporter_ip"),
         (1 + event % 2).alias("in_if"),
         (1 + event % 3).alias("out_if"),
-        F.unhex(_hex((16_777_216 * (1 + user % 100) + event % 4).cast("long"), 8)).alias("src_ip"),
-        F.unhex(_hex((16_777_216 * (1 + event % 4)).cast("long"), 8)).alias("dst_ip"),
+        F.unhex(_hex((16_777_216 * (1 + user % 2)).cast("long"), 8)).alias("src_ip"),
+        F.unhex(_hex((16_777_216 * (1 + event % 2)).cast("long"), 8)).alias("dst_ip"),
         F.lit(4).alias("ip_version"),
         F.when(kind == "error", 1).when(kind == "click", 6).otherwise(17).alias("protocol"),
         F.lit(1024).alias("src_port"),

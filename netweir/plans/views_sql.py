@@ -56,12 +56,12 @@ VIEWS["v_flows"] = f"""
   FROM lineitem"""
 
 VIEWS["v_event_flows"] = f"""
-  SELECT make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts, 167772160 + user_id AS exporter_ip,
+  SELECT make_timestamp((epoch_us(ts) // 21600000000 * 21600 + event_id % 30) * 1000000) AS ts, 167772160 + user_id AS exporter_ip,
       1 + event_id % 2 AS in_if, 1 + event_id % 3 AS out_if,
-      {_v4_text('16777216*(1 + user_id % 100) + event_id % 4')} AS src_ip,
-      {_v4_text('16777216*(1 + event_id % 4)')} AS dst_ip,
-      {_v4_net('16777216*(1 + user_id % 100) + event_id % 4')} AS src_network,
-      {_v4_net('16777216*(1 + event_id % 4)')} AS dst_network,
+      {_v4_text('16777216*(1 + user_id % 2)')} AS src_ip,
+      {_v4_text('16777216*(1 + event_id % 2)')} AS dst_ip,
+      {_v4_net('16777216*(1 + user_id % 2)')} AS src_network,
+      {_v4_net('16777216*(1 + event_id % 2)')} AS dst_network,
       4 AS ip_version,
       CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 6 ELSE 17 END AS protocol,
       1024 AS src_port, CASE WHEN event_type = 'view' THEN 443 ELSE 53 END AS dst_port,

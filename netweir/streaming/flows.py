@@ -24,13 +24,14 @@ def run_available(writer, checkpoint: str):
     return query
 
 
-def to_raw_table(flows: DataFrame, path: str, files_per_day: int = 8):
+def to_raw_table(flows: DataFrame, path: str, files_per_day: int | None = None):
     """Writer of a flow stream into the day-partitioned raw table.
 
-    The rows of a day meet in ``files_per_day`` tasks, so a batch neither opens a file
-    per task and day nor puts a whole day into one task.
+    A batch is usually of one day, so its rows are dealt by exporter and time over all tasks
+    of a shuffle, unless ``files_per_day`` asks for fewer and larger files.
     """
-    spread = F.pmod(F.xxhash64("exporter_ip", "ts"), F.lit(files_per_day))
+    files = files_per_day or int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64("exporter_ip", "ts"), F.lit(files))
     dated = flows.withColumn("event_date", F.to_date("ts")).repartition("event_date", spread)
     return dated.writeStream.format("parquet").option("path", path).partitionBy("event_date").outputMode("append")
 
@@ -38,31 +39,48 @@ def to_raw_table(flows: DataFrame, path: str, files_per_day: int = 8):
 # ------------------------------------------------------------ rollup partials
 
 
+def _append_batch(rows: DataFrame, path: str, period: str, batch_id: int) -> None:
+    """Write a batch below its days (or months). A retry replaces the folders of the batch."""
+    (
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(period, "batch_id").parquet(path)
+    )
+
+
 def write_partials(path: str, raw: bool = True) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: raw rows and both tiers in one pass over the batch.
 
-    Each batch writes its own folder and writes it again when retried, so a restart
-    never counts a flow twice. A late flow just adds a partial to its old minute.
+    A tier is partitioned by day (the hour tier by month) and then by batch, so readers prune
+    by time, retention drops folders, and a restart never counts a flow twice. A late flow just
+    adds a partial to its old minute.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             if raw:
-                batch.write.mode("overwrite").parquet(f"{path}/raw/batch_id={batch_id}")
-            minutes = rollup_1m(batch)
-            minutes.write.mode("overwrite").parquet(f"{path}/1m/batch_id={batch_id}")
-            rollup_1h(batch).write.mode("overwrite").parquet(f"{path}/1h/batch_id={batch_id}")
+                _append_batch(batch.withColumn("event_date", F.to_date("ts")), f"{path}/raw", "event_date", batch_id)
+            _append_batch(rollup_1m(batch).withColumn("event_date", F.to_date("minute")), f"{path}/1m", "event_date", batch_id)
+            hours = rollup_1h(batch).withColumn("event_month", F.date_format("hour", "yyyyMM"))
+            _append_batch(hours, f"{path}/1h", "event_month", batch_id)
         finally:
             batch.unpersist()
 
     return sink
 
 
-def read_tier(spark: SparkSession, path: str, tier: str) -> DataFrame:
-    """A tier as readers see it: partials of all batches merged."""
-    keys = {"1m": MINUTE_KEYS, "1h": HOUR_KEYS}[tier]
-    return merge_partials(spark.read.parquet(f"{path}/{tier}"), keys)
+def read_tier(spark: SparkSession, path: str, tier: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A tier as readers see it: partials of all batches merged, of ``[start, end)`` if given."""
+    keys, time_column, period = {"1m": (MINUTE_KEYS, "minute", "event_date"), "1h": (HOUR_KEYS, "hour", "event_month")}[tier]
+    rows = spark.read.parquet(f"{path}/{tier}")
+    cut = (lambda t: F.to_date(t)) if period == "event_date" else (lambda t: F.date_format(t, "yyyyMM").cast("int"))
+    for bound, keep in ((start, lambda c, x: c >= x), (end, lambda c, x: c < x)):
+        if bound is not None:
+            moment = F.lit(bound).cast("timestamp")
+            # The period as well, so that folders outside the range are not listed for reading.
+            inside = F.col(period) >= cut(moment) if bound is start else F.col(period) <= cut(moment)
+            rows = rows.where(inside & keep(F.col(time_column), moment))
+    return merge_partials(rows, keys)
 
 
 def rollup_1m_closed(flows: DataFrame, delay: str) -> DataFrame:
@@ -113,6 +131,9 @@ class RefreshingDimensions:
         for name in ("geo", "asn"):
             table = getattr(fresh, name)
             tables[name] = None if table is None else replace(table, rows=self._copy(table.rows, name))
+        for old in range(1, self.version - 1):  # the copy before this one may still be read
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         return Dimensions(**tables)
 
     def get(self) -> Dimensions:
