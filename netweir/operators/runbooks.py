@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweir.operators.joins import fits_broadcast
 from netweir.functions.timing import duration_seconds, elapsed_seconds, micros
 from netweir.operators.ordered import with_neighbors
 
@@ -56,9 +57,12 @@ def validate_parameters(executions: DataFrame, definitions: DataFrame) -> DataFr
     """One row per execution and declared parameter: its value after defaults, and any problem.
 
     executions: execution, runbook, parameters MAP.  definitions: runbook, parameter, type,
-    required, default_value, validation (pattern), options ARRAY.
+    required, default_value, validation (pattern), options ARRAY. A pattern that is none makes
+    its own parameter a problem, not the query.
     """
-    joined = executions.join(definitions, "runbook")
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.coalesce("validation", F.lit("")))
+    checked = definitions.withColumn("_usable", compiled.isNotNull())
+    joined = executions.join(F.broadcast(checked) if fits_broadcast(definitions) else checked, "runbook")
     given = F.try_element_at(F.col("parameters"), F.col("parameter"))
     value = F.coalesce(F.nullif(given, F.lit("")), F.nullif(F.col("default_value"), F.lit("")))
     rows = joined.withColumn("value", value)
@@ -69,12 +73,29 @@ def validate_parameters(executions: DataFrame, definitions: DataFrame) -> DataFr
         .when((F.col("type") == "integer") & v.try_cast("bigint").isNull(), "not an integer")
         .when((F.col("type") == "boolean") & ~F.lower(v).isin("true", "false"), "not a boolean")
         .when((F.col("type") == "select") & ~F.array_contains(F.col("options"), v), "not an option")
+        .when(~F.col("_usable"), "bad pattern")
         .when((F.col("validation") != "") & ~F.rlike(v, F.col("validation")), "does not match")
         .otherwise("")
     )
     return rows.select("execution", "runbook", "parameter", "value", problem.alias("problem"))
 
 
+# ------------------------------------------------------------ audit events
+
+def timeline(events: DataFrame) -> DataFrame:
+    """Audit events of each execution in order, with the time since the one before.
+
+    events: the columns of an audit event. Events of one moment are ordered by type and step. An
+    execution has a bounded number of events, so one task orders all of its own.
+    """
+    along = Window.partitionBy("namespace", "executionName").orderBy("timestamp", "eventType", "stepName")
+    gap = (micros(F.col("timestamp")) - micros(F.lag("timestamp").over(along))) / F.lit(1_000_000)
+    return events.select(
+        "namespace", F.col("executionName").alias("execution"), F.row_number().over(along).cast("long").alias("position"),
+        F.col("eventType").alias("event_type"), F.col("timestamp").alias("at"), gap.alias("seconds_since"),
+    )
+
+
 # ------------------------------------------------------------ executions
 
 def with_runbook(executions: DataFrame, runbooks: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from netweir.functions.labels import any_of, copy_label, label, rename_metric, series_key
 from netweir.functions.timing import bucket_start, ntz
 from netweir.operators import vectors as m
+from netweir.operators.rollup import retained
 from netweir.plans import metric_views as mv
 from netweir.plans import views as v
 from netweir.plans.metric_views import DAY, STEP
 from netweir.plans.registry import query
 from netweir.plans.views_sql import sql
+from netweir.schema import METRIC_RETENTION_DAYS
 
 RANGE = 2 * DAY
 PULL = "job IN ('snmp', 'gnmic')"
@@ -529,6 +531,28 @@ def downsample_1h_to_1d(spark, sf):
     return m.downsample_further(m.downsample(mv.samples(spark, sf, "ifHCInOctets"), 3600), DAY)
 
 
+METRIC_AS_OF = "2024-02-20 00:00:00"
+_TIER_TIMES = {"raw": "ts", "5m": "time_bucket(INTERVAL '5 minutes', ts)", "1h": "time_bucket(INTERVAL '1 hour', ts)"}
+
+
+@query("retention_metric_tiers", sql(" UNION ALL ".join(
+    f"""SELECT '{tier}' AS tier, count(*) AS rows_kept, min(moment) AS oldest FROM (
+        SELECT {'' if tier == 'raw' else 'DISTINCT'} series_key, {time} AS moment FROM v_m_ifHCInOctets)
+        WHERE moment > TIMESTAMP '{METRIC_AS_OF}' - INTERVAL {METRIC_RETENTION_DAYS[tier]} DAY"""
+    for tier, time in _TIER_TIMES.items())))
+def retention_metric_tiers(spark, sf):
+    """What each resolution of a metric still holds."""
+    samples = mv.samples(spark, sf, "ifHCInOctets")
+    tiers = [("raw", samples, "ts"), ("5m", m.downsample(samples, 300), "window_start"), ("1h", m.downsample(samples, 3600), "window_start")]
+    result = None
+    for name, df, column in tiers:
+        part = retained(df, column, METRIC_AS_OF, METRIC_RETENTION_DAYS[name]).agg(
+            F.lit(name).alias("tier"), F.count(F.lit(1)).alias("rows_kept"), ntz(F.min(column)).alias("oldest")
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 def _store_key(dc, replica):
     return (
         f"""concat('{{"cluster":"main","datacenter":"{dc}","instance":"', instance, '","replica":"{replica}","site":"', """

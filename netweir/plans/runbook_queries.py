@@ -12,6 +12,8 @@ from netweir.plans import metric_views as mv
 from netweir.plans import views as v
 from netweir.plans.registry import query
 from netweir.plans.views_sql import VIEWS, sql
+from netweir.session import work_dir
+from netweir.sources.tables import read_audit
 
 TIMEOUTS = ["1h", "30m", "1h30m", "", "90s"]
 COOLDOWNS = ["15m", "240h", "720h"]
@@ -175,6 +177,21 @@ def param_validation(spark, sf):
     return rb.validate_parameters(executions(spark, sf), parameter_definitions(spark, sf))
 
 
+@query("audit_timeline", sql("""
+    SELECT 'ns' AS namespace, execution, row_number() OVER w AS position, 'Phase' || phase AS event_type, ts AS at,
+        (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0E0 AS seconds_since
+    FROM v_phase WINDOW w AS (PARTITION BY execution ORDER BY ts, 'Phase' || phase)"""))
+def audit_timeline(spark, sf):
+    """Phase changes written as an audit log and read back, event by event."""
+    log = phase_events(spark, sf).select(
+        F.col("ts").alias("timestamp"), F.concat(F.lit("Phase"), "phase").alias("eventType"),
+        F.col("execution").alias("executionName"), F.lit("ns").alias("namespace"), F.lit("").alias("stepName"),
+    )
+    path = work_dir(spark, "audit")
+    log.write.json(path)
+    return v.printable(rb.timeline(read_audit(spark, path)))
+
+
 @query("duration_seconds", sql("""
     SELECT execution, approval_timeout, CAST(timeout_s AS DOUBLE) AS timeout_s, CAST(cooldown_s AS DOUBLE) AS cooldown_s
     FROM (SELECT *, ['1h', '30m', '1h30m', '', '90s'][c % 5 + 1] AS approval_timeout FROM v_exec)"""))

@@ -97,3 +97,10 @@ def test_copy_label(spark):
     rows = spark.sql("SELECT map('source','r1','device','old') m, map('device','old') n")
     got = rows.select(copy_label(F.col("m"), "source", "device"), copy_label(F.col("n"), "source", "device")).first()
     assert got[0] == {"source": "r1", "device": "r1"} and got[1] == {"device": "old"}
+
+
+def test_text_that_is_no_address_or_duration(spark):
+    bad = ["10.0.0.300", "2001:db8::1", "bad", "", "1.2.3", "1.2.3.4.5", " 1.2.3.4", None]
+    assert column(spark, bad, "string", ip.text_to_u32) == [None] * len(bad)
+    given = ["1.2.3s", "2h5x", "-1h", "1.5h", "100us", "0s", "h", "+2m", "1h "]
+    assert column(spark, given, "string", lambda c: duration_seconds(c, 3600)) == [3600.0, 3600.0, -3600.0, 5400.0, 1e-4, 3600.0, 3600.0, 120.0, 3600.0]

@@ -61,3 +61,33 @@ def test_lookup_same_result_broadcast_or_salted(spark, limit):
     rows = joined.collect()
     assert len(rows) == 1000
     assert all(r.v == (r.k * 2 if r.k < 40 else None) for r in rows)
+
+
+@pytest.mark.parametrize("strategy", ["probe", "distinct"])
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_doubled_and_unmasked_prefixes_keep_one_row_per_flow(spark, strategy, limit):
+    ten = V4 | 10 << 24
+    rows = [(ten | 5, 104, "A"), (ten, 104, "B"), (ten | 1 << 16, 112, "C"), (ten, 200, "no"), (None, 8, "no")]
+    rows += [(V4 | n << 24 | 99, 96 + n % 33, f"{n}") for n in range(40, 90)]
+    rows += [((0x20010DB8 << 96) | 7, n, f"v6/{n}") for n in range(1, 129)]
+    frame = [(p.to_bytes(16, "big") if p is not None else None, n, a) for p, n, a in rows]
+    table = PrefixTable.of(spark.createDataFrame(frame, "prefix binary, plen int, name string"), ["name"], max_bytes=limit)
+    assert len(table.probes()) <= 25
+    addresses = [ten | 77, ten | 1 << 16 | 3, (0x20010DB8 << 96) | 7, (0x20010DB8 << 96) | 6, V4 | 11 << 24] * 3
+    facts = spark.createDataFrame([(i, a.to_bytes(16, "big"), {"k": "v"}) for i, a in enumerate(addresses)], "i int, ip binary, tags map<string,string>")
+    found = {r.i: r.name for r in longest_prefix(facts, "ip", table, {"name": "name"}, strategy).collect()}
+    assert len(found) == len(addresses)
+    assert [found[i] for i in range(5)] == ["B", "C", "v6/128", "v6/127", "67"]
+
+
+def test_a_stream_meets_a_large_table(spark, tmp_path):
+    """The table does not fit a broadcast; the stream still gets every flow once."""
+    rows = [((V4 | 10 << 24 | n << 8).to_bytes(16, "big"), plen, f"{n}/{plen}") for n in range(50) for plen in range(97, 129)]
+    table = PrefixTable.of(spark.createDataFrame(rows, "prefix binary, plen int, name string"), ["name"], max_bytes=0)
+    facts = spark.createDataFrame([(i, (V4 | 10 << 24 | i % 60 << 8).to_bytes(16, "big")) for i in range(200)], "i int, ip binary")
+    facts.write.parquet(str(tmp_path / "in"))
+    stream = longest_prefix(spark.readStream.schema(facts.schema).parquet(str(tmp_path / "in")), "ip", table, {"name": "name"})
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = {r.i: r.name for r in longest_prefix(facts, "ip", table, {"name": "name"}).collect()}
+    assert {r.i: r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want and len(want) == 200

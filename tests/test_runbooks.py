@@ -92,3 +92,11 @@ def test_namespace_defaults_to_the_executions_own(spark):
                                "execution string, runbook string, ref_namespace string, namespace string")
     defs = spark.createDataFrame([("rb", "ns1", "one"), ("rb", "ns2", "two")], "runbook string, runbook_namespace string, kind string")
     assert {(r.execution, r.kind) for r in rb.with_runbook(ex, defs).collect()} == {("e1", "one"), ("e2", "two")}
+
+
+def test_a_bad_pattern_is_the_problem_of_its_parameter(spark):
+    runs = spark.createDataFrame([("e", "r", {"p": "abc", "q": "abc", "s": "xbc"})], "execution string, runbook string, parameters map<string,string>")
+    rows = [("r", n, "string", False, "", p, []) for n, p in (("p", "a(b"), ("q", "^a"), ("s", "^a"))]
+    declared = spark.createDataFrame(rows, "runbook string, parameter string, type string, required boolean, default_value string, validation string, options array<string>")
+    got = {r.parameter: r.problem for r in rb.validate_parameters(runs, declared).collect()}
+    assert got == {"p": "bad pattern", "q": "", "s": "does not match"}
