@@ -115,3 +115,62 @@ def test_audit_source(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"timestamp":"2024-01-01T00:00:00Z","eventType":"StepFailed","details":{"k":"v"}}\n')
     row = tables.read_audit(spark, str(tmp_path)).first()
     assert row.eventType == "StepFailed" and row.details == {"k": "v"} and row.timestamp is not None
+
+
+class StubbornFiles:
+    """A file system whose renames fail after the first ``good`` ones."""
+
+    def __init__(self, fs, good):
+        self.fs, self.left = fs, good
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def rename(self, source, target):
+        self.left -= 1
+        return self.fs.rename(source, target) if self.left >= 0 else False
+
+
+@pytest.mark.parametrize("good", [0, 1])
+def test_a_failed_rename_does_not_lose_the_table(spark, tmp_path, monkeypatch, good):
+    path = str(tmp_path / "t")
+    tables.guarded_overwrite(spark.range(3), path)
+    real, files = tables._fs, {}
+
+    def stubborn(session, name):
+        fs, jpath = real(session, name)
+        return files.setdefault("fs", StubbornFiles(fs, good)), jpath
+
+    # The second failing rename is the one back; it is allowed to work.
+    monkeypatch.setattr(tables, "_fs", stubborn)
+    original = StubbornFiles.rename
+    monkeypatch.setattr(StubbornFiles, "rename", lambda self, a, b: self.fs.rename(a, b) if str(a.getName()).endswith(".previous") else original(self, a, b))
+    with pytest.raises(OSError):
+        tables.guarded_overwrite(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_stream_tier_is_pruned_compacted_and_expired(spark, sf_dir, tmp_path):
+    from netweir.plans import views
+    from netweir.schema import MINUTE_KEYS
+    from netweir.streaming import flows as sf_
+
+    out = str(tmp_path)
+    sink = sf_.write_partials(out)
+    flows = views.event_flows(spark, sf_dir)
+    for n in range(3):
+        sink(flows.where(F.second("ts") % 3 == n), n)
+    sink(flows.where(F.second("ts") % 3 == 1), 1)  # a retry
+    whole = sf_.read_tier(spark, out, "1m").agg(F.sum("flow_count")).first()[0]
+    assert whole == flows.count()
+    ranged = sf_.read_tier(spark, out, "1m", "2024-01-10 00:00:00", "2024-01-12 00:00:00")
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    want = flows.where((F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-12")).count()
+    tables.compact_rollup(spark, f"{out}/1m", MINUTE_KEYS, ["2024-01-10"])
+    assert spark.read.parquet(f"{out}/1m").where("event_date = '2024-01-10'").select("batch_id").distinct().count() == 1
+    assert sf_.read_tier(spark, out, "1m", "2024-01-10 00:00:00", "2024-01-12 00:00:00").agg(F.sum("flow_count")).first()[0] == want
+    tables.expire(spark, f"{out}/1m", "minute", "2024-01-31 15:30:00", 10)
+    left = spark.read.parquet(f"{out}/1m").agg(F.min("minute"), F.sum("flow_count")).first()
+    kept = flows.where(F.date_trunc("minute", "ts") > F.lit("2024-01-21 15:30:00").cast("timestamp")).count()
+    assert left[1] == kept and str(left[0]) > "2024-01-21 15:30:00"
