@@ -21,16 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netweir.llm.common import in_batches
+from netweir.operators.joins import fits_broadcast
 
 WORD = re.compile(r"\w+")
-STEMS = (3, 4, 5)
-PRIOR = 50.0  # total weight of the Dirichlet prior, in texts of each class
+STEMS = (5, 4, 3)
+PRIOR = 20.0  # total weight of the Dirichlet prior, in texts of each class
 SIGNIFICANT = 2.5  # |z| from which a token's log-odds count
+SUPPORT = 0.005  # share of the toxic texts (at least three of them) that hold a token that counts against a text
 MARGIN = 1.0  # taken off the log-odds, so that words that both classes use do not add up
 MAX_TOKENS = 200_000  # size of the lexicon; the least significant tokens beyond it are left out
 MAX_ROWS = 40_000  # labelled texts that the calibration is fitted on; all are scored
 DRIFT = -0.5  # score of a word without significant log-odds
 CLIP = 6.0
+APART = 50  # a word counts against a text again after so many words
 LEVEL = 0.01  # a passage counts from this chance of one as good in a clean text of the length
 
 
@@ -60,9 +63,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                found = {t for w in set(words_of(text)) for t in tokens_of(w)}
-                found.add("")  # counts the texts
-                seen[label].update(found)
+                seen[label].update({t for w in set(words_of(text)) for t in tokens_of(w)})
                 if len(seen[0]) + len(seen[1]) > 200_000:
                     yield from flush()
         yield from flush()
@@ -82,13 +83,19 @@ class Segments:
     shift: float = 0.0
 
     def scores(self, words: list[str], seen: dict[str, float]) -> list[float]:
+        """One score per word; the same word again within APART words is worth nothing more."""
         out, lexicon = [], self.lexicon
-        for w in words:
+        last: dict[str, int] = {}
+        for k, w in enumerate(words):
             s = seen.get(w)
             if s is None:
                 s = next((lexicon[t] for t in tokens_of(w) if t in lexicon), DRIFT)
                 if len(seen) < 300_000:
                     seen[w] = s
+            if s > 0:
+                if k - last.get(w, -APART) < APART:
+                    s = 0.0
+                last[w] = k
             out.append(s)
         return out
 
@@ -134,20 +141,21 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
 
 
-def lexicon_of(counts: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[dict[str, float], float, float]:
-    """Significant log-odds by token, lambda and K of the scores of a clean word."""
-    texts = counts.filter("token = ''").first()
-    if texts is None or not texts["toxic"] or not texts["clean"]:
+def lexicon_of(counts: DataFrame, toxic: int, clean: int, max_tokens: int = MAX_TOKENS) -> tuple[dict[str, float], float, float]:
+    """Significant log-odds by token, lambda and K of the scores of a clean word. toxic, clean:
+    the number of texts that were counted."""
+    if not toxic or not clean:
         return {}, 1.0, 1.0
-    nt, nc = float(texts["toxic"]), float(texts["clean"])
+    nt, nc = float(toxic), float(clean)
     share = (F.col("toxic") + F.col("clean")) / (nt + nc)
     a, b = F.col("toxic") + share * PRIOR, F.col("clean") + share * PRIOR
     at, bt = F.lit(nt + PRIOR) - a, F.lit(nc + PRIOR) - b
     odds = F.log(a / F.greatest(at, F.lit(0.5))) - F.log(b / F.greatest(bt, F.lit(0.5)))
     z = odds / F.sqrt(1 / a + 1 / b)
     rows = (
-        counts.filter("token <> ''").select("token", odds.alias("odds"), z.alias("z"), "clean")
-        .filter(F.abs("z") >= SIGNIFICANT).orderBy(F.abs("z").desc(), "token").limit(max_tokens).collect()
+        counts.select("token", odds.alias("odds"), z.alias("z"), "clean", "toxic")
+        .filter((F.abs("z") >= SIGNIFICANT) & ((F.col("z") < 0) | (F.col("toxic") >= max(3.0, SUPPORT * nt))))
+        .orderBy(F.abs("z").desc(), "token").limit(max_tokens).collect()
     )
     lexicon = {r["token"]: float(np.clip(r["odds"] - MARGIN, -CLIP, CLIP)) for r in rows}
     # Lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words.
@@ -167,8 +175,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     """Learn from rows of labels (doc_id, label 0/1). The token counts cover all of them, the
     curve is fitted on at most ``max_rows``. Without both classes every score is 0.5 or less."""
     rows = labels.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(rows, "doc_id")
-    lexicon, rate, size = lexicon_of(token_counts(known))
+    # Labels are small beside the texts: unless they measure large, the texts stay where they are.
+    near = F.broadcast(rows) if fits_broadcast(rows) else rows
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(near, "doc_id")
+    sizes = {r["label"]: r["count"] for r in docs.select("doc_id").join(near, "doc_id").groupBy("label").count().collect()}
+    lexicon, rate, size = lexicon_of(token_counts(known), sizes.get(1, 0), sizes.get(0, 0))
     model = Segments(lexicon, rate, size)
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")

@@ -82,7 +82,7 @@ def test_toxic_edges(spark, edge_docs, no_docs):
     got = {r.doc_id: r.p for r in ts.score_toxicity(docs, model, "p").collect()}
     assert all((p >= 0.7) == (k % 3 == 0) for k, p in got.items())
     passages = ts.toxic_passages(docs.filter("doc_id < 2"), model).collect()
-    assert [(r.doc_id, r.words) for r in passages] == [(0, "vile brute vile brute vile brute")] and passages[0].first_word == 30
+    assert [(r.doc_id, r.words) for r in passages] == [(0, "vile brute")] and passages[0].first_word == 30
     scored = ts.score_toxicity(edge_docs, model, "p")
     assert scored.columns == [*edge_docs.columns, "p"] and scored.count() == edge_docs.count() and scored.filter("p >= 0.7").count() == 0
     assert ts.score_toxicity(no_docs, model, "p").collect() == []
