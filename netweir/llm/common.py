@@ -27,7 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     work nor depend on the executors that did it."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -136,22 +144,26 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether the pairs (u, v) are stars already: no u has two of them, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(
+        edges.select(F.col("v"), F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that ``edges`` (a, b) join to another: the smallest id reachable.
 
-    Alternating large-star and small-star steps until the edges rest. The minimum of a node is
-    a map-side aggregation and the join against it has one row per node on the other side, so a
-    hub is split as any skewed join is. Each round is written to the shared folder, which cuts
+    Alternating large-star and small-star steps until only stars are left. The minimum of a node
+    is a map-side aggregation and the join against it has one row per node on the other side, so
+    a hub is split as any skewed join is. Each round is written to the shared folder, which cuts
     the lineage. Self links and links with a null are ignored.
     """
-    now = stored(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.max(F.xxhash64("v", "u"))).first()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
-        now = stored(_star(_star(now, False), True), "links")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
-        now.select(F.col("v"), F.col("v")).distinct()
-    )
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = stored(pairs, "links")
+    while not _is_settled(now):
+        now, old = stored(_star(_star(now, False), True), "links"), now
+        discard(old)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v"), F.col("v")).distinct())

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import components, in_batches, partitions, random_words, shingles, stored
+from netweir.llm.common import components, discard, in_batches, partitions, random_words, shingles, stored
 from netweir.operators.joins import fits_broadcast
 
 TREES, DEPTH, ROOT = 24, 6, 4
 CROWD = 12  # a run of at most so many texts is compared in full within its tree
-CHUNK, CHUNK_SHINGLES = 64, 400_000  # texts whose sets one group compares
-PLAUSIBLE = 5.5  # standard errors below the limit at which an estimate rules a pair out
+CHUNK, CHUNK_SHINGLES = 256, 1_000_000  # texts whose sets one group compares
+WIDTH = 2 * DEPTH  # bytes of a path: 16 bits of each minimum
+PLAUSIBLE = 5.0  # standard errors below the limit at which an estimate rules a pair out
 ODD = random_words(TREES * DEPTH, 9) | np.uint64(1)
 
 
@@ -35,28 +36,28 @@ def minima(sets: np.ndarray) -> np.ndarray:
     return best
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("paths", pa.list_(pa.binary()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("paths", pa.binary()), ("mini", pa.binary())])
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size of the shingle set, its 128-bit name (k1, k2) and its path in every tree."""
+    """doc_id, size of the shingle set, its 128-bit name (k1, k2), its paths in all trees, one
+    after the other, and one byte of every minimum for estimates."""
 
     def make(ids, texts):
-        n, k1, k2, paths = [], [], [], []
+        n, k1, k2, paths, mini = [], [], [], [], []
         for text in texts:
             s = shingles(text, words)
             n.append(len(s))
             k1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             k2.append(int(np.bitwise_xor.reduce(s * (s >> np.uint64(7) | np.uint64(1))).view(np.int64)) if len(s) else 0)
-            if len(s):
-                m = minima(s).astype(">u4").tobytes()
-                paths.append([m[i * 4 * DEPTH : (i + 1) * 4 * DEPTH] for i in range(TREES)])
-            else:
-                paths.append(None)
-        return ids, n, k1, k2, paths
+            m = minima(s) if len(s) else None
+            # The low bits of a minimum are evenly spread, its high bits are not.
+            paths.append(None if m is None else (m & np.uint32(0xFFFF)).astype(">u2").tobytes())
+            mini.append(None if m is None else ((m >> np.uint32(4)) & np.uint32(0xFF)).astype(np.uint8).tobytes())
+        return ids, n, k1, k2, paths, mini
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        in_batches(["doc_id", "text"], make, SKETCH), "doc_id long, n_shingles long, k1 long, k2 long, paths array<binary>"
+        in_batches(["doc_id", "text"], make, SKETCH), "doc_id long, n_shingles long, k1 long, k2 long, paths binary, mini binary"
     )
 
 
@@ -74,7 +75,7 @@ def _crowds(keys: list[bytes], lo: int, hi: int, depth: int, out: list[tuple[int
         if depth < DEPTH:
             start = lo
             for i in range(lo + 1, hi + 1):
-                if i == hi or keys[i][: 4 * (depth + 1)] != keys[start][: 4 * (depth + 1)]:
+                if i == hi or keys[i][: 2 * (depth + 1)] != keys[start][: 2 * (depth + 1)]:
                     work.append((start, i, depth + 1))
                     start = i
 
@@ -83,7 +84,7 @@ def _pairs_of(trees, keys, ids) -> tuple[list[int], list[int]]:
     found: list[tuple[int, int]] = []
     start = 0
     for i in range(1, len(keys) + 1):
-        if i == len(keys) or trees[i] != trees[start] or keys[i][: 4 * ROOT] != keys[start][: 4 * ROOT]:
+        if i == len(keys) or trees[i] != trees[start] or keys[i][: 2 * ROOT] != keys[start][: 2 * ROOT]:
             _crowds(keys, start, i, ROOT, found)
             start = i
     a = [min(ids[i], ids[j]) for i, j in found]
@@ -112,7 +113,7 @@ def _neighbours(batches):
             first = (t[:CROWD], k[:CROWD], i[:CROWD])
         # The last run may go on in the next batch; a crowded one hands over its end only.
         cut = len(k)
-        while cut and t[cut - 1] == t[-1] and k[cut - 1][: 4 * ROOT] == k[-1][: 4 * ROOT]:
+        while cut and t[cut - 1] == t[-1] and k[cut - 1][: 2 * ROOT] == k[-1][: 2 * ROOT]:
             cut -= 1
         if len(k) - cut > 4096:
             cut = len(k) - CROWD
@@ -148,36 +149,34 @@ def forest_pairs(paths: DataFrame) -> DataFrame:
     return found.filter("seam is null").select("a", "b").unionAll(seams).filter("a <> b").distinct()
 
 
-def _agreement(limit: float) -> float:
-    """The share of equal minima below which a pair at ``limit`` practically never lies."""
-    n = TREES * DEPTH
-    return limit - PLAUSIBLE * (limit * (1 - limit) / n) ** 0.5
+def _least_equal(limit: float) -> float:
+    """The number of equal bytes below which the sketches of a pair at ``limit`` practically
+    never lie. Unequal minima share their byte once in 256 times."""
+    n, p = TREES * DEPTH, limit + (1 - limit) / 256
+    return n * (p - PLAUSIBLE * (p * (1 - p) / n) ** 0.5)
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, limit: float) -> DataFrame:
     """Pairs whose sketches agree well enough to be worth a full comparison."""
-    least = _agreement(limit) * TREES * DEPTH
-    s = sketches.select("id", "n_shingles", "paths")
+    least = _least_equal(limit)
 
     def keep(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left = _matrix(batch.column("pa"))
-            right = _matrix(batch.column("pb"))
-            ok = (left == right).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+            if batch.num_rows:
+                ok = (_matrix(batch.column("ma")) == _matrix(batch.column("mb"))).sum(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     joined = (
-        pairs.join(s.select(F.col("id").alias("a"), F.col("paths").alias("pa"), F.col("n_shingles").alias("na")), "a")
-        .join(s.select(F.col("id").alias("b"), F.col("paths").alias("pb"), F.col("n_shingles").alias("nb")), "b")
+        pairs.join(sketches.select(F.col("id").alias("a"), F.col("mini").alias("ma"), F.col("n_shingles").alias("na")), "a")
+        .join(sketches.select(F.col("id").alias("b"), F.col("mini").alias("mb"), F.col("n_shingles").alias("nb")), "b")
         .filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(limit) - 0.001)
     )
-    return joined.select("a", "b", "pa", "pb").mapInArrow(keep, "a long, b long")
+    return joined.select("a", "b", "ma", "mb").mapInArrow(keep, "a long, b long")
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    return np.array([np.frombuffer(b"".join(x), ">u4") for x in column.to_pylist()])
+def _matrix(column) -> np.ndarray:
+    rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), TREES * DEPTH)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -188,7 +187,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _linked_within(words: int, percent: int):
-    """For the texts of a chunk: the links that join them, each confirmed on full sets."""
+    """For the texts of a chunk: which of them are joined by links, each confirmed on full sets,
+    as pairs of the smallest id of a group and another of it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
@@ -207,8 +207,10 @@ def _linked_within(words: int, percent: int):
                 x, y = find(i), find(j)
                 if x != y and similar(sets[i], sets[j], percent):
                     root[max(x, y)] = min(x, y)
-                    a.append(ids[i])
-                    b.append(ids[j])
+        for i in range(len(ids)):
+            if find(i) != i:
+                a.append(ids[find(i)])
+                b.append(ids[i])
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return run
@@ -240,39 +242,40 @@ def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def _open_regions(paths: DataFrame, comps: DataFrame, sketches: DataFrame, limit: float) -> DataFrame:
     """Candidates of crowded regions that hold more than one component, compared in blocks.
 
-    Members of one component need no comparison. A region of n texts is cut into blocks of
-    about ``CHUNK``; each pair of blocks is one group, so no task holds a region.
+    Members of one component need no comparison, so of the pairs that are left at least one side
+    is outside the region's largest component. A region is cut into blocks of about ``CHUNK``
+    texts; those outside the largest component visit every block, all others stay in their own.
     """
-    least = _agreement(limit) * TREES * DEPTH
-    rows = paths.select("id", "tree", F.substring("path", 1, 4 * ROOT).alias("prefix"))
+    least = _least_equal(limit)
+    rows = paths.select("id", "tree", F.substring("path", 1, 2 * ROOT).alias("prefix"))
     rows = rows.join(comps.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     crowded = (
-        rows.groupBy("tree", "prefix")
-        .agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .filter((F.col("n") > CROWD) & (F.col("lo") < F.col("hi")))
-        .select("tree", "prefix", F.ceil(F.col("n") / CHUNK).cast("int").alias("blocks"))
+        rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
+        .groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
+        .filter((F.col("n") > CROWD) & (F.col("parts") > 1))
+        .select("tree", "prefix", F.ceil(F.col("n") / CHUNK).cast("int").alias("blocks"), F.col("most.component").alias("most"))
     )
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = rows.join(crowded, ["tree", "prefix"]).withColumn("mine", mine)
-    spread = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "tree", "prefix", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "component"
-    )
-    full = spread.join(sketches.select("id", "paths"), "id")
+    members = rows.join(crowded, ["tree", "prefix"]).withColumn("mine", mine).withColumn("visits", F.col("component") != F.col("most"))
+    goes = F.when(F.col("visits"), F.expr("sequence(0, blocks - 1)")).otherwise(F.array("mine"))
+    spread = members.select("tree", "prefix", "id", "component", "visits", "mine", F.explode(goes).alias("block"))
+    full = spread.join(sketches.select("id", "mini"), "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
-        m = np.array([np.frombuffer(b"".join(p), ">u4") for p in pdf["paths"]])
-        ids, comp, mine, x, y = (pdf[c].to_numpy() for c in ("id", "component", "mine", "x", "y"))
+        m = _matrix(pdf["mini"])
+        ids, comp, visits, home = (pdf[c].to_numpy() for c in ("id", "component", "visits", "mine"))
+        home = home == pdf["block"].iloc[0]
         a, b = [], []
-        for i in range(len(ids)):
-            ok = ((m[i] == m).sum(axis=1) >= least) & (comp != comp[i]) & (ids > ids[i])
-            if x[0] != y[0]:
-                ok &= mine != mine[i]
+        for i in np.flatnonzero(visits):
+            # Of two visitors, the one at home in this block is met by the other.
+            ok = (comp != comp[i]) & home & ((m[i] == m).sum(axis=1) >= least)
             a += [ids[i]] * int(ok.sum())
             b += ids[ok].tolist()
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    return full.groupBy("tree", "prefix", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    met = full.groupBy("tree", "prefix", "block").applyInPandas(compare, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -282,18 +285,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is
     component_id). Null and empty texts have an empty set and link with nothing; texts with
     fewer words than a shingle have their whole word sequence as one; equal sets always link;
-    rows that repeat a doc_id get a row each; a null doc_id links with nothing, its
+    a repeated row gets a row each time; a null doc_id links with nothing, its
     component is null and it is kept. An empty table gives no rows.
     """
     limit = percent / 100
     sk = stored(sketch(docs, words), "sketch")
     named = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = stored(named.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"]).select("doc_id", "rep").distinct(), "members")
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    sketches = named.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "paths")
+    members = sk.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"], "left")
+    members = stored(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
+    reps = members.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    sketches = named.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "paths", "mini")
     sketches = stored(sketches, "reps")
-    paths = sketches.select("id", F.posexplode("paths").alias("tree", "path"))
+    discard(sk)
+    cut = F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(paths, i * {WIDTH} + 1, {WIDTH}))")
+    paths = sketches.select("id", F.posexplode(cut).alias("tree", "path"))
     pairs = stored(plausible(forest_pairs(paths), sketches, limit), "pairs")
 
     # Tentative groups decide only which texts travel together; links are confirmed below.
@@ -309,38 +315,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = stored(texts, "texts")
     links = stored(texts.groupBy("component", "chunk").applyInPandas(_linked_within(words, percent), "a long, b long"), "links")
     once = texts.select("id", "text").dropDuplicates(["id"])
-    links, comps = _settle(links, pairs, once, words, percent)
-    rest = stored(_open_regions(paths, comps, sketches, limit), "rest")
+    comps = _settle(components(links), _across_chunks(pairs, known), once, words, percent)
+    rest = stored(_across_chunks(_open_regions(paths, comps, sketches, limit), known), "rest")
     if not rest.isEmpty():
         missing = rest.select(F.col("a").alias("id")).unionAll(rest.select(F.col("b").alias("id"))).distinct()
         more = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         more = stored(more.join(missing, "id").dropDuplicates(["id"]), "texts")
-        links, comps = _settle(links, rest, more, words, percent)
+        comps = _settle(comps, rest, more, words, percent)
 
-    classed = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    classed = classed.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sk.select("doc_id", "n_shingles").join(classed, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    out = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _settle(links, pairs, texts, words, percent):
+def _across_chunks(pairs: DataFrame, chunked: DataFrame) -> DataFrame:
+    """Pairs whose ends did not travel in one chunk, where all pairs were compared."""
+    of = lambda end: chunked.select(F.col("id").alias(end), F.struct("component", "chunk").alias(f"chunk_{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(~F.coalesce(F.col("chunk_a") == F.col("chunk_b"), F.lit(False))).select("a", "b")
+
+
+def _settle(comps: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirm the candidates that still cross components, some per pair of components a round.
 
-    The number tried per pair of components doubles, so the rounds are few, and a pair whose
-    ends have met in one component needs no comparison.
+    The number tried per pair of components grows, so the rounds are few, and a pair whose ends
+    have met in one component needs no comparison. What a round links is added to ``comps``
+    through the components' own ids, not through all links again.
     """
-    comps, tries, per = components(links), pairs, 1
+    tries, per = pairs, 1
     while True:
         tries = stored(_with_components(tries.select("a", "b"), comps), "crossing")
         if tries.isEmpty():
-            return links, comps
+            return comps
         key = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), F.pmod(F.xxhash64("a", "b"), F.lit(per)).alias("z")]
         chosen = tries.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
         tested = stored(_confirm(chosen, texts, words, percent), "tested")
         tries = tries.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        good = tested.filter("ok").select("a", "b")
-        if not good.isEmpty():
-            links = links.unionAll(good)
-            comps = components(links)
-        per *= 8
+        met = components(_with_components(tested.filter("ok").select("a", "b"), comps).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = comps.join(met.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+        comps = stored(moved.select("id", F.coalesce("now", "component").alias("component")).unionAll(met).distinct(), "components")
+        per *= 16
