@@ -2,14 +2,16 @@
 
 Tokens are lower-cased words and their first letters, so that a word form that was never seen
 still meets its stem. Their log-odds between toxic and other labelled texts use an informative
-Dirichlet prior (the counts of both classes together). Words without significant log-odds cost
-a constant, so a clean text drifts down; a linear scan finds every maximal scoring segment.
+Dirichlet prior (the counts of both classes together). A token counts if its texts are shared
+out between the classes as chance would hardly do it, with a bound on the false discoveries among
+all tokens. Words that are no such tokens cost a constant, so a clean text drifts down; a linear scan finds every maximal scoring segment.
 A segment's score is turned into an extreme-value exponent, and the evidence of all significant
 passages of a text is put on a probability scale by a logistic curve fitted on labelled texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from netweir.llm.common import in_batches
+from netweir.llm.common import discard, in_batches, stored
 from netweir.operators.joins import fits_broadcast
 
 WORD = re.compile(r"\w+")
 STEMS = (5, 4, 3)
 PRIOR = 20.0  # total weight of the Dirichlet prior, in texts of each class
-SIGNIFICANT = 2.5  # |z| from which a token's log-odds count
-SUPPORT = 0.005  # share of the toxic texts (at least three of them) that hold a token that counts against a text
+FALSE_SHARE = 0.01  # bound on the expected share of chance tokens in the lexicon
+CELLS = 20  # cells of evidence per unit of log p
 MARGIN = 1.0  # taken off the log-odds, so that words that both classes use do not add up
 MAX_TOKENS = 200_000  # size of the lexicon; the least significant tokens beyond it are left out
 MAX_ROWS = 40_000  # labelled texts that the calibration is fitted on; all are scored
@@ -141,6 +143,26 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
 
 
+def evidence_limit(tested: DataFrame) -> float:
+    """The evidence from which tokens count: Benjamini and Hochberg's step-up rule on p <= exp(-evidence).
+
+    tested: evidence, and most, what it could be at the token's number of texts. A token with
+    most < x can't be a discovery at x, so it isn't counted among the tests at x (Tarone, Gilbert).
+    Both are counted in cells, rounded down: a bounded table comes to the driver.
+    """
+    cells = 60 * CELLS
+    cell = lambda c: F.least(F.floor(F.col(c) * CELLS), F.lit(cells)).cast("int")
+    both = tested.select(F.explode(F.array(
+        F.struct(cell("evidence").alias("cell"), F.lit(1).alias("found"), F.lit(0).alias("able")), F.struct(cell("most").alias("cell"), F.lit(0).alias("found"), F.lit(1).alias("able"))
+    )).alias("x")).select("x.*")
+    found, able, least = 0, 0, math.inf
+    for r in sorted(both.groupBy("cell").agg(F.sum("found").alias("found"), F.sum("able").alias("able")).collect(), key=lambda r: -r["cell"]):
+        found, able = found + r["found"], able + r["able"]
+        if able * math.exp(-r["cell"] / CELLS) <= FALSE_SHARE * found:
+            least = r["cell"] / CELLS
+    return least
+
+
 def lexicon_of(counts: DataFrame, toxic: int, clean: int, max_tokens: int = MAX_TOKENS) -> tuple[dict[str, float], float, float]:
     """Significant log-odds by token, lambda and K of the scores of a clean word. toxic, clean:
     the number of texts that were counted."""
@@ -151,12 +173,17 @@ def lexicon_of(counts: DataFrame, toxic: int, clean: int, max_tokens: int = MAX_
     a, b = F.col("toxic") + share * PRIOR, F.col("clean") + share * PRIOR
     at, bt = F.lit(nt + PRIOR) - a, F.lit(nc + PRIOR) - b
     odds = F.log(a / F.greatest(at, F.lit(0.5))) - F.log(b / F.greatest(bt, F.lit(0.5)))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    rows = (
-        counts.select("token", odds.alias("odds"), z.alias("z"), "clean", "toxic")
-        .filter((F.abs("z") >= SIGNIFICANT) & ((F.col("z") < 0) | (F.col("toxic") >= max(3.0, SUPPORT * nt))))
-        .orderBy(F.abs("z").desc(), "token").limit(max_tokens).collect()
+    # The log-likelihood ratio of a token's share of toxic texts against the share of all texts. Its
+    # exponent bounds the exact (hypergeometric) tail on one side at any count, zero included; the
+    # factor two is for the two sides.
+    pt, pc, n = nt / (nt + nc), nc / (nt + nc), F.col("toxic") + F.col("clean")
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / n / p)).otherwise(0.0)
+    tested = counts.select(
+        "token", odds.alias("odds"), "clean", (part("toxic", pt) + part("clean", pc) - math.log(2)).alias("evidence"), (n * -math.log(min(pt, pc)) - math.log(2)).alias("most")
     )
+    tested = stored(tested, "tokens")
+    rows = tested.filter(F.floor(F.col("evidence") * CELLS) / CELLS >= evidence_limit(tested)).orderBy(F.desc("evidence"), "token").limit(max_tokens).collect()
+    discard(tested)
     lexicon = {r["token"]: float(np.clip(r["odds"] - MARGIN, -CLIP, CLIP)) for r in rows}
     # Lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words.
     whole = [(lexicon[r["token"]], r["clean"]) for r in rows if not r["token"].endswith("*")]
