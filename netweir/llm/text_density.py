@@ -43,30 +43,37 @@ CUT_WORDS = frozenset(
 )
 CUT_NAMES = frozenset("header site-header page-header global-header top-header siteheader pageheader topbar top-bar site-top".split())
 KEEP = frozenset(("html", "body", "main"))
+#: A name with one of these says what a layout has, not what the element is.
+STATES = frozenset("has have no not with without is".split())
 
 
 @lru_cache(maxsize=20_000)
-def _is_cut(tag: str, attributes: str) -> bool:
+def _is_cut(tag: str, attributes: str) -> int:
+    """3: cut; 2, 1: a whole class or id, or its first or last part, says so (see _drop_named); 0: not."""
     if tag in CUT_TAGS:
-        return True
+        return 3
+    named = 0
     if not attributes:
-        return False
+        return named
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), entities.unescape(value.strip("\"'")).strip()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return tag not in KEEP
+            return 0 if tag in KEEP else 3
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return tag not in KEEP
+            return 0 if tag in KEEP else 3
         if tag in KEEP:
             continue
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
+            return 3
         if name in ("class", "id"):
             for whole in value.split():
                 parts = re.sub(r"([a-z])([A-Z])", r"\1-\2", whole).lower()
-                if parts in CUT_NAMES or not CUT_WORDS.isdisjoint(re.split(r"[-_:]+|\d+", parts)):
-                    return True
-    return False
+                split = [x for x in re.split(r"[-_:]+|\d+", parts) if x]
+                if parts in CUT_NAMES or (len(split) == 1 and split[0] in CUT_WORDS):
+                    named = 2
+                elif split and STATES.isdisjoint(split) and (split[0] in CUT_WORDS or split[-1] in CUT_WORDS):
+                    named = max(named, 1)
+    return named
 
 
 class Page:
@@ -74,6 +81,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["html"], [-1], [False]
+        self.named = [0]  # what _is_cut says of the class and id
         self.texts: list[tuple[int, str] | None] = []
         open_nodes = [0]
         at, n = 0, len(source)
@@ -114,12 +122,14 @@ class Page:
         elif self.tag[parent] == "head" and name not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
             open_nodes.pop()  # the head ends where its content does
             parent = open_nodes[-1]
-        cut = self.cut[parent] or _is_cut(name, attributes.strip() if attributes else "")
+        found = _is_cut(name, attributes.strip() if attributes else "")
+        cut = self.cut[parent] or found == 3
         if name == "header" and not cut:
             cut = not any(self.tag[i] in ("article", "main") for i in open_nodes)
         self.tag.append(name)
         self.parent.append(parent)
         self.cut.append(cut)
+        self.named.append(found % 3)
         if name not in VOID:
             open_nodes.append(len(self.tag) - 1)
 
@@ -146,6 +156,7 @@ class Page:
         for item in self.texts:
             if item is not None and not self.cut[item[0]]:
                 own[item[0]] += len("".join(item[1].split()))
+        self._drop_named(own)
         self._keep_whole_forms(own)
         chars, links, tags, link_tags = own[:], [0] * n, [1] * n, [0] * n
         for i in range(n - 1, -1, -1):
@@ -195,10 +206,37 @@ class Page:
                 continue
             p = self.parent[i]
             taken[i] = i == root or (p >= 0 and taken[p] and i != body) or (
-                i not in above and density[i] >= threshold > 0 and self.tag[root] not in ("article", "main")
+                i not in above and density[i] >= threshold > 0
             )
         return taken
 
+    def _drop_named(self, own: list[int]) -> None:
+        """Elements are cut by class or id, unless that would take the article with them: one that
+        holds main, one that is or holds an article and has the word only as a part of a name, and
+        one with most of the text outside links if no article or main stands elsewhere."""
+        n = len(self.tag)
+        if not any(self.named):
+            return
+        plain, link = own[:], [False] * n
+        for i in range(1, n):
+            link[i] = self.tag[i] == "a" or link[self.parent[i]]
+            if link[i]:
+                plain[i] = 0
+        mains, articles = ([int(self.tag[i] == t and not self.cut[i]) for i in range(n)] for t in ("main", "article"))
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            plain[p] += plain[i]
+            mains[p] += mains[i]
+            articles[p] += articles[i]
+        for i in range(1, n):
+            if self.cut[self.parent[i]]:
+                self.cut[i] = True
+            elif self.named[i] and not self.cut[i]:
+                alone = mains[0] + articles[0] == mains[i] + articles[i]
+                self.cut[i] = not (mains[i] or (self.named[i] == 1 and articles[i]) or (alone and 2 * plain[i] > plain[0]))
+            if self.cut[i]:
+                own[i] = 0
+
     def _keep_whole_forms(self, own: list[int]) -> None:
         """Forms are cut, unless one wraps the page: then only its controls go."""
         forms = [i for i in range(len(self.tag)) if self.tag[i] == "form"]
