@@ -31,7 +31,6 @@ PRIOR = 20.0  # total weight of the Dirichlet prior, in texts of each class
 FALSE_SHARE = 0.01  # bound on the expected share of chance tokens in the lexicon
 CELLS = 20  # cells of evidence per unit of log p
 MARGIN = 1.0  # taken off the log-odds, so that words that both classes use do not add up
-MAX_TOKENS = 200_000  # size of the lexicon; the least significant tokens beyond it are left out
 MAX_ROWS = 40_000  # labelled texts that the calibration is fitted on; all are scored
 DRIFT = -0.5  # score of a word without significant log-odds
 CLIP = 6.0
@@ -97,7 +96,8 @@ class Segments:
             if s > 0:
                 if k - last.get(w, -APART) < APART:
                     s = 0.0
-                last[w] = k
+                else:
+                    last[w] = k
             out.append(s)
         return out
 
@@ -163,7 +163,7 @@ def evidence_limit(tested: DataFrame) -> float:
     return least
 
 
-def lexicon_of(counts: DataFrame, toxic: int, clean: int, max_tokens: int = MAX_TOKENS) -> tuple[dict[str, float], float, float]:
+def lexicon_of(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], float, float]:
     """Significant log-odds by token, lambda and K of the scores of a clean word. toxic, clean:
     the number of texts that were counted."""
     if not toxic or not clean:
@@ -182,7 +182,7 @@ def lexicon_of(counts: DataFrame, toxic: int, clean: int, max_tokens: int = MAX_
         "token", odds.alias("odds"), "clean", (part("toxic", pt) + part("clean", pc) - math.log(2)).alias("evidence"), (n * -math.log(min(pt, pc)) - math.log(2)).alias("most")
     )
     tested = stored(tested, "tokens")
-    rows = tested.filter(F.floor(F.col("evidence") * CELLS) / CELLS >= evidence_limit(tested)).orderBy(F.desc("evidence"), "token").limit(max_tokens).collect()
+    rows = tested.filter(F.floor(F.col("evidence") * CELLS) / CELLS >= evidence_limit(tested)).orderBy(F.desc("evidence"), "token").collect()
     discard(tested)
     lexicon = {r["token"]: float(np.clip(r["odds"] - MARGIN, -CLIP, CLIP)) for r in rows}
     # Lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words.
@@ -226,7 +226,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
 
 
 def _evidence(docs: DataFrame, model: Segments, other: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens
     kind = dict(docs.dtypes)[other]
 
     def run(batches):
@@ -247,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: Segments, name: str = "score") -> Dat
     assert name not in docs.columns, name
     docs = docs.withColumn("text", F.col("text").cast("string"))
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens
 
     def run(batches):
         seen: dict[str, float] = {}

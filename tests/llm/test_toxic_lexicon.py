@@ -37,6 +37,13 @@ def test_evidence_bounds_the_exact_tail(spark):
                 assert tail <= math.exp(-llr) * (1 + 1e-9)
 
 
+def test_repeated_words_count_again():
+    """A word that returns every 30 words counts at 0, 60 and 120."""
+    model = ts.Segments({"vile": 6.0}, 1.0, 1.0)
+    scores = model.scores(["vile" if k % 30 == 0 else "road" for k in range(150)], {})
+    assert [k for k, s in enumerate(scores) if s > 0] == [0, 60, 120]
+
+
 @pytest.mark.parametrize("lang,least", [("de", 0.5), ("en", 0.5), ("es", 0.25), ("fr", 0.5)])
 def test_held_out_by_language(spark, held_out, lang, least):
     """Floors well below what was measured (see the README), far above what a cut by share found."""
