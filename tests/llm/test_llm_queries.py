@@ -15,6 +15,9 @@ COLUMNS = {
     "op7_pair_index_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
     "op8_quality_trees": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op9_minhash_forest": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
+    "op11_block_maxscore": "item_id:bigint rank:int doc_id:bigint score:bigint",
+    "op12_stripes": "lang:string source:string part:string item:string value:bigint rank:int",
+    "op13_personal_data": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
     "op10_toxic_segments": "doc_id:bigint held_out:boolean score:double predicted:int",
 }
 
