@@ -16,7 +16,9 @@ from netweir.llm.minhash_forest import near_duplicates
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.pair_index_bpe import digests
 from netweir.llm.parsed_fingerprints import edited_and_next
+from netweir.llm.personal_data import personal_data
 from netweir.llm.quality_trees import fit_quality, score_quality
+from netweir.llm.stripes import divergences
 from netweir.llm.text_density import extract
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
 from netweir.llm.warc_index import write_and_read
@@ -144,3 +146,33 @@ def license_scan(spark, sf_dir):
 )
 def block_maxscore(spark, sf_dir):
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_stripes",
+    r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    o AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+    k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+    v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+    a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+    p AS (SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM a JOIN v USING (lang)),
+    t AS (SELECT lang, term, sum(n) AS n FROM a GROUP BY ALL),
+    q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM t JOIN v USING (lang)),
+    f AS (SELECT x.lang, x.source, y.source AS item, CAST(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS BIGINT) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    o2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+    SELECT * FROM o2 WHERE part = 'pair' OR rank <= 10""",
+)
+def stripes(spark, sf_dir):
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+@query("op13_personal_data")
+def weak_supervision(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents"))

@@ -47,9 +47,7 @@ def corpus(n, seed=5):
     return docs + [(n + i, docs[0][1].upper()) for i in range(60)]
 
 
-@pytest.mark.parametrize("window", [1, 64, 100_000])
-def test_same_as_scoring_everything(spark, monkeypatch, window):
-    monkeypatch.setattr(block_maxscore, "FIRST_WINDOW", window)
+def test_same_as_scoring_everything(spark):
     docs = corpus(3000)
     items = [(i, " ".join(f"w{k}" for k in range(i, 300, 7 + i))) for i in range(12)] + [(99, docs[0][1])]
     index = build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
@@ -57,6 +55,32 @@ def test_same_as_scoring_everything(spark, monkeypatch, window):
     assert got == brute(docs, items)
 
 
+@pytest.mark.parametrize("window", [1, 64, 100_000])
+def test_windows_of_any_size(monkeypatch, window):
+    import pyarrow as pa
+
+    from netweir.llm.terms import term_bytes
+
+    monkeypatch.setattr(block_maxscore, "FIRST_WINDOW", window)
+    docs = corpus(1500, 11)
+    items = [(i, " ".join(f"w{k}" for k in range(i, 300, 11 + i))) for i in range(6)]
+    shard = block_maxscore.Shard(0)
+    shard.add(pa.array([i for i, _ in docs]), pa.array([t for _, t in docs]), term_bytes(True))
+    rows = shard.rows().to_pylist()
+    n, scale = np.frombuffer(rows[0]["last"], "<i8"), (rows[0]["df"], rows[0]["total"])
+    found = set()
+    for item, text in items:
+        lists = []
+        for row in rows[1:]:
+            if row["term"].decode() in terms(text):
+                weight = math.floor(1000 * math.log((2 * scale[0] + 2) / (2 * row["df"] + 1)))
+                lists.append(block_maxscore.Postings(type("Row", (), row), weight, scale, block_maxscore.lengthened(n, *scale)))
+        ids, score = block_maxscore.best_of_shard(lists, np.array([i for i, _ in docs]), 50)
+        order = np.lexsort((ids, -score))
+        found |= {(item, k + 1, int(ids[o]), int(score[o])) for k, o in enumerate(order)}
+    assert found == brute(docs, items)
+
+
 def test_many_shards_and_query_blocks(spark, monkeypatch):
     docs, items = corpus(500, 9), [(i, f"w{i % 40} w{i % 7} w{100 + i}") for i in range(60)]
     monkeypatch.setattr(block_maxscore, "QUERIES", 7)
