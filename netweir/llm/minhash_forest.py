@@ -3,9 +3,10 @@
 Every distinct shingle set gets ``TREES`` paths of ``DEPTH`` minima. Each tree is one sorted
 order of the paths; runs that agree on at least ``ROOT`` minima are candidates. A run that is
 still crowded is cut one minimum deeper, again and again, so depth follows the density of each
-region, and neighbours in the order with the longest common prefix stay candidates. Crowded
-regions whose texts do not end in one component are compared in full afterwards, in blocks.
-Candidates are confirmed on their full shingle sets.
+region, and neighbours in the order with the longest common prefix stay candidates. Runs that
+stay crowded at full depth and whose texts do not end in one component are compared in full
+afterwards, in pairs of blocks. All links are confirmed on full shingle sets. Nothing but what
+joins components leaves a comparison: at most one link per text and block.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweir.llm.common import components, discard, in_batches, partitions, random_words, shingles, stored
@@ -22,6 +23,8 @@ from netweir.operators.joins import fits_broadcast
 TREES, DEPTH, ROOT = 24, 6, 4
 CROWD = 12  # a run of at most so many texts is compared in full within its tree
 CHUNK, CHUNK_SHINGLES = 256, 1_000_000  # texts whose sets one group compares
+BLOCK = 512  # texts of a crowded run that meet another such block
+COLUMNS = 8192  # shingles that are counted at once when texts of a group are compared
 WIDTH = 2 * DEPTH  # bytes of a path: 16 bits of each minimum
 PLAUSIBLE = 5.0  # standard errors below the limit at which an estimate rules a pair out
 ODD = random_words(TREES * DEPTH, 9) | np.uint64(1)
@@ -36,29 +39,45 @@ def minima(sets: np.ndarray) -> np.ndarray:
     return best
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("paths", pa.binary()), ("mini", pa.binary())])
+def set_name(sets: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of hashes."""
+    if not len(sets):
+        return 0, 0
+    return int(sets.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(sets * (sets >> np.uint64(7) | np.uint64(1))).view(np.int64))
+
+
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("paths", pa.binary()), ("mini", pa.binary())])
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size of the shingle set, its 128-bit name (k1, k2), its paths in all trees, one
-    after the other, and one byte of every minimum for estimates."""
+    """doc_id, a hash of the text, size of the shingle set, its 128-bit name (k1, k2), its paths
+    in all trees, one after the other, and one byte of every minimum for estimates."""
 
-    def make(ids, texts):
+    def make(ids, hashes, texts):
         n, k1, k2, paths, mini = [], [], [], [], []
         for text in texts:
             s = shingles(text, words)
+            name = set_name(s)
             n.append(len(s))
-            k1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            k2.append(int(np.bitwise_xor.reduce(s * (s >> np.uint64(7) | np.uint64(1))).view(np.int64)) if len(s) else 0)
+            k1.append(name[0])
+            k2.append(name[1])
             m = minima(s) if len(s) else None
             # The low bits of a minimum are evenly spread, its high bits are not.
             paths.append(None if m is None else (m & np.uint32(0xFFFF)).astype(">u2").tobytes())
             mini.append(None if m is None else ((m >> np.uint32(4)) & np.uint32(0xFF)).astype(np.uint8).tobytes())
-        return ids, n, k1, k2, paths, mini
+        return ids, hashes, n, k1, k2, paths, mini
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        in_batches(["doc_id", "text"], make, SKETCH), "doc_id long, n_shingles long, k1 long, k2 long, paths binary, mini binary"
-    )
+    plain = _plain(docs).select("doc_id", text_hash("text").alias("text_hash"), "text")
+    return plain.mapInArrow(in_batches(["doc_id", "text_hash", "text"], make, SKETCH), "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, paths binary, mini binary")
+
+
+def text_hash(column: str) -> Column:
+    """Tells texts under one doc_id apart; null and empty texts are one."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _crowds(keys: list[bytes], lo: int, hi: int, depth: int, out: list[tuple[int, int]]) -> None:
@@ -179,52 +198,91 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), TREES * DEPTH)
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets (sorted, distinct) overlap by ``percent`` of their union, as a matrix.
 
+    Overlaps are counted by matrix products over the hashes that at least two sets hold.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.append(True, values[1:] != values[:-1])[: len(values)]
+    number = np.cumsum(first) - 1
+    shared = np.bincount(number)[number] > 1 if len(number) else np.empty(0, bool)
+    column, owner = np.cumsum(first[shared]) - 1, owner[shared]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        both += x @ x.T
+    both = both.astype(np.int64)
+    np.fill_diagonal(both, sizes)
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+
+
+def forest(link: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """Links, as places, that join all that ``link`` joins beyond groups that are ``known``."""
+    out, left = [], np.ones(len(link), bool)
+    for root in range(len(link)):
+        if not left[root]:
+            continue
+        left[root], work = False, [root]
+        while work:
+            i = work.pop()
+            same = np.flatnonzero(left & (known == known[i]))
+            left[same] = False
+            met = np.flatnonzero(left & link[i])
+            left[met] = False
+            # Texts of one known group that are met together need one link.
+            groups = {int(known[j]): j for j in met[::-1]}
+            out += [(i, int(j)) for j in groups.values()]
+            work += same.tolist() + met.tolist()
+    return out
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, shingle set) of the documents of ``wanted`` (doc_id, id, k1, k2).
+
+    A doc_id may have rows with other texts; the set's name tells them apart.
+    """
+    known = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+
+    def make(ids, texts, k1, k2):
+        sets = [shingles(t, words) for t in texts]
+        ok = [set_name(s) == name for s, name in zip(sets, zip(k1, k2))]
+        return [i if x else None for i, x in zip(ids, ok)], [s.tobytes() if x else None for s, x in zip(sets, ok)]
 
-def _linked_within(words: int, percent: int):
-    """For the texts of a chunk: which of them are joined by links, each confirmed on full sets,
-    as pairs of the smallest id of a group and another of it."""
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
+    both = _plain(docs).join(known, "doc_id").select("id", "text", "k1", "k2")
+    return both.mapInArrow(in_batches(["id", "text", "k1", "k2"], make, schema), "id long, hashes binary").filter("id is not null")
+
+
+def _joined_within(percent: int):
+    """For the texts of a group: links that join them, each confirmed on full sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, sets = pdf["id"].tolist(), [shingles(t, words) for t in pdf["text"]]
-        root = list(range(len(ids)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        a, b = [], []
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                x, y = find(i), find(j)
-                if x != y and similar(sets[i], sets[j], percent):
-                    root[max(x, y)] = min(x, y)
-        for i in range(len(ids)):
-            if find(i) != i:
-                a.append(ids[find(i)])
-                b.append(ids[i])
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        ids = pdf["id"].to_numpy()
+        known = pdf["known"].to_numpy() if "known" in pdf else ids
+        link = linked([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], percent)
+        pairs = forest(link, np.unique(known, return_inverse=True)[1])
+        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype="int64")
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def make(a, b, x, y):
-        ok = [similar(shingles(s, words), shingles(t, words), percent) for s, t in zip(x, y)]
-        return a, b, ok
+        x, y = ([np.frombuffer(v, np.uint64) for v in s] for s in (x, y))
+        both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
+        return a, b, [100 * n >= percent * (len(s) + len(t) - n) for s, t, n in zip(x, y, both)]
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
-    )
+    of = lambda end, name: sets.select(F.col("id").alias(end), F.col("hashes").alias(name))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(in_batches(["a", "b", "x", "y"], make, schema), "a long, b long, ok boolean")
 
 
@@ -239,43 +297,63 @@ def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
-def _open_regions(paths: DataFrame, comps: DataFrame, sketches: DataFrame, limit: float) -> DataFrame:
-    """Candidates of crowded regions that hold more than one component, compared in blocks.
+def _open_runs(paths: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of runs that are crowded at full depth and hold more than one component, with the
+    pairs of blocks (i, j) of their run that they take part in.
 
-    Members of one component need no comparison, so of the pairs that are left at least one side
-    is outside the region's largest component. A region is cut into blocks of about ``CHUNK``
-    texts; those outside the largest component visit every block, all others stay in their own.
+    Members of the run's largest component need no comparison with each other, so they have
+    blocks of their own, which meet the blocks of the others only.
     """
-    least = _least_equal(limit)
-    rows = paths.select("id", "tree", F.substring("path", 1, 2 * ROOT).alias("prefix"))
-    rows = rows.join(comps.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    crowded = (
-        rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
-        .groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
-        .filter((F.col("n") > CROWD) & (F.col("parts") > 1))
-        .select("tree", "prefix", F.ceil(F.col("n") / CHUNK).cast("int").alias("blocks"), F.col("most.component").alias("most"))
+    rows = paths.join(comps.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("tree", "path", "component").agg(F.count("*").alias("n"))
+    runs = parts.groupBy("tree", "path").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
+    crowded = runs.filter((F.col("n") > CROWD) & (F.col("parts") > 1)).select(
+        "tree", "path", F.col("most.component").alias("most"),
+        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mosts"),
+    )
+    members = rows.join(crowded, ["tree", "path"]).withColumn("inner", F.col("component") == F.col("most"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("mosts")).otherwise(F.col("others"))).cast("int")
+    members = members.withColumn("block", block)
+    met = F.when(F.col("inner"), F.expr("transform(sequence(0, others - 1), k -> struct(k as i, others + block as j))")).otherwise(
+        F.expr(
+            "concat(transform(sequence(0, others - 1), k -> struct(least(k, block) as i, greatest(k, block) as j)),"
+            " transform(sequence(0, mosts - 1), k -> struct(block as i, others + k as j)))"
+        )
     )
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = rows.join(crowded, ["tree", "prefix"]).withColumn("mine", mine).withColumn("visits", F.col("component") != F.col("most"))
-    goes = F.when(F.col("visits"), F.expr("sequence(0, blocks - 1)")).otherwise(F.array("mine"))
-    spread = members.select("tree", "prefix", "id", "component", "visits", "mine", F.explode(goes).alias("block"))
-    full = spread.join(sketches.select("id", "mini"), "id")
+    return members.withColumn("pair", F.explode(met)).select("tree", "path", "pair.i", "pair.j", "id", "component")
+
+
+def _plausible_members(limit: float):
+    """Texts of a pair of blocks with a plausible partner in another component that they meet
+    in no earlier tree."""
+    least = _least_equal(limit)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
-        m = _matrix(pdf["mini"])
-        ids, comp, visits, home = (pdf[c].to_numpy() for c in ("id", "component", "visits", "mine"))
-        home = home == pdf["block"].iloc[0]
-        a, b = [], []
-        for i in np.flatnonzero(visits):
-            # Of two visitors, the one at home in this block is met by the other.
-            ok = (comp != comp[i]) & home & ((m[i] == m).sum(axis=1) >= least)
-            a += [ids[i]] * int(ok.sum())
-            b += ids[ok].tolist()
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        m, component, size = _matrix(pdf["mini"]), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
+        paths = np.frombuffer(b"".join(pdf["paths"]), np.dtype((np.void, WIDTH))).reshape(len(pdf), TREES)[:, : int(pdf["tree"].iloc[0])]
+        wanted = np.zeros(len(pdf), bool)
+        for i in range(len(pdf) - 1):
+            ok = (component[i + 1 :] != component[i]) & (np.minimum(size[i + 1 :], size[i]) >= np.maximum(size[i + 1 :], size[i]) * limit - 0.001)
+            at = np.flatnonzero(ok) + i + 1
+            at = at[(m[at] == m[i]).sum(axis=1) >= least]
+            at = at[~(paths[at] == paths[i]).any(axis=1)]
+            wanted[at] = True
+            wanted[i] |= len(at) > 0
+        return pdf.loc[wanted, ["tree", "path", "i", "j", "id", "component"]]
+
+    return run
 
-    met = full.groupBy("tree", "prefix", "block").applyInPandas(compare, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _open_links(paths: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components within crowded runs."""
+    full = _open_runs(paths, comps).join(reps.select("id", "n_shingles", "paths", "mini"), "id")
+    ddl = "tree int, path binary, i int, j int, id long, component long"
+    wanted = stored(full.groupBy("tree", "path", "i", "j").applyInPandas(_plausible_members(percent / 100), ddl), "plausible")
+    names = reps.join(wanted.select("id").distinct(), "id", "left_semi").select("doc_id", "id", "k1", "k2")
+    sets = stored(full_sets(docs, stored(names, "names"), words), "sets")
+    met = wanted.withColumnRenamed("component", "known").join(sets, "id")
+    return met.groupBy("tree", "path", "i", "j").applyInPandas(_joined_within(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -285,47 +363,55 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is
     component_id). Null and empty texts have an empty set and link with nothing; texts with
     fewer words than a shingle have their whole word sequence as one; equal sets always link;
-    a repeated row gets a row each time; a null doc_id links with nothing, its
-    component is null and it is kept. An empty table gives no rows.
+    a repeated row gets a row each time; rows that share a doc_id but not a text are documents of
+    their own, each in the group of its text; a null doc_id links with nothing, its component is
+    null and it is kept. An empty table gives no rows.
     """
-    limit = percent / 100
+    return groups(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``near_duplicates`` with text_hash, which tells texts under one doc_id apart,
+    and group_id, which rows have in common if links join them (null: without words or doc_id)."""
+    classes, comps = _classes(docs, words, percent)
+    found = classes.join(comps.select("id", "component"), "id", "left").withColumn("group_id", F.coalesce("component", "id"))
+    least = found.filter("group_id is not null").groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(F.broadcast(least) if fits_broadcast(least) else least, "group_id", "left")
+    # Texts without words stand for themselves.
+    out = named.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "text_hash", "n_shingles", "group_id", "component_id", kept)
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row per row of docs (doc_id, text_hash, n_shingles, id of its set or null) and the
+    components (id, component) of sets that link with others."""
     sk = stored(sketch(docs, words), "sketch")
     named = sk.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = sk.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"], "left")
-    members = stored(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    reps = members.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    sketches = named.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "paths", "mini")
-    sketches = stored(sketches, "reps")
+    reps = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("paths").alias("paths"), F.first("mini").alias("mini"))
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    of_set = reps.select("n_shingles", "k1", "k2", "id")
+    rows = sk.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(of_set, ["n_shingles", "k1", "k2"], "left")
+    rows = stored(rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "members")
     discard(sk)
     cut = F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(paths, i * {WIDTH} + 1, {WIDTH}))")
-    paths = sketches.select("id", F.posexplode(cut).alias("tree", "path"))
-    pairs = stored(plausible(forest_pairs(paths), sketches, limit), "pairs")
+    paths = reps.select("id", F.posexplode(cut).alias("tree", "path"))
+    pairs = stored(plausible(forest_pairs(paths), reps, percent / 100), "pairs")
 
     # Tentative groups decide only which texts travel together; links are confirmed below.
-    groups = components(pairs)
-    sized = groups.join(sketches.select("id", "n_shingles"), "id")
+    sized = components(pairs).join(reps.select("id", "doc_id", "n_shingles", "k1", "k2"), "id")
     size = sized.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks")
     )
-    chunked = sized.join(size, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    chunked = stored(chunked, "chunks")
-    known = F.broadcast(chunked) if fits_broadcast(chunked) else chunked
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
-    texts = stored(texts, "texts")
-    links = stored(texts.groupBy("component", "chunk").applyInPandas(_linked_within(words, percent), "a long, b long"), "links")
-    once = texts.select("id", "text").dropDuplicates(["id"])
-    comps = _settle(components(links), _across_chunks(pairs, known), once, words, percent)
-    rest = stored(_across_chunks(_open_regions(paths, comps, sketches, limit), known), "rest")
-    if not rest.isEmpty():
-        missing = rest.select(F.col("a").alias("id")).unionAll(rest.select(F.col("b").alias("id"))).distinct()
-        more = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        more = stored(more.join(missing, "id").dropDuplicates(["id"]), "texts")
-        comps = _settle(comps, rest, more, words, percent)
-
-    out = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
+    chunked = stored(sized.join(size, "component").select("id", "doc_id", "k1", "k2", "component", chunk), "chunks")
+    sets = stored(full_sets(docs, chunked.select("doc_id", "id", "k1", "k2"), words), "sets")
+    place = chunked.select("id", "component", "chunk")
+    travel = sets.join(F.broadcast(place) if fits_broadcast(place) else place, "id")
+    links = stored(travel.groupBy("component", "chunk").applyInPandas(_joined_within(percent), "a long, b long"), "links")
+    comps = _settle(components(links), _across_chunks(pairs, place), sets.dropDuplicates(["id"]), percent)
+    more = stored(_open_links(paths, comps, reps, docs, words, percent), "links")
+    return rows, _merged(comps, more)
 
 
 def _across_chunks(pairs: DataFrame, chunked: DataFrame) -> DataFrame:
@@ -335,12 +421,18 @@ def _across_chunks(pairs: DataFrame, chunked: DataFrame) -> DataFrame:
     return both.filter(~F.coalesce(F.col("chunk_a") == F.col("chunk_b"), F.lit(False))).select("a", "b")
 
 
-def _settle(comps: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links between their members: only their own ids are joined anew."""
+    met = components(_with_components(links, comps).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = comps.join(met.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+    return stored(moved.select("id", F.coalesce("now", "component").alias("component")).unionAll(met).distinct(), "components")
+
+
+def _settle(comps: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirm the candidates that still cross components, some per pair of components a round.
 
     The number tried per pair of components grows, so the rounds are few, and a pair whose ends
-    have met in one component needs no comparison. What a round links is added to ``comps``
-    through the components' own ids, not through all links again.
+    have met in one component needs no comparison.
     """
     tries, per = pairs, 1
     while True:
@@ -349,9 +441,7 @@ def _settle(comps: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, pe
             return comps
         key = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), F.pmod(F.xxhash64("a", "b"), F.lit(per)).alias("z")]
         chosen = tries.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        tested = stored(_confirm(chosen, texts, words, percent), "tested")
+        tested = stored(_confirm(chosen, sets, percent), "tested")
         tries = tries.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        met = components(_with_components(tested.filter("ok").select("a", "b"), comps).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        moved = comps.join(met.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
-        comps = stored(moved.select("id", F.coalesce("now", "component").alias("component")).unionAll(met).distinct(), "components")
+        comps = _merged(comps, tested.filter("ok").select("a", "b"))
         per *= 16

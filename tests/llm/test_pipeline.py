@@ -38,3 +38,12 @@ def test_stages_keep_columns_and_cope(spark, edge_docs, no_docs):
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
 def test_names(name):
     assert callable(dict(cp.STAGES)[name])
+
+
+def test_no_text_is_lost(spark):
+    """Texts under one doc_id go only if a near duplicate of them stays."""
+    a, b, c = "p q r s t u v", "k l m n o p q r", "d e f g h i j"
+    rows = [(1, a), (1, b), (2, b), (3, c), (5, a), (5, "x y z w v u"), (6, b + " s t"), (7, None), (7, ""), (None, a), (8, c.upper()), (3, c)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, text_hash string")
+    kept = sorted(((r.doc_id, r.text) for r in cp.STAGES[2][1](spark, docs, SF).collect()), key=str)
+    assert kept in [sorted([(1, a), (1, b), (3, c), (5, "x y z w v u"), (7, x), (None, a), *far], key=str) for x in (None, "") for far in ([(6, b + " s t")],)]
