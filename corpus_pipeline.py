@@ -7,11 +7,11 @@ against it; all stages but the last return the columns of documents as they are.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweir.llm.common import fresh, reachable, stored, table
-from netweir.llm.minhash_forest import near_duplicates
+from netweir.llm.minhash_forest import groups, text_hash
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.quality_trees import fit_quality, score_quality
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
@@ -40,19 +40,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One document of each group of near duplicates: the one with the smallest doc_id (of texts
+    under one doc_id that are near duplicates: the one with the smallest hash).
 
-    Rows that repeat a doc_id are repeated rows of one document and stay once; a null doc_id
-    is no document's and stays.
+    Texts that are no near duplicates stay, also under a common doc_id. Rows that repeat doc_id
+    and text stay once: the first by their other columns. A null doc_id is no document's and
+    stays, as do texts without words.
     """
-    classes = near_duplicates(docs, words=5, percent=80)
-    dropped = stored(classes.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    again = stored(kept.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    (mark,) = fresh(docs.columns, "text_hash")
+    rows = stored(groups(docs, words=5, percent=80).select("doc_id", "text_hash", "group_id"), "groups")
+    grouped = rows.filter("group_id is not null")
+    first = grouped.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    dropped = grouped.join(first, "group_id").filter(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", F.col("text_hash").alias(mark)).distinct()
+    marked = docs.withColumn(mark, text_hash("text"))
+    kept = marked.join(stored(dropped, "dropped"), ["doc_id", mark], "left_anti")
+    again = rows.filter("doc_id is not null").groupBy("doc_id", F.col("text_hash").alias(mark)).count().filter("count > 1").select("doc_id", mark)
+    again = stored(again, "repeated")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return kept.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    turn = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(*(others or ["doc_id"])))
+    once = kept.join(again, ["doc_id", mark], "left_semi").withColumn(mark + "_turn", turn).filter(F.col(mark + "_turn") == 1)
+    return kept.join(again, ["doc_id", mark], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
