@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# --- fixed values: duration units and their seconds ---
-DURATION_UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ns": 1e-9}
+# --- fixed values: duration units and their nanoseconds ---
+DURATION_UNITS = {
+    "h": 3_600_000_000_000, "m": 60_000_000_000, "s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "µs": 1_000, "μs": 1_000, "ns": 1,
+}
 
 
 def micros(ts: Column) -> Column:
@@ -36,7 +38,7 @@ def bucket_start(ts: Column, width_s: int) -> Column:
 
 
 def duration_seconds(text: Column, default_s: int | None = None) -> Column:
-    """Seconds of a duration such as ``1h30m`` or ``-1.5s``.
+    """Seconds of a duration such as ``1h30m`` or ``-1.5s``, exact to the nanosecond.
 
     The whole text has to be an optional sign and numbers with units. Other text, NULL and a
     duration of nothing give ``default_s``, or 0 without one.
@@ -46,9 +48,11 @@ def duration_seconds(text: Column, default_s: int | None = None) -> Column:
     valid = text.rlike(rf"^[-+]?((?:{number})({units}))+$")
     parts = F.regexp_extract_all(text, F.lit(rf"({number})({units})"), F.lit(1))
     names = F.regexp_extract_all(text, F.lit(rf"({number})({units})"), F.lit(2))
-    scale = F.create_map(*[F.lit(x) for pair in DURATION_UNITS.items() for x in pair])
-    seconds = F.zip_with(parts, names, lambda n, u: F.coalesce(n.try_cast("double"), F.lit(0.0)) * scale[u])
-    total = F.aggregate(seconds, F.lit(0.0), lambda a, x: a + x) * F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    scale = F.create_map(*[F.lit(x).cast("decimal(14,0)") if isinstance(x, int) else F.lit(x) for pair in DURATION_UNITS.items() for x in pair])
+    # Decimals hold nine digits behind the point; what is smaller is less than a nanosecond.
+    nanos = F.zip_with(parts, names, lambda n, u: F.floor(F.coalesce(n.try_cast("decimal(22,9)"), F.lit(0).cast("decimal(22,9)")) * scale[u]).cast("decimal(38,0)"))
+    whole = F.aggregate(nanos, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    total = whole.cast("double") / F.lit(1e9) * F.when(text.startswith("-"), -1.0).otherwise(1.0)
     known = F.when(valid & (total != 0), total)
     return F.coalesce(known, F.lit(float(default_s or 0)))
 

@@ -20,7 +20,7 @@ from netweir.plans import views as v
 from netweir.plans.registry import SQL, query
 from netweir.plans.views_sql import sql
 from netweir.session import work_dir
-from netweir.sources import tables
+from netweir.sources import store, tables
 from netweir.sources.flows import skip_undecoded, to_canonical
 from netweir.streaming import alerts as sa
 from netweir.streaming import executions as se
@@ -196,14 +196,43 @@ LIFE_END, LIFE_DAYS, LIFE_FROM, LIFE_TO = "2024-01-31 15:30:00", 15, "2024-01-12
     SELECT * FROM ({_MINUTES}) WHERE minute > TIMESTAMP '{LIFE_END}' - INTERVAL {LIFE_DAYS} DAY
         AND minute >= TIMESTAMP '{LIFE_FROM}' AND minute < TIMESTAMP '{LIFE_TO}'""")
 def stream_store_lifecycle(spark, sf):
-    """A stream fills the minute tier, half of its days are compacted, old ones expire, a range is read."""
+    """A stream fills the minute tier, its batches are compacted, old rows expire, a range is read."""
     out = _stream_tiers(spark, sf, F.second("ts"))
-    days = spark.read.parquet(f"{out}/1m").where("event_date < DATE'2024-01-18'").select(F.col("event_date").cast("string")).distinct()
-    tables.compact_rollup(spark, f"{out}/1m", rollup.MINUTE_KEYS, [r[0] for r in days.collect()])
-    tables.expire(spark, f"{out}/1m", "minute", LIFE_END, LIFE_DAYS)
+    sf_.compact_tier(spark, out, "1m", fan=2)
+    sf_.expire_tier(spark, out, "1m", LIFE_END, LIFE_DAYS)
+    store.vacuum(spark, f"{out}/1m", keep=1, grace_s=0)
     return v.printable(sf_.read_tier(spark, out, "1m", LIFE_FROM, LIFE_TO))
 
 
+@query("stream_store_lifecycle_1h", f"""
+    SELECT * FROM ({_HOURS}) WHERE hour > TIMESTAMP '{LIFE_END}' - INTERVAL {LIFE_DAYS} DAY
+        AND hour >= TIMESTAMP '{LIFE_FROM}' AND hour < TIMESTAMP '{LIFE_TO}'""")
+def stream_store_lifecycle_1h(spark, sf):
+    """The same for the hour tier, whose folders are months."""
+    out = _stream_tiers(spark, sf, F.second("ts"))
+    sf_.compact_tier(spark, out, "1h", fan=2)
+    sf_.expire_tier(spark, out, "1h", LIFE_END, LIFE_DAYS)
+    store.vacuum(spark, f"{out}/1h", keep=1, grace_s=0)
+    return v.printable(sf_.read_tier(spark, out, "1h", LIFE_FROM, LIFE_TO))
+
+
+@query("stream_compact_replay", _MINUTES)
+def stream_compact_replay(spark, sf):
+    """Compactions between the batches of a stream, and batches that come once more after them."""
+    out, landing = work_dir(spark, "tiers"), work_dir(spark, "landing")
+    flows = v.event_flows(spark, sf).withColumn("_part", F.second("ts") % 5)
+    flows.write.partitionBy("_part").parquet(landing)
+    sink = sf_.write_partials(out, raw=False)
+    arrived = spark.read.parquet(landing)
+    for batch_id, again in ((0, []), (1, [0]), (2, []), (3, [1, 2]), (4, [4, 0])):
+        sink(arrived.where(F.col("_part") == batch_id).drop("_part"), batch_id)
+        if batch_id in (1, 3):
+            sf_.compact_tier(spark, out, "1m", fan=2)
+        for replayed in again:
+            sink(arrived.where(F.col("_part") == replayed).drop("_part"), replayed)
+    return v.printable(sf_.read_tier(spark, out, "1m"))
+
+
 @query("expire_raw", sql("""
     SELECT ts, exporter_ip, bytes FROM v_event_flows WHERE ts > TIMESTAMP '2024-01-31 15:30:00' - INTERVAL 7 DAY"""))
 def expire_raw(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweir.operators.rollup import merge_partials
@@ -145,74 +145,52 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> N
     fs.delete(staged_path, True)
 
 
-def _day_folders(spark: SparkSession, path: str, day: str, batches: list | None = None):
-    root = f"{path.rstrip('/')}/event_date={day}"
-    return [_fs(spark, root if batches is None else f"{root}/batch_id={b}") for b in ([None] if batches is None else batches)]
+def _period_of(period: str, moment) -> Column:
+    """The name of the day's (or month's) folder that ``moment`` falls into."""
+    return F.date_format(moment, {"event_date": "yyyy-MM-dd", "event_month": "yyyyMM"}[period])
 
 
-def expire(spark: SparkSession, path: str, time_column: str, as_of: str, days: int) -> list[str]:
-    """Apply a time-to-live to a day-partitioned table; returns the dropped partitions.
+def expire(spark: SparkSession, path: str, time_column: str, as_of: str, days: int, period: str = "event_date") -> list[str]:
+    """Apply a time-to-live to a table partitioned by day (or month); returns the dropped periods.
 
-    Days that ended before the limit are dropped as folders without reading them; the
-    day the limit falls into is rewritten. A day may hold folders of stream batches; one that
+    Periods that ended before the limit are dropped as folders without reading them; the one
+    that the limit falls into is rewritten. A period may hold folders of stream batches; one that
     has nothing left goes as well.
     """
     limit = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
     table = spark.read.parquet(path)
-    parts = ["event_date", "batch_id"] if "batch_id" in table.columns else ["event_date"]
-    # One row per day of the table: bounded by its age in days.
-    listed = table.select("event_date").distinct().withColumn("old", F.col("event_date") < F.to_date(limit))
-    dropped = sorted(str(r["event_date"]) for r in listed.where("old").collect())
-    boundary = table.where(F.col("event_date") == F.to_date(limit))
+    parts = [period, "batch_id"] if "batch_id" in table.columns else [period]
+    name = F.col(period).cast("string")
+    # One row per period of the table: bounded by its age.
+    listed = table.select(name.alias("name")).distinct().withColumn("old", F.col("name") < _period_of(period, limit))
+    dropped = sorted(r["name"] for r in listed.where("old").collect())
+    boundary = table.where(name == _period_of(period, limit))
     alive = F.col(time_column) > limit
-    # One row per batch of the boundary day.
+    # One row per batch of the boundary period.
     left = boundary.groupBy(*parts).agg(F.count(F.when(alive, 1)).alias("alive"), F.count(F.lit(1)).alias("rows")).collect()
     gone = [r for r in left if not r["alive"]]
     if any(0 < r["alive"] < r["rows"] for r in left):
         overwrite_partitions(boundary.where(alive), path, parts)
+    folders = [f"{period}={name}" for name in dropped]
     if left and len(gone) == len(left):
-        dropped.append(str(left[0]["event_date"]))
+        dropped.append(str(left[0][period]))
+        folders.append(f"{period}={left[0][period]}")
     elif len(parts) == 2:
-        for r in gone:
-            for fs, folder in _day_folders(spark, path, str(r["event_date"]), [r["batch_id"]]):
-                fs.delete(folder, True)
-    for day in dropped:
-        for fs, folder in _day_folders(spark, path, day):
-            fs.delete(folder, True)
+        folders += [f"{period}={r[period]}/batch_id={r['batch_id']}" for r in gone]
+    for folder in folders:
+        fs, jpath = _fs(spark, f"{path.rstrip('/')}/{folder}")
+        fs.delete(jpath, True)
     return dropped
 
 
-def compact_rollup(spark: SparkSession, path: str, keys: list[str], days: list[str] | None = None) -> None:
-    """Merge the partial rows and the small files of a day-partitioned rollup.
+def compact_rollup(spark: SparkSession, path: str, keys: list[str], periods: list[str] | None = None, period: str = "event_date") -> None:
+    """Merge the partial rows and the small files of a rollup that is partitioned by day (or month).
 
-    Of a table that a stream writes, the batches of a day become one folder under the last
-    batch's number. The new folder is complete before the day's folders change places, one
-    rename after the other. Call it where the stream's sink does not write the same day.
+    A rollup that a stream writes is a store and is compacted by ``sources.store``.
     """
     table = spark.read.parquet(path)
-    if days is not None:
-        table = table.where(F.col("event_date").cast("string").isin(days))
-    order = ["event_date", keys[1], keys[0]]
-    if "batch_id" not in table.columns:
-        merged = merge_partials(table, [*keys, "event_date"])
-        overwrite_partitions(merged.repartitionByRange(*order).sortWithinPartitions(*order), path, ["event_date"])
-        return
-    last = table.groupBy("event_date").agg(F.max("batch_id").alias("batch_id"))  # one row per day
-    merged = merge_partials(table, [*keys, "event_date"]).join(F.broadcast(last), "event_date")
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
-    ranged = merged.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.partitionBy("event_date", "batch_id").parquet(staged)
-    for row in last.collect():
-        day = f"event_date={row['event_date']}"
-        fs, fresh = _fs(spark, f"{staged}/{day}")
-        _, target = _fs(spark, f"{path.rstrip('/')}/{day}")
-        _, aside = _fs(spark, f"{staged}.old/{day}")
-        fs.mkdirs(aside.getParent())
-        if not fs.rename(target, aside):
-            raise OSError(f"{day} of {path} could not be moved aside and is as it was")
-        if not fs.rename(fresh, target):
-            fs.rename(aside, target)
-            raise OSError(f"{day} of {path} could not be replaced and is as it was")
-    for folder in (staged, f"{staged}.old"):
-        fs, jpath = _fs(spark, folder)
-        fs.delete(jpath, True)
+    if periods is not None:
+        table = table.where(F.col(period).cast("string").isin(periods))
+    order = [period, keys[1], keys[0]]
+    merged = merge_partials(table, [*keys, period])
+    overwrite_partitions(merged.repartitionByRange(*order).sortWithinPartitions(*order), path, [period])

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweir.operators.enrich import Dimensions, enrich
-from netweir.operators.rollup import merge_partials, rollup_1h, rollup_1m
+from netweir.operators.rollup import RETENTION_DAYS, merge_partials, rollup_1h, rollup_1m
 from netweir.schema import HOUR_KEYS, MINUTE_KEYS
+from netweir.sources import store
 
 log = logging.getLogger(__name__)
 
@@ -47,12 +48,16 @@ def _append_batch(rows: DataFrame, path: str, period: str, batch_id: int) -> Non
     )
 
 
+#: Keys, time column and period of the tiers that a stream keeps in a store.
+TIERS = {"1m": (MINUTE_KEYS, "minute", "event_date"), "1h": (HOUR_KEYS, "hour", "event_month")}
+
+
 def write_partials(path: str, raw: bool = True) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: raw rows and both tiers in one pass over the batch.
 
-    A tier is partitioned by day (the hour tier by month) and then by batch, so readers prune
-    by time, retention drops folders, and a restart never counts a flow twice. A late flow just
-    adds a partial to its old minute.
+    A tier is a store (``sources.store``) whose parts hold a batch each, below its days (the hour
+    tier: months). A restart, also one after a compaction, never counts a flow twice. A late flow
+    just adds a partial to its old minute.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -60,9 +65,9 @@ def write_partials(path: str, raw: bool = True) -> Callable[[DataFrame, int], No
         try:
             if raw:
                 _append_batch(batch.withColumn("event_date", F.to_date("ts")), f"{path}/raw", "event_date", batch_id)
-            _append_batch(rollup_1m(batch).withColumn("event_date", F.to_date("minute")), f"{path}/1m", "event_date", batch_id)
-            hours = rollup_1h(batch).withColumn("event_month", F.date_format("hour", "yyyyMM"))
-            _append_batch(hours, f"{path}/1h", "event_month", batch_id)
+            for tier, rolled in (("1m", rollup_1m), ("1h", rollup_1h)):
+                _, time_column, period = TIERS[tier]
+                store.append(rolled(batch), f"{path}/{tier}", time_column, period, batch_id)
         finally:
             batch.unpersist()
 
@@ -71,16 +76,18 @@ def write_partials(path: str, raw: bool = True) -> Callable[[DataFrame, int], No
 
 def read_tier(spark: SparkSession, path: str, tier: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """A tier as readers see it: partials of all batches merged, of ``[start, end)`` if given."""
-    keys, time_column, period = {"1m": (MINUTE_KEYS, "minute", "event_date"), "1h": (HOUR_KEYS, "hour", "event_month")}[tier]
-    rows = spark.read.parquet(f"{path}/{tier}")
-    cut = (lambda t: F.to_date(t)) if period == "event_date" else (lambda t: F.date_format(t, "yyyyMM").cast("int"))
-    for bound, keep in ((start, lambda c, x: c >= x), (end, lambda c, x: c < x)):
-        if bound is not None:
-            moment = F.lit(bound).cast("timestamp")
-            # The period as well, so that folders outside the range are not listed for reading.
-            inside = F.col(period) >= cut(moment) if bound is start else F.col(period) <= cut(moment)
-            rows = rows.where(inside & keep(F.col(time_column), moment))
-    return merge_partials(rows, keys)
+    return merge_partials(store.read(spark, f"{path}/{tier}", start, end), TIERS[tier][0])
+
+
+def compact_tier(spark: SparkSession, path: str, tier: str, fan: int = store.FAN) -> int:
+    """Merge the batches of a tier; its stream may go on meanwhile."""
+    keys = TIERS[tier][0]
+    return store.compact(spark, f"{path}/{tier}", lambda rows, period: merge_partials(rows, [*keys, period]), [keys[1], keys[0]], fan)
+
+
+def expire_tier(spark: SparkSession, path: str, tier: str, as_of: str, days: int | None = None) -> str:
+    """Apply the tier's time-to-live (or ``days``) and return the limit."""
+    return store.expire(spark, f"{path}/{tier}", as_of, RETENTION_DAYS[tier] if days is None else days)
 
 
 def rollup_1m_closed(flows: DataFrame, delay: str) -> DataFrame:

@@ -150,27 +150,17 @@ def test_a_failed_rename_does_not_lose_the_table(spark, tmp_path, monkeypatch, g
     assert spark.read.parquet(path).count() == 3
 
 
-def test_a_stream_tier_is_pruned_compacted_and_expired(spark, sf_dir, tmp_path):
-    from netweir.plans import views
-    from netweir.schema import MINUTE_KEYS
-    from netweir.streaming import flows as sf_
-
-    out = str(tmp_path)
-    sink = sf_.write_partials(out)
-    flows = views.event_flows(spark, sf_dir)
-    for n in range(3):
-        sink(flows.where(F.second("ts") % 3 == n), n)
-    sink(flows.where(F.second("ts") % 3 == 1), 1)  # a retry
-    whole = sf_.read_tier(spark, out, "1m").agg(F.sum("flow_count")).first()[0]
-    assert whole == flows.count()
-    ranged = sf_.read_tier(spark, out, "1m", "2024-01-10 00:00:00", "2024-01-12 00:00:00")
-    plan = ranged._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan
-    want = flows.where((F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-12")).count()
-    tables.compact_rollup(spark, f"{out}/1m", MINUTE_KEYS, ["2024-01-10"])
-    assert spark.read.parquet(f"{out}/1m").where("event_date = '2024-01-10'").select("batch_id").distinct().count() == 1
-    assert sf_.read_tier(spark, out, "1m", "2024-01-10 00:00:00", "2024-01-12 00:00:00").agg(F.sum("flow_count")).first()[0] == want
-    tables.expire(spark, f"{out}/1m", "minute", "2024-01-31 15:30:00", 10)
-    left = spark.read.parquet(f"{out}/1m").agg(F.min("minute"), F.sum("flow_count")).first()
-    kept = flows.where(F.date_trunc("minute", "ts") > F.lit("2024-01-21 15:30:00").cast("timestamp")).count()
-    assert left[1] == kept and str(left[0]) > "2024-01-21 15:30:00"
+def test_month_tables_expire_and_compact(spark, flows, tmp_path):
+    path = str(tmp_path / "hours")
+    hours = rollup.rollup_1h(flows)
+    for _ in range(2):
+        tables.write_hour_tier(hours, path)
+    tables.compact_rollup(spark, path, HOUR_KEYS, period="event_month")
+    table = spark.read.parquet(path)
+    assert table.count() == hours.count()
+    months = sorted(r[0] for r in hours.select(F.date_format("hour", "yyyyMM")).distinct().collect())
+    as_of, days = hours.agg(F.max("hour")).first()[0], 10
+    tables.expire(spark, path, "hour", str(as_of), days, "event_month")
+    left = spark.read.parquet(path)
+    assert left.count() == hours.where(F.col("hour") > F.lit(as_of - dt.timedelta(days=days))).count()
+    assert months[-1] in {str(r[0]) for r in left.select("event_month").distinct().collect()}
