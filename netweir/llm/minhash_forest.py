@@ -25,6 +25,7 @@ CROWD = 12  # a run of at most so many texts is compared in full within its tree
 CHUNK, CHUNK_SHINGLES = 256, 1_000_000  # texts whose sets one group compares
 BLOCK = 512  # texts of a crowded run that meet another such block
 COLUMNS = 8192  # shingles that are counted at once when texts of a group are compared
+RUN = 2  # marks the count of a run among a partition's rows
 WIDTH = 2 * DEPTH  # bytes of a path: 16 bits of each minimum
 PLAUSIBLE = 5.0  # standard errors below the limit at which an estimate rules a pair out
 ODD = random_words(TREES * DEPTH, 9) | np.uint64(1)
@@ -112,7 +113,8 @@ def _pairs_of(trees, keys, ids) -> tuple[list[int], list[int]]:
 
 
 def _neighbours(batches):
-    """Candidate pairs within a sorted partition, and its first and last rows for the seams."""
+    """Candidate pairs within a sorted partition, its first and last rows for the seams, and how
+    many texts share a full path, where they are a crowd or may go on in another partition."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -121,12 +123,27 @@ def _neighbours(batches):
     def rows(a, b, seam, side, tree, path):
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((a, b, seam, side, tree, path), schema)], schema=schema)
 
+    def ended(runs):
+        n = len(runs)
+        return rows([r[2] for r in runs], [None] * n, [None] * n, [RUN] * n, [r[0] for r in runs], [r[1] for r in runs])
+
     held: tuple[list, list, list] = ([], [], [])
     first = None
+    run, outer = None, True  # the run at hand (tree, path, texts); whether it is the partition's first
     for batch in batches:
         if not batch.num_rows:
             continue
         t, k, i = (batch.column(c).to_pylist() for c in ("tree", "path", "id"))
+        over = []
+        for tree, path in zip(t, k):
+            if run and run[1] == path and run[0] == tree:
+                run[2] += 1
+                continue
+            if run:
+                over += [run] if outer or run[2] > CROWD else []
+                outer = False
+            run = [tree, path, 1]
+        yield ended(over)
         t, k, i = held[0] + t, held[1] + k, held[2] + i
         if first is None:
             first = (t[:CROWD], k[:CROWD], i[:CROWD])
@@ -143,6 +160,7 @@ def _neighbours(batches):
         n = len(a)
         yield rows(a, b, [None] * n, [None] * n, [None] * n, [None] * n)
     if first is not None:
+        yield ended([run])
         a, b = _pairs_of(*held)
         n = len(a)
         yield rows(a, b, [None] * n, [None] * n, [None] * n, [None] * n)
@@ -159,13 +177,15 @@ def _seam(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
-def forest_pairs(paths: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of (id, tree, path)."""
+def forest_pairs(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b) of (id, tree, path), and the runs (tree, path, n) that are
+    crowded at full depth."""
     spark = paths.sparkSession
     ordered = paths.repartitionByRange(max(partitions(spark), 2), "tree", "path", "id").sortWithinPartitions("tree", "path", "id")
     found = stored(ordered.mapInArrow(_neighbours, "a long, b long, seam int, side int, tree int, path binary"), "forest")
     seams = found.filter("seam is not null").groupBy("seam").applyInPandas(_seam, "a long, b long")
-    return found.filter("seam is null").select("a", "b").unionAll(seams).filter("a <> b").distinct()
+    runs = found.filter(F.col("side") == RUN).groupBy("tree", "path").agg(F.sum("a").alias("n")).filter(F.col("n") > CROWD)
+    return found.filter("seam is null and side is null").select("a", "b").unionAll(seams).filter("a <> b").distinct(), runs
 
 
 def _least_equal(limit: float) -> float:
@@ -224,22 +244,20 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def forest(link: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
-    """Links, as places, that join all that ``link`` joins beyond groups that are ``known``."""
+    """Pairs of places that join all that ``link`` joins beyond groups that are ``known``: a
+    star around the first member of each group that results, one ray for each known group."""
     out, left = [], np.ones(len(link), bool)
     for root in range(len(link)):
         if not left[root]:
             continue
-        left[root], work = False, [root]
+        left[root], work, rays = False, [root], {}
         while work:
             i = work.pop()
-            same = np.flatnonzero(left & (known == known[i]))
-            left[same] = False
-            met = np.flatnonzero(left & link[i])
+            rays.setdefault(int(known[i]), i)
+            met = np.flatnonzero(left & (link[i] | (known == known[i])))
             left[met] = False
-            # Texts of one known group that are met together need one link.
-            groups = {int(known[j]): j for j in met[::-1]}
-            out += [(i, int(j)) for j in groups.values()]
-            work += same.tolist() + met.tolist()
+            work += met.tolist()
+        out += [(root, i) for group, i in rays.items() if group != int(known[root])]
     return out
 
 
@@ -297,14 +315,15 @@ def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
-def _open_runs(paths: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of runs that are crowded at full depth and hold more than one component, with the
+def _open_runs(paths: DataFrame, crowds: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of ``crowds``, the runs that are crowded at full depth, as far as these hold more than one component, with the
     pairs of blocks (i, j) of their run that they take part in.
 
     Members of the run's largest component need no comparison with each other, so they have
     blocks of their own, which meet the blocks of the others only.
     """
-    rows = paths.join(comps.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    inside = paths.join(F.broadcast(crowds) if fits_broadcast(crowds) else crowds, ["tree", "path"], "left_semi")
+    rows = inside.join(comps.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("tree", "path", "component").agg(F.count("*").alias("n"))
     runs = parts.groupBy("tree", "path").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
     crowded = runs.filter((F.col("n") > CROWD) & (F.col("parts") > 1)).select(
@@ -345,9 +364,9 @@ def _plausible_members(limit: float):
     return run
 
 
-def _open_links(paths: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _open_links(paths: DataFrame, crowds: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components within crowded runs."""
-    full = _open_runs(paths, comps).join(reps.select("id", "n_shingles", "paths", "mini"), "id")
+    full = _open_runs(paths, crowds, comps).join(reps.select("id", "n_shingles", "paths", "mini"), "id")
     ddl = "tree int, path binary, i int, j int, id long, component long"
     wanted = stored(full.groupBy("tree", "path", "i", "j").applyInPandas(_plausible_members(percent / 100), ddl), "plausible")
     names = reps.join(wanted.select("id").distinct(), "id", "left_semi").select("doc_id", "id", "k1", "k2")
@@ -396,7 +415,9 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     discard(sk)
     cut = F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(paths, i * {WIDTH} + 1, {WIDTH}))")
     paths = reps.select("id", F.posexplode(cut).alias("tree", "path"))
-    pairs = stored(plausible(forest_pairs(paths), reps, percent / 100), "pairs")
+    near, runs = forest_pairs(paths)
+    crowds = stored(runs, "crowds")
+    pairs = stored(plausible(near, reps, percent / 100), "pairs")
 
     # Tentative groups decide only which texts travel together; links are confirmed below.
     sized = components(pairs).join(reps.select("id", "doc_id", "n_shingles", "k1", "k2"), "id")
@@ -410,7 +431,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     travel = sets.join(F.broadcast(place) if fits_broadcast(place) else place, "id")
     links = stored(travel.groupBy("component", "chunk").applyInPandas(_joined_within(percent), "a long, b long"), "links")
     comps = _settle(components(links), _across_chunks(pairs, place), sets.dropDuplicates(["id"]), percent)
-    more = stored(_open_links(paths, comps, reps, docs, words, percent), "links")
+    more = stored(_open_links(paths, crowds, comps, reps, docs, words, percent), "links")
     return rows, _merged(comps, more)
 
 

@@ -148,4 +148,4 @@ def test_forest_joins_what_links_join():
 
         same = [(i, j) for i in range(n) for j in range(n) if known[i] == known[j]]
         assert joined(same + pairs) == joined(same + [(int(i), int(j)) for i, j in np.argwhere(link)])
-        assert len(pairs) <= len(set(known.tolist())) * 2
+        assert len(pairs) < len(set(known.tolist())) or not pairs
