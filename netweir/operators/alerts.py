@@ -242,13 +242,15 @@ def notifications(
     wait_s: int = GROUP_WAIT_S,
     interval_s: int = GROUP_INTERVAL_S,
     repeat: Column | None = None,
+    resolved: bool = False,
 ) -> DataFrame:
     """When each group notifies.
 
     ``firing`` holds the firing steps with ``just_fired`` and ``repeat_s``. A group that
     starts firing waits ``wait_s``; then it is looked at every ``interval_s`` and notifies
     if an alert has joined since, or if the repeat interval has passed since the last
-    notification. It is forgotten once no alert of it fires.
+    notification. It is forgotten once no alert of it fires. With ``resolved``, a group that
+    has notified says so at its first look after that, unless it fires again by then.
     """
     width = step_s * MICRO
     steps = (
@@ -279,7 +281,7 @@ def notifications(
     chained = with_neighbors(ticks, by, "tick", CHUNK * width, after={"tick": "next_tick"})
     again = (F.ceil(F.col("repeat_s") / F.lit(interval_s)) * interval_s).cast("long") * MICRO
     until = F.least(F.col("end_us"), F.coalesce("next_tick", "end_us")) - 1
-    return chained.select(
+    sent = chained.select(
         *by,
         F.explode(F.sequence(F.col("tick"), F.greatest("tick", until), again)).alias("at"),
         F.col("tick"),
@@ -288,3 +290,11 @@ def notifications(
         F.timestamp_micros("at").cast("timestamp_ntz").alias("notify_at"),
         F.when(F.col("at") == F.col("tick"), "new").otherwise("repeat").alias("reason"),
     )
+    if not resolved:
+        return sent
+    # The first step of a session always has a change.
+    sessions = placed.where("k = start_k").select(*by, "start_k", start_us.alias("start_us"), ((F.col("last_k") + 1) * width).alias("end_us"))
+    sessions = with_neighbors(sessions, by, "start_k", CHUNK, after={"start_k": "next_k"})
+    look = F.col("start_us") + F.ceil((F.col("end_us") - F.col("start_us")) / F.lit(every)).cast("long") * every
+    ended = sessions.withColumn("look", look).where("start_us < end_us").where(F.col("next_k").isNull() | (F.col("next_k") * width > F.col("look")))
+    return sent.unionByName(ended.select(*by, F.timestamp_micros("look").cast("timestamp_ntz").alias("notify_at"), F.lit("resolved").alias("reason")))

@@ -364,7 +364,7 @@ def schedule_inputs(spark, sf):
     return grouped.withColumn("repeat_s", F.col("repeat_s") * STRETCH)
 
 
-SCHEDULE_SQL = sql(f"""
+_SCHEDULE = f"""
     WITH s AS (SELECT alertname, {_GROUP_SQL}, epoch_us(t) AS us, max(CAST(just_fired AS INTEGER)) AS changed,
         min(CASE severity WHEN 'critical' THEN 300 ELSE 3600 END) * {STRETCH} AS repeat_s
         FROM v_alert_states WHERE alertstate = 'firing' GROUP BY ALL),
@@ -381,9 +381,21 @@ SCHEDULE_SQL = sql(f"""
     SELECT alertname, datacenter, device, make_timestamp(moment) AS notify_at,
         CASE WHEN moment = tick THEN 'new' ELSE 'repeat' END AS reason
     FROM (SELECT *, unnest(generate_series(tick, least(nxt, end_us) - 1,
-        CAST(ceil(repeat_s / {EVERY}.0E0) AS BIGINT) * {EVERY} * CAST(1000000 AS BIGINT))) AS moment FROM n)""")
+        CAST(ceil(repeat_s / {EVERY}.0E0) AS BIGINT) * {EVERY} * CAST(1000000 AS BIGINT))) AS moment FROM n)"""
+SCHEDULE_SQL = sql(_SCHEDULE)
+RESOLVED_SQL = sql(f"""{_SCHEDULE}
+    UNION ALL SELECT alertname, datacenter, device, make_timestamp(look), 'resolved' FROM (
+      SELECT *, start_us + CAST(ceil((end_us - start_us) / ({EVERY} * 1000000.0E0)) AS BIGINT) * {EVERY} * CAST(1000000 AS BIGINT) AS look,
+          lead(start_us) OVER (PARTITION BY alertname, datacenter, device ORDER BY start_us) - {WAIT} * CAST(1000000 AS BIGINT) AS again
+      FROM (SELECT DISTINCT alertname, datacenter, device, start_us, end_us FROM i))
+    WHERE start_us < end_us AND (again IS NULL OR again > look)""")
 
 
 @query("notification_schedule", SCHEDULE_SQL)
 def notification_schedule(spark, sf):
     return al.notifications(schedule_inputs(spark, sf), al.GROUP_BY, STEP, WAIT, EVERY)
+
+
+@query("notification_resolved", RESOLVED_SQL)
+def notification_resolved(spark, sf):
+    return al.notifications(schedule_inputs(spark, sf), al.GROUP_BY, STEP, WAIT, EVERY, resolved=True)

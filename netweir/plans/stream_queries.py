@@ -6,6 +6,8 @@ so it can be compared with the batch result.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from netweir.functions.timing import micros
@@ -25,6 +27,7 @@ from netweir.sources.flows import skip_undecoded, to_canonical
 from netweir.streaming import alerts as sa
 from netweir.streaming import executions as se
 from netweir.streaming import flows as sf_
+from netweir.streaming import notices as sn
 
 
 def table_stream(spark, sf_dir, name):
@@ -275,6 +278,9 @@ def guarded_overwrite(spark, sf):
 
 # ------------------------------------------------------------ alerts, notifications, executions
 
+LATE_STEPS = 3  # how late a step may come
+CLOCK_STEPS = 1000  # how long after the last step the clock of a test stream goes on
+
 
 @query("stream_alerts", SQL["alert_high_memory"])
 def stream_alerts(spark, sf):
@@ -301,6 +307,62 @@ def stream_notifications(spark, sf):
     return spark.read.parquet(out)
 
 
+@contextmanager
+def keyed_states(spark):
+    """The state store that keyed state machines need, for the streams started within."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, sn.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _clock(rows, columns, time, later):
+    """A row of nobody's, so long after the last one that all timers have run."""
+    end = rows.agg((F.max(time) + later).alias(time))
+    named = {c: F.lit(v).cast(dict(rows.dtypes)[c]) for c, v in columns.items()}
+    return end.select(*[F.col(time) if c == time else named.get(c, F.lit(None).cast(kind)).alias(c) for c, kind in rows.dtypes])
+
+
+@query("stream_notifications_resolved", aq.RESOLVED_SQL)
+def stream_notifications_resolved(spark, sf):
+    """Steps arrive in batches that are not in the order of time within the allowed lateness."""
+    steps = sa.group_steps(aq.schedule_inputs(spark, sf), aq.al.GROUP_BY, aq.STEP)
+    out, checkpoint = work_dir(spark, "notified"), work_dir(spark, "checkpoint")
+    steps = steps.withColumn("order", F.col("k") + F.pmod(F.xxhash64("device", "k"), F.lit(LATE_STEPS)))
+    end = _clock(steps, dict.fromkeys(aq.al.GROUP_BY, "") | {"changed": 0, "repeat_s": 1}, "k", CLOCK_STEPS).withColumn("order", F.col("k"))
+
+    def process(stream):
+        rows = stream.drop("order")
+        sent = sn.notice_stream(rows, aq.al.GROUP_BY, aq.STEP, aq.WAIT, aq.EVERY, LATE_STEPS * aq.STEP)
+        sf_.run_available(sent.writeStream.format("parquet").option("path", out), checkpoint)
+
+    with keyed_states(spark):
+        in_arrivals(spark, steps.unionByName(end), F.col("order"), 3, process)
+    return spark.read.parquet(out).where("alertname != ''")
+
+
+@query("stream_alert_intervals", SQL["alert_intervals"])
+def stream_alert_intervals(spark, sf):
+    """Active steps of all rules in one stream, some of them late, to closed intervals."""
+    active = aq.tagged(spark, sf, aq.OVERVIEW)
+    late = F.pmod(F.xxhash64("series_key", "t"), F.lit(LATE_STEPS)) * aq.STEP
+    arrival = (F.unix_micros(F.col("t").cast("timestamp")) + late * 1_000_000).cast("long")
+    active = active.select("alertname", "severity", "need", "series_key", F.col("t").cast("timestamp").alias("t"), arrival.alias("order"))
+    end = _clock(active, {"alertname": "", "severity": "", "need": 0, "series_key": ""}, "order", CLOCK_STEPS * aq.STEP * 1_000_000)
+    end = end.withColumn("t", F.timestamp_micros("order"))
+    out, checkpoint = work_dir(spark, "intervals"), work_dir(spark, "checkpoint")
+
+    def process(stream):
+        closed = sa.interval_stream(stream, aq.STEP, LATE_STEPS * aq.STEP)
+        sf_.run_available(closed.writeStream.format("parquet").option("path", out), checkpoint)
+
+    in_arrivals(spark, active.unionByName(end), F.col("order"), 3, process)
+    return spark.read.parquet(out).where("alertname != ''")
+
+
 @query("stream_executions", sql("""
     WITH e AS (SELECT *, CASE WHEN phase = 'PendingApproval' THEN created_at
         ELSE created_at + to_seconds(duration_s) + INTERVAL 250 MILLISECOND END AS ts FROM v_exec)
