@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions.labels import label
 from netweir.functions.timing import floor_div, grid_time, micros
-from netweir.operators.ordered import carry, overlapping_chunks, run_bounds, runs, with_neighbors
+from netweir.operators.ordered import number_runs, overlapping_chunks, run_pieces, runs, with_neighbors
 
 MICRO = 1_000_000
 CHUNK = 512
@@ -82,26 +82,21 @@ def states(tagged: DataFrame, needs: list[int], step_s: int) -> DataFrame:
     ``tagged`` holds the conditions of any number of rules, made by ``with_rule``, and
     ``needs`` the steps that these rules wait for. Whether a step fires depends only on the
     steps of the last ``for``, so the time axis is cut into chunks that overlap by that much.
-    All rules share one window; it counts each distinct wait once.
+    All rules share one window.
     """
-    needs = sorted(set(needs))
     reach = max(needs, default=0) + 1
     chunk = max(CHUNK, reach)
     placed = tagged.withColumn("k", floor_div(micros(F.col("t")), step_s * MICRO))
     copies = overlapping_chunks(placed, "k", reach, chunk)
     by_time = Window.partitionBy("alertname", "series_key", "_chunk").orderBy("k")
-
-    def full(shift: int) -> Column:
-        found = F.lit(False)
-        for need in needs:
-            counted = F.count(F.lit(1)).over(by_time.rangeBetween(-need - shift, -shift)) == need + 1
-            found = F.when(F.col("need") == need, counted).otherwise(found)
-        return found
-
-    marked = copies.withColumns({"_full": full(0), "_before": full(1)})
+    starts = F.coalesce(F.lag("k").over(by_time) != F.col("k") - 1, F.lit(True))
+    # Steps since the activity began, or since the copies of earlier steps do, which is longer
+    # than any rule waits.
+    began = F.last(F.when(F.col("_starts"), F.col("k")), ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    marked = copies.withColumn("_starts", starts).withColumn("_held", F.col("k") - began)
     return marked.where(floor_div(F.col("k"), chunk) == F.col("_chunk")).select(
-        "alertname", "severity", "series_key", "t", F.when(F.col("_full"), "firing").otherwise("pending").alias("alertstate"),
-        "value", (F.col("_full") & ~F.col("_before")).alias("just_fired"),
+        "alertname", "severity", "series_key", "t", F.when(F.col("_held") >= F.col("need"), "firing").otherwise("pending").alias("alertstate"),
+        "value", (F.col("_held") == F.col("need")).alias("just_fired"),
     )
 
 
@@ -261,13 +256,12 @@ def notifications(
             F.min(F.col("repeat_s") if repeat is None else repeat).alias("repeat_s"),
         )
     )
-    # Only steps with a change and the last steps of a session matter from here on.
-    bounds = run_bounds(steps, by, "k", CHUNK).where("changed = 1 OR starts_run OR ends_run")
-    marked = bounds.withColumn("_start", F.when(F.col("starts_run"), F.col("k"))).withColumn(
-        "_end", F.when(F.col("ends_run"), F.col("k"))
-    )
-    placed = carry(marked, by, "k", "_start", "start_k", CHUNK)
-    placed = carry(placed, by, "k", "_end", "last_k", CHUNK, back=True).where(F.col("changed") == 1)
+    # A session is a stretch of steps; its changes stay with the pieces of a chunk that they are in.
+    changes = F.collect_list(F.when(F.col("changed") == 1, F.struct("k", "repeat_s"))).alias("changes")
+    pieces, whole = number_runs(run_pieces(steps, by, "k", CHUNK, changes), by, CHUNK)
+    session = Window.partitionBy(*whole)
+    bounds = pieces.withColumns({"start_k": F.min("first").over(session), "last_k": F.max("last").over(session)})
+    placed = bounds.select(*by, "start_k", "last_k", F.explode("changes").alias("c")).select(*by, "start_k", "last_k", "c.k", "c.repeat_s")
     start_us = F.col("start_k") * width + wait_s * MICRO
     late_us = F.greatest(F.col("k") * width - start_us, F.lit(0))
     every = interval_s * MICRO

@@ -91,25 +91,53 @@ def overlapping_chunks(df: DataFrame, order: str, reach: int, chunk: int) -> Dat
     return df.withColumn("_chunk", F.explode(F.sequence(first, last)))
 
 
+def run_pieces(df: DataFrame, keys: list[str], order: str, chunk: int, *more: Column) -> DataFrame:
+    """Stretches of consecutive integers, cut at the borders of chunks: ``keys, _chunk, first,
+    last`` and ``more`` aggregates of their rows. ``df`` has each (key, ``order``) once."""
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    rows = df.withColumn("_chunk", floor_div(F.col(order), chunk)).withColumn("_island", F.col(order) - F.row_number().over(inside))
+    pieces = rows.groupBy(*keys, "_chunk", "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), *more)
+    return pieces.drop("_island")
+
+
+def number_runs(pieces: DataFrame, keys: list[str], chunk: int) -> tuple[DataFrame, list[str]]:
+    """Pieces with columns that those of one stretch have in common, and the names of these.
+
+    Only pieces that reach a border of their chunk can go on in another one; they meet in one
+    group per key, of two pieces a chunk at most. The others keep to their chunk.
+    """
+    begin = F.col("_chunk") * F.lit(chunk)
+    border = (F.col("first") == begin) | (F.col("last") == begin + F.lit(chunk - 1))
+    placed = pieces.withColumn("_place", F.when(~border, F.col("_chunk")))
+    linked = Window.partitionBy(*keys, "_place").orderBy("first")
+    starts = F.coalesce(F.lag("last").over(linked) != F.col("first") - 1, F.lit(True))
+    marked = placed.withColumn("_starts", starts.cast("int"))
+    return marked.withColumn("_run", F.sum("_starts").over(linked)).drop("_starts"), [*keys, "_place", "_run"]
+
+
 def run_bounds(df: DataFrame, keys: list[str], order: str, chunk: int) -> DataFrame:
-    """Add ``starts_run`` and ``ends_run`` for stretches of consecutive integers."""
-    linked = with_neighbors(df, keys, order, chunk, before={order: "_before"}, after={order: "_after"})
-    return (
-        linked.withColumn("starts_run", F.col("_before").isNull() | (F.col("_before") < F.col(order) - 1))
-        .withColumn("ends_run", F.col("_after").isNull() | (F.col("_after") > F.col(order) + 1))
-        .drop("_before", "_after")
+    """Add ``starts_run`` and ``ends_run`` for stretches of consecutive integers.
+
+    Rows at the border of a chunk are copied to the chunk beside it, so one window shows each
+    row whether its neighbours are there.
+    """
+    x = F.col(order)
+    near = F.array_distinct(F.array(floor_div(x - 1, chunk), floor_div(x, chunk), floor_div(x + 1, chunk)))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    rows = df.withColumn("_chunk", F.explode(near)).withColumns(
+        {
+            "starts_run": F.coalesce(F.lag(order).over(inside) != x - 1, F.lit(True)),
+            "ends_run": F.coalesce(F.lead(order).over(inside) != x + 1, F.lit(True)),
+        }
     )
+    return rows.where(floor_div(x, chunk) == F.col("_chunk")).drop("_chunk")
 
 
 def runs(df: DataFrame, keys: list[str], order: str, chunk: int) -> DataFrame:
     """Stretches of consecutive integers: one row ``keys, first, last`` per stretch.
 
-    ``df`` has each (key, ``order``) once. Only the two ends of a stretch travel on.
+    ``df`` has each (key, ``order``) once. The rows are shuffled once, then one row per stretch
+    and chunk.
     """
-    bounds = run_bounds(df.select(*keys, order), keys, order, chunk).where("starts_run OR ends_run")
-    paired = with_neighbors(bounds, keys, order, chunk, after={order: "_end"}).where("starts_run")
-    return paired.select(
-        *keys,
-        F.col(order).alias("first"),
-        F.when(F.col("ends_run"), F.col(order)).otherwise(F.col("_end")).alias("last"),
-    )
+    pieces, whole = number_runs(run_pieces(df.select(*keys, order), keys, order, chunk), keys, chunk)
+    return pieces.groupBy(*whole).agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_place", "_run")
