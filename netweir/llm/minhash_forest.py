@@ -24,7 +24,7 @@ TREES, DEPTH, ROOT = 24, 6, 4
 CROWD = 12  # a run of at most so many texts is compared in full within its tree
 CHUNK, CHUNK_SHINGLES = 256, 1_000_000  # texts whose sets one group compares
 BLOCK = 512  # texts of a crowded run that meet another such block
-COLUMNS = 8192  # shingles that are counted at once when texts of a group are compared
+COLUMNS = 2048  # shingles that are counted at once when texts of a group are compared
 RUN = 2  # marks the count of a run among a partition's rows
 WIDTH = 2 * DEPTH  # bytes of a path: 16 bits of each minimum
 PLAUSIBLE = 5.0  # standard errors below the limit at which an estimate rules a pair out
@@ -299,7 +299,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return a, b, [100 * n >= percent * (len(s) + len(t) - n) for s, t, n in zip(x, y, both)]
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
-    of = lambda end, name: sets.select(F.col("id").alias(end), F.col("hashes").alias(name))
+    # Only the sets of these pairs are shuffled to them.
+    ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    wanted = sets.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "id", "left_semi").dropDuplicates(["id"])
+    of = lambda end, name: wanted.select(F.col("id").alias(end), F.col("hashes").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(in_batches(["a", "b", "x", "y"], make, schema), "a long, b long, ok boolean")
 
@@ -430,7 +433,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     place = chunked.select("id", "component", "chunk")
     travel = sets.join(F.broadcast(place) if fits_broadcast(place) else place, "id")
     links = stored(travel.groupBy("component", "chunk").applyInPandas(_joined_within(percent), "a long, b long"), "links")
-    comps = _settle(components(links), _across_chunks(pairs, place), sets.dropDuplicates(["id"]), percent)
+    comps = _settle(components(links), _across_chunks(pairs, place), sets, percent)
     more = stored(_open_links(paths, crowds, comps, reps, docs, words, percent), "links")
     return rows, _merged(comps, more)
 
@@ -461,7 +464,7 @@ def _settle(comps: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -
         if tries.isEmpty():
             return comps
         key = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), F.pmod(F.xxhash64("a", "b"), F.lit(per)).alias("z")]
-        chosen = tries.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        chosen = stored(tries.groupBy(*key).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "chosen")
         tested = stored(_confirm(chosen, sets, percent), "tested")
         tries = tries.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
         comps = _merged(comps, tested.filter("ok").select("a", "b"))
