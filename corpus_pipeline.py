@@ -15,6 +15,7 @@ from netweir.llm.minhash_forest import groups, text_hash
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.quality_trees import fit_quality, score_quality
 from netweir.llm.toxic_segments import fit_toxicity, score_toxicity
+from netweir.operators.joins import fits_broadcast
 from netweir.session import configure
 
 #: A document goes below this chance of being good, or from this chance of being toxic.
@@ -53,7 +54,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = grouped.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     dropped = grouped.join(first, "group_id").filter(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", F.col("text_hash").alias(mark)).distinct()
     marked = docs.withColumn(mark, text_hash("text"))
-    kept = marked.join(stored(dropped, "dropped"), ["doc_id", mark], "left_anti")
+    dropped = stored(dropped, "dropped")
+    # Texts move only if the list of what goes is too large to be sent to them.
+    kept = marked.join(F.broadcast(dropped) if fits_broadcast(dropped) else dropped, ["doc_id", mark], "left_anti")
     again = rows.filter("doc_id is not null").groupBy("doc_id", F.col("text_hash").alias(mark)).count().filter("count > 1").select("doc_id", mark)
     again = stored(again, "repeated")
     if again.isEmpty():
