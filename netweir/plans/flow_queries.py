@@ -9,10 +9,12 @@ from netweir.functions.timing import ntz
 from netweir.operators import panels, rollup
 from netweir.operators.enrich import enrich, enrich_asn, enrich_device, enrich_geo, enrich_interfaces, enrich_sites
 from netweir.operators.joins import keep_known
+from netweir.operators.ranges import RangeTable
 from netweir.operators.rollup import retained
 from netweir.plans import views as v
 from netweir.plans.registry import query
 from netweir.plans.views_sql import sql
+from netweir.session import work_dir
 
 # ------------------------------------------------------------ projections
 
@@ -280,6 +282,57 @@ def q_enrich_geo_distinct(spark, sf):
     return _geo_flows(spark, sf, "distinct")
 
 
+# A wide table has lengths in whole hex digits: nine of IPv4 and thirty-one of IPv6.
+WIDE_SQL = f"""
+    WITH f AS (SELECT src_hex AS a, ip_version, src_port, dst_as, bytes FROM v_flows UNION ALL SELECT dst_hex, ip_version, src_port, dst_as, bytes FROM v_flows),
+    p AS (SELECT CASE ip_version WHEN 4 THEN 96 + 4 * (bytes % 9) WHEN 6 THEN (CASE bytes % 31 WHEN 30 THEN 128 WHEN 23 THEN 124 ELSE 4 + 4 * (bytes % 31) END) END AS plen,
+        a, 'c' || (src_port % 200) AS country, 'p' || (dst_as % 1000) AS city FROM f),
+    w AS (SELECT CAST(plen AS INTEGER) AS plen, substr(a, 1, plen // 4) AS lead, max(country || '/' || city) AS place FROM p GROUP BY ALL),
+    h AS (SELECT a, place FROM (SELECT x.a, w.place, row_number() OVER (PARTITION BY x.a ORDER BY w.plen DESC) AS r
+        FROM (SELECT a, plen, substr(a, 1, plen // 4) AS lead FROM (SELECT DISTINCT a FROM f), (SELECT DISTINCT plen FROM w)) x
+        JOIN w ON w.plen = x.plen AND w.lead = x.lead) WHERE r = 1)
+    SELECT {_FLOW_KEY}, split_part(s.place, '/', 1) AS src_country, split_part(s.place, '/', 2) AS src_city,
+        split_part(d.place, '/', 1) AS dst_country, split_part(d.place, '/', 2) AS dst_city
+    FROM v_flows LEFT JOIN h s ON s.a = src_hex LEFT JOIN h d ON d.a = dst_hex"""
+
+
+def wide_prefixes(flows):
+    """A prefix of each end of each flow, of forty lengths in all."""
+    ends = [flows.select(F.col(f"{side}_ip").alias("prefix"), "ip_version", "src_port", "dst_as", "bytes") for side in ("src", "dst")]
+    ends = ends[0].unionAll(ends[1])
+    six = F.expr("CASE bytes % 31 WHEN 30 THEN 128 WHEN 23 THEN 124 ELSE 4 + 4 * (bytes % 31) END")
+    plen = F.when(F.col("ip_version") == 4, 96 + 4 * (F.col("bytes") % 9)).otherwise(six)
+    return ends.select(
+        "prefix", plen.cast("int").alias("plen"), F.concat(F.lit("c"), (F.col("src_port") % 200).cast("string")).alias("country"),
+        F.concat(F.lit("p"), (F.col("dst_as") % 1000).cast("string")).alias("city"),
+    )
+
+
+def wide_table(spark, sf):
+    def store(df, name):
+        path = work_dir(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return RangeTable.of({"geo": (wide_prefixes(v.flows(spark, sf)), ["country", "city"])}, store)
+
+
+def wide_lookup(flows, table):
+    found = table.lookup(table.lookup(flows, "src_ip", "_src"), "dst_ip", "_dst")
+    return found.withColumns({f"{s}_{c}": F.col(f"_{s}.geo.{c}") for s in ("src", "dst") for c in ("country", "city")}).drop("_src", "_dst")
+
+
+@query("enrich_wide_table", sql(WIDE_SQL))
+def enrich_wide_table(spark, sf):
+    out = wide_lookup(v.flows(spark, sf), wide_table(spark, sf))
+    return v.printable(
+        out.select(
+            "ts", "exporter_ip", "in_if", "out_if", "src_ip", "dst_ip", "bytes",
+            "src_country", "src_city", "dst_country", "dst_city",
+        )
+    )
+
+
 @query("enrich_asn", sql(f"SELECT {_FLOW_KEY}, src_as, src_as_name, dst_as, dst_as_name FROM v_flows_asn"))
 def q_enrich_asn(spark, sf):
     out = enrich_asn(v.flows(spark, sf), v.asn(spark, sf))

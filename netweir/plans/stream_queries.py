@@ -107,6 +107,17 @@ def stream_enrich(spark, sf):
     return v.printable(spark.read.parquet(out).select(*fq.ENRICHED_COLUMNS))
 
 
+@query("stream_enrich_wide_table", sql(fq.WIDE_SQL))
+def stream_enrich_wide_table(spark, sf):
+    flows = to_canonical(v.lineitem_wire(table_stream(spark, sf, "lineitem")))
+    out = work_dir(spark, "enriched")
+    writer = fq.wide_lookup(flows, fq.wide_table(spark, sf)).writeStream.format("parquet").option("path", out)
+    sf_.run_available(writer, work_dir(spark, "checkpoint"))
+    return v.printable(spark.read.parquet(out)).select(
+        "ts", "exporter_ip", "in_if", "out_if", "src_ip", "dst_ip", "bytes", "src_country", "src_city", "dst_country", "dst_city"
+    )
+
+
 @query("stream_enrich_refresh", fq.ENRICHED_SQL)
 def stream_enrich_refresh(spark, sf):
     """The second refresh fails; the flows of that batch still get the first copy."""
