@@ -47,6 +47,12 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> SparkSession:
+    """Send Python workers few bytes at once: a worker keeps the memory of its largest batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

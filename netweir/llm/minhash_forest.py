@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweir.llm.common import components, discard, in_batches, partitions, random_words, shingles, stored
+from netweir.llm.common import components, discard, in_batches, partitions, random_words, shingles, small_batches, stored
 from netweir.operators.joins import fits_broadcast
 
 TREES, DEPTH, ROOT = 24, 6, 4
@@ -395,6 +395,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``near_duplicates`` with text_hash, which tells texts under one doc_id apart,
     and group_id, which rows have in common if links join them (null: without words or doc_id)."""
+    small_batches(docs.sparkSession)
     classes, comps = _classes(docs, words, percent)
     found = classes.join(comps.select("id", "component"), "id", "left").withColumn("group_id", F.coalesce("component", "id"))
     least = found.filter("group_id is not null").groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
