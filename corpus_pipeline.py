@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netweir.llm.common import fresh, reachable, stored, table
+from netweir.llm.common import fresh, reachable, small_batches, stored, table
 from netweir.llm.minhash_forest import groups, text_hash
 from netweir.llm.packing import place, token_pieces
 from netweir.llm.quality_trees import fit_quality, score_quality
@@ -76,7 +76,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _stage(fn):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return fn(reachable(configure(spark)), docs, sf_dir)
+        return fn(small_batches(reachable(configure(spark))), docs, sf_dir)
 
     return run
 
