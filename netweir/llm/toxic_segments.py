@@ -7,6 +7,9 @@ out between the classes as chance would hardly do it, with a bound on the false
 all tokens. Words that are no such tokens cost a constant, so a clean text drifts down; a linear scan finds every maximal scoring segment.
 A segment's score is turned into an extreme-value exponent, and the evidence of all significant
 passages of a text is put on a probability scale by a logistic curve fitted on labelled texts.
+
+A lexicon of at most LEXICON_TOKENS tokens is sent to the tasks. A larger one stays a stored table:
+the tokens of the texts are joined to it, and each text is read with its own entries.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from netweir.llm.common import discard, in_batches, stored
+from netweir.llm.common import discard, fresh, stored
 from netweir.operators.joins import fits_broadcast
 
 WORD = re.compile(r"\w+")
@@ -31,6 +34,8 @@ PRIOR = 20.0  # total weight of the Dirichlet prior, in texts of each class
 FALSE_SHARE = 0.01  # bound on the expected share of chance tokens in the lexicon
 CELLS = 20  # cells of evidence per unit of log p
 MARGIN = 1.0  # taken off the log-odds, so that words that both classes use do not add up
+LEXICON_TOKENS = 250_000  # of a lexicon that every task holds (about 50 MB of Python objects)
+GRAINS = 1000  # cells of weight per unit, for the law of the scores
 MAX_ROWS = 40_000  # labelled texts that the calibration is fitted on; all are scored
 DRIFT = -0.5  # score of a word without significant log-odds
 CLIP = 6.0
@@ -82,6 +87,7 @@ class Segments:
     size: float  # K of the score distribution
     slope: float = 1.0
     shift: float = 0.0
+    table: str | None = None  # folder of (token, weight), if the lexicon is not held here
 
     def scores(self, words: list[str], seen: dict[str, float]) -> list[float]:
         """One score per word; the same word again within APART words is worth nothing more."""
@@ -163,9 +169,10 @@ def evidence_limit(tested: DataFrame) -> float:
     return least
 
 
-def lexicon_of(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], float, float]:
+def lexicon_of(counts: DataFrame, toxic: int, clean: int, most: int = LEXICON_TOKENS) -> tuple[dict[str, float] | str, float, float]:
     """Significant log-odds by token, lambda and K of the scores of a clean word. toxic, clean:
-    the number of texts that were counted."""
+    the number of texts that were counted. More than ``most`` tokens stay in a stored table
+    (token, weight), and its folder is returned in their place."""
     if not toxic or not clean:
         return {}, 1.0, 1.0
     nt, nc = float(toxic), float(clean)
@@ -178,27 +185,32 @@ def lexicon_of(counts: DataFrame, toxic: int, clean: int) -> tuple[dict[str, flo
     # factor two is for the two sides.
     pt, pc, n = nt / (nt + nc), nc / (nt + nc), F.col("toxic") + F.col("clean")
     part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / n / p)).otherwise(0.0)
+    weight = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), odds - MARGIN))
     tested = counts.select(
-        "token", odds.alias("odds"), "clean", (part("toxic", pt) + part("clean", pc) - math.log(2)).alias("evidence"), (n * -math.log(min(pt, pc)) - math.log(2)).alias("most")
+        "token", weight.alias("weight"), "clean", (part("toxic", pt) + part("clean", pc) - math.log(2)).alias("evidence"), (n * -math.log(min(pt, pc)) - math.log(2)).alias("most")
     )
     tested = stored(tested, "tokens")
-    rows = tested.filter(F.floor(F.col("evidence") * CELLS) / CELLS >= evidence_limit(tested)).orderBy(F.desc("evidence"), "token").collect()
+    kept = stored(tested.filter(F.floor(F.col("evidence") * CELLS) / CELLS >= evidence_limit(tested)).select("token", "weight", "clean"), "lexicon")
     discard(tested)
-    lexicon = {r["token"]: float(np.clip(r["odds"] - MARGIN, -CLIP, CLIP)) for r in rows}
-    # Lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words.
-    whole = [(lexicon[r["token"]], r["clean"]) for r in rows if not r["token"].endswith("*")]
-    s = np.array([x for x, _ in whole] + [DRIFT, CLIP])
-    p = np.array([n for _, n in whole] + [20.0 * nc, 1.0]) / 1.0
+    # Lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words, in at most 2 * CLIP * GRAINS + 1 cells.
+    cells = kept.filter(~F.endswith(F.col("token"), F.lit("*"))).groupBy(F.round(F.col("weight") * GRAINS).cast("int").alias("cell")).agg(F.sum("clean").alias("n"))
+    whole = cells.orderBy("cell").collect()
+    s = np.array([r["cell"] / GRAINS for r in whole] + [DRIFT, CLIP])
+    p = np.array([r["n"] for r in whole] + [20.0 * nc, 1.0])
     p /= p.sum()
     lo, hi = 1e-6, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(mid * s)).sum() < 1 else (lo, mid)
-    rate = max(lo, 0.05)
-    return lexicon, rate, float(max(1e-6, (p[s > 0]).sum()))
+    law = max(lo, 0.05), float(max(1e-6, (p[s > 0]).sum()))
+    if kept.count() > most:
+        return kept.stored_at, *law
+    lexicon = {r["token"]: r["weight"] for r in kept.select("token", "weight").collect()}
+    discard(kept)
+    return lexicon, *law
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Segments:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, most_tokens: int = LEXICON_TOKENS) -> Segments:
     """Learn from rows of labels (doc_id, label 0/1). The token counts cover all of them, the
     curve is fitted on at most ``max_rows``. Without both classes every score is 0.5 or less."""
     rows = labels.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -206,13 +218,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
     near = F.broadcast(rows) if fits_broadcast(rows) else rows
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(near, "doc_id")
     sizes = {r["label"]: r["count"] for r in docs.select("doc_id").join(near, "doc_id").groupBy("label").count().collect()}
-    lexicon, rate, size = lexicon_of(token_counts(known), sizes.get(1, 0), sizes.get(0, 0))
-    model = Segments(lexicon, rate, size)
+    lexicon, rate, size = lexicon_of(token_counts(known), sizes.get(1, 0), sizes.get(0, 0), most_tokens)
+    model = Segments({}, rate, size, table=lexicon) if isinstance(lexicon, str) else Segments(lexicon, rate, size)
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
     got = _evidence(sample, model, "label").toPandas()
     if got["label"].nunique() < 2:
-        return Segments(lexicon, rate, size, 0.0, -1.0)
+        return replace(model, slope=0.0, shift=-1.0)
     x, y = np.log1p(np.maximum(got["evidence"].to_numpy(), 0)), got["label"].to_numpy(float)
     slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton steps with a small ridge: classes that part cleanly stay finite
@@ -222,21 +234,63 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.1]])
         step = np.clip(np.linalg.solve(h, g), -2, 2)
         slope, shift = slope + step[0], shift + step[1]
-    return Segments(lexicon, rate, size, float(max(slope, 0.0)), float(shift))
+    return replace(model, slope=float(max(slope, 0.0)), shift=float(shift))
+
+
+def _with_entries(docs: DataFrame, table: str, name: str) -> DataFrame:
+    """docs with a column of the (token, weight) entries of a stored lexicon that their texts hold.
+
+    Texts meet the lexicon by their distinct tokens, under two hashes of the text, so copies share
+    their entries; what comes back is one row per different text.
+    """
+    left, right = fresh(docs.columns, "_left", "_right")
+    named = docs.withColumn(left, F.xxhash64("text")).withColumn(right, F.xxhash64(F.lit(1), "text"))
+    schema = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("token", pa.string())])
+
+    def tokens(batches):
+        for batch in batches:
+            for l, r, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = sorted({x for w in set(words_of(t)) for x in tokens_of(w)})
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([l] * len(found)), pa.array([r] * len(found)), pa.array(found, pa.string())], schema=schema)
+
+    held = named.select(left, right, "text").mapInArrow(tokens, "l long, r long, token string")
+    lexicon = docs.sparkSession.read.parquet(table).select("token", "weight")
+    entries = held.join(lexicon, "token").groupBy(F.col("l").alias(left), F.col("r").alias(right)).agg(F.collect_set(F.struct("token", "weight")).alias(name))
+    return named.join(entries, [left, right], "left").select(*docs.columns, name)
+
+
+def _readable(docs: DataFrame, model: Segments):
+    """docs, with each text's own entries in a further last column if the lexicon is a table; and a
+    function that gives (model, words, cache) of every row of a batch of such rows."""
+    held = model.table is None
+    (name,) = fresh(docs.columns, "_entries")
+    rows = docs if held else _with_entries(docs, model.table, name)
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON_TOKENS tokens at most
+
+    def read(batch, seen):
+        texts = batch.column(at).to_pylist()
+        if held:
+            return ((shared.value, words_of(t), seen) for t in texts)
+        own = batch.column(batch.num_columns - 1).to_pylist()
+        return ((replace(shared.value, lexicon={e["token"]: e["weight"] for e in es or []}), words_of(t), {}) for t, es in zip(texts, own))
+
+    return rows, read
 
 
 def _evidence(docs: DataFrame, model: Segments, other: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens
     kind = dict(docs.dtypes)[other]
+    rows, read = _readable(docs.select(other, "text"), model)
 
     def run(batches):
         seen: dict[str, float] = {}
         for batch in batches:
             if batch.num_rows:
-                x = [shared.value.evidence(words_of(t), seen) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(other), pa.array(x, pa.float64())], [other, "evidence"])
+                x = [m.evidence(words, cache) for m, words, cache in read(batch, seen)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], [other, "evidence"])
 
-    return docs.select(other, "text").mapInArrow(run, f"{other} {kind}, evidence double")
+    return rows.mapInArrow(run, f"{other} {kind}, evidence double")
 
 
 def score_toxicity(docs: DataFrame, model: Segments, name: str = "score") -> DataFrame:
@@ -246,31 +300,31 @@ def score_toxicity(docs: DataFrame, model: Segments, name: str = "score") -> Dat
     """
     assert name not in docs.columns, name
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens
+    width = len(docs.columns)
+    rows, read = _readable(docs, model)
+    curve = replace(model, lexicon={}).probability  # without the lexicon, which is sent once
 
     def run(batches):
         seen: dict[str, float] = {}
         for batch in batches:
             if batch.num_rows:
-                x = np.array([shared.value.evidence(words_of(t), seen) for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.probability(x))], [*batch.schema.names, name])
+                x = np.array([m.evidence(words, cache) for m, words, cache in read(batch, seen)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(curve(x))], [*batch.schema.names[:width], name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxic_passages(docs: DataFrame, model: Segments) -> DataFrame:
     """One row per significant passage: doc_id, first and last word (from 0), score, text of its words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, read = _readable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     schema = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64()), ("words", pa.string())])
 
-    def make(ids, texts):
-        out = []
-        for i, t in zip(ids, texts):
-            w = words_of(t)
-            out += [(i, a, b - 1, s, " ".join(w[a:b])) for a, b, s in shared.value.passages(w, {})]
-        return list(zip(*out)) if out else [[]] * 5
+    def run(batches):
+        seen: dict[str, float] = {}
+        for batch in batches:
+            for i, (m, w, cache) in zip(batch.column(0).to_pylist(), read(batch, seen)):
+                out = [(i, a, b - 1, s, " ".join(w[a:b])) for a, b, s in m.passages(w, cache)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        in_batches(["doc_id", "text"], make, schema), "doc_id long, first_word long, last_word long, score double, words string"
-    )
+    return rows.mapInArrow(run, "doc_id long, first_word long, last_word long, score double, words string")

@@ -44,6 +44,23 @@ def test_repeated_words_count_again():
     assert [k for k, s in enumerate(scores) if s > 0] == [0, 60, 120]
 
 
+def test_lexicon_as_a_table(spark, edge_docs):
+    """A lexicon beyond the limit stays a table: same scores and passages, copies, nulls, clashing names and repeated rows included."""
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(30)) + (" vile brute" * 3 if k % 3 == 0 else "")) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, label int")
+    held, table = ts.fit_toxicity(docs, labels), ts.fit_toxicity(docs, labels, most_tokens=1)
+    assert held.table is None and table.table and not table.lexicon
+    assert (table.rate, table.size, table.slope, table.shift) == pytest.approx((held.rate, held.size, held.slope, held.shift))
+    more = docs.unionByName(docs.filter("doc_id < 20")).unionByName(spark.createDataFrame([(None, None), (500, ""), (501, "vile " * 5000)], "doc_id long, text string"))
+    for given in (more.withColumn("_left", F.lit(1)).withColumn("_entries", F.lit("x")), edge_docs):
+        a, b = ts.score_toxicity(given, held, "p"), ts.score_toxicity(given, table, "p")
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert sorted(map(tuple, ts.toxic_passages(docs, held).collect())) == sorted(map(tuple, ts.toxic_passages(docs, table).collect()))
+
+
 @pytest.mark.parametrize("lang,least", [("de", 0.5), ("en", 0.5), ("es", 0.25), ("fr", 0.5)])
 def test_held_out_by_language(spark, held_out, lang, least):
     """Floors well below what was measured (see the README), far above what a cut by share found."""
