@@ -17,6 +17,8 @@ from netweir.operators.enrich import enrich
 from netweir.plans import alert_queries as aq
 from netweir.plans import flow_queries as fq
 from netweir.plans import inventory_queries as iq
+from netweir.plans import metric_queries as mq
+from netweir.plans import metric_views as mv
 from netweir.plans import runbook_queries as rq
 from netweir.plans import views as v
 from netweir.plans.registry import SQL, query
@@ -27,6 +29,7 @@ from netweir.sources.flows import skip_undecoded, to_canonical
 from netweir.streaming import alerts as sa
 from netweir.streaming import executions as se
 from netweir.streaming import flows as sf_
+from netweir.streaming import metrics as sm
 from netweir.streaming import notices as sn
 
 
@@ -374,6 +377,25 @@ def stream_alert_intervals(spark, sf):
     return spark.read.parquet(out).where("alertname != ''")
 
 
+@query("stream_counter_rate", SQL["counter_rate"])
+def stream_counter_rate(spark, sf):
+    """Samples of one counter, some of them late, to rates at every grid point."""
+    samples = mv.samples(spark, sf, "ifHCInOctets").select("series_key", F.col("ts").cast("timestamp").alias("ts"), "value")
+    late_s = LATE_STEPS * mv.STEP
+    order = micros(F.col("ts")) + F.pmod(F.xxhash64("series_key", "ts"), F.lit(LATE_STEPS)) * mv.STEP * 1_000_000
+    samples = samples.withColumn("order", order)
+    end = _clock(samples, {"series_key": "", "value": 0.0}, "order", CLOCK_STEPS * mv.STEP * 1_000_000)
+    end = end.withColumn("ts", F.timestamp_micros("order"))
+    out, checkpoint = work_dir(spark, "rates"), work_dir(spark, "checkpoint")
+
+    def process(stream):
+        rates = sm.rate_stream(stream.drop("order"), mq.RANGE, mv.STEP, late_s)
+        sf_.run_available(rates.writeStream.format("parquet").option("path", out), checkpoint)
+
+    in_arrivals(spark, samples.unionByName(end), F.col("order"), 3, process)
+    return spark.read.parquet(out).where("series_key != ''")
+
+
 @query("stream_executions", sql("""
     WITH e AS (SELECT *, CASE WHEN phase = 'PendingApproval' THEN created_at
         ELSE created_at + to_seconds(duration_s) + INTERVAL 250 MILLISECOND END AS ts FROM v_exec)
