@@ -36,6 +36,15 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= max_bytes
 
 
+def measured(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A dimension for a join: broadcast if its rows measure small, else merged.
+
+    Spark's own guess comes from the compressed size of files and may send a table of millions of
+    rows through the driver.
+    """
+    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df.hint("merge")
+
+
 def lookup_left(
     facts: DataFrame,
     dim: DataFrame,
@@ -58,13 +67,13 @@ def lookup_left(
     hashed = [c for c, kind in facts.dtypes if "map<" not in kind]  # maps have no hash
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, keys + ["_salt"], "left").drop("_salt")
+    return salted.join(spread.hint("merge"), keys + ["_salt"], "left").drop("_salt")
 
 
 def keep_known(facts: DataFrame, dim: DataFrame, keys: list[str], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Fact rows whose keys the dimension has; broadcast only if it measures small."""
     known = dim.select(*keys).distinct()
-    return facts.join(F.broadcast(known) if fits_broadcast(known, max_bytes) else known, keys, "left_semi")
+    return facts.join(measured(known, max_bytes), keys, "left_semi")
 
 
 # How a prefix is keyed for a probe. MAPPED: an IPv4 prefix. TOP: an IPv6 prefix that

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweir.operators.joins import fits_broadcast
+from netweir.operators.joins import measured
 from netweir.functions.timing import duration_seconds, elapsed_seconds, micros
 from netweir.operators.ordered import with_neighbors
 
@@ -62,7 +62,7 @@ def validate_parameters(executions: DataFrame, definitions: DataFrame) -> DataFr
     """
     compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.coalesce("validation", F.lit("")))
     checked = definitions.withColumn("_usable", compiled.isNotNull())
-    joined = executions.join(F.broadcast(checked) if fits_broadcast(definitions) else checked, "runbook")
+    joined = executions.join(measured(checked), "runbook")
     given = F.try_element_at(F.col("parameters"), F.col("parameter"))
     value = F.coalesce(F.nullif(given, F.lit("")), F.nullif(F.col("default_value"), F.lit("")))
     rows = joined.withColumn("value", value)

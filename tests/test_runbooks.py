@@ -100,3 +100,15 @@ def test_a_bad_pattern_is_the_problem_of_its_parameter(spark):
     declared = spark.createDataFrame(rows, "runbook string, parameter string, type string, required boolean, default_value string, validation string, options array<string>")
     got = {r.parameter: r.problem for r in rb.validate_parameters(runs, declared).collect()}
     assert got == {"p": "bad pattern", "q": "", "s": "does not match"}
+
+
+def test_definitions_that_measure_large_are_not_broadcast(spark, monkeypatch):
+    """Spark's guess of a small relation does not overrule the measured size."""
+    monkeypatch.setattr("netweir.operators.joins.fits_broadcast", lambda df, max_bytes=0: False)
+    runs = spark.createDataFrame([("e", "r1", {"p": "x"})], "execution string, runbook string, parameters map<string,string>")
+    declared = spark.range(3).selectExpr(
+        "concat('r', id) AS runbook", "'p' AS parameter", "'string' AS type", "false AS required",
+        "'' AS default_value", "'' AS validation", "CAST(array() AS array<string>) AS options")
+    found = rb.validate_parameters(runs, declared)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("e", "r1", "p", "x", "")]
