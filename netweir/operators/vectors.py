@@ -107,33 +107,28 @@ def _panes_per_range(range_s: int, step_s: int) -> int:
     return range_s // step_s
 
 
-def _slide(panes: DataFrame, width: int, carried: list[str], keys: list[str], prepare=None):
-    """Spread panes over the grid points they reach; return the rows and the frame.
+def _reached(panes: DataFrame, width: int, keys: list[str], *more) -> DataFrame:
+    """Spread panes over the grid points ``e`` they reach, after one window over the panes.
 
-    Each pane row stays at its own grid point and, until the next pane of the series
-    begins, filler rows stand at the points where a window still reaches back to it.
-    So exactly the points with a non-empty window exist, each once.
+    A pane stands at its own grid point and, until the next pane of the series begins, at the
+    points where a window still reaches back to it. So exactly the points with a non-empty window
+    exist, each once, and nothing is sorted after the spreading. ``more`` makes columns of a pane
+    from the window of its series and chunk.
     """
     chunk = max(width, CHUNK_PANES)
     copies = overlapping_chunks(panes, "k", width - 1, chunk)
     along = Window.partitionBy(*keys, "_chunk").orderBy("k")
-    if prepare is not None:
-        copies = prepare(copies, along)
+    for make in more:
+        copies = copies.withColumns(make(along))
     start = F.col("_chunk") * chunk
-    following = F.lead("k").over(along) - 1
     low = F.greatest(F.col("k"), start)
-    high = F.least(F.col("k") + (width - 1), start + (chunk - 1), following)
-    points = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    points = F.when(F.col("k") < start, F.concat(F.array("k"), points)).otherwise(points)
-    spread = copies.withColumn("_points", points).withColumn("e", F.explode("_points")).drop("_points")
-    for name in carried:
-        spread = spread.withColumn(name, F.when(F.col("e") == F.col("k"), F.col(name)))
-    frame = Window.partitionBy(*keys, "_chunk").orderBy("e").rangeBetween(-(width - 1), 0)
-    return spread, frame, F.col("e") >= start
+    high = F.least(F.col("k") + (width - 1), start + (chunk - 1), F.col("_following"))
+    copies = copies.withColumns({"_following": F.lead("k").over(along) - 1}).withColumns({"_low": low, "_high": high})
+    return copies.where(F.col("_high") >= F.col("_low")).withColumn("e", F.explode(F.sequence("_low", "_high")))
 
 
-def _finish(rows: DataFrame, own: Column, value: Column, step_s: int, keys: list[str]) -> DataFrame:
-    return rows.where(own).select(*keys, grid_time(F.col("e"), step_s).alias("t"), value.alias("value"))
+def _finish(rows: DataFrame, value: Column, step_s: int, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, grid_time(F.col("e"), step_s).alias("t"), value.alias("value"))
 
 
 # ------------------------------------------------------------ range functions
@@ -142,18 +137,22 @@ def increase(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SE
     """Counter growth inside each range, resets corrected; ranges with one reading give none."""
     width = _panes_per_range(range_s, step_s)
 
-    def accumulate(copies: DataFrame, along) -> DataFrame:
-        link = F.coalesce(_counter_step(F.lag("last_value").over(along), F.col("first_value")), F.lit(0.0))
-        linked = copies.withColumn("_link", link)
-        return linked.withColumn(
-            "high", F.sum(F.col("_link") + F.col("inner_growth")).over(along)
-        ).withColumn("low", F.col("high") - F.col("inner_growth"))
+    def link(along) -> dict[str, Column]:
+        return {"_link": F.coalesce(_counter_step(F.lag("last_value").over(along), F.col("first_value")), F.lit(0.0))}
 
-    rows, frame, own = _slide(counter_panes(samples, step_s, keys), width, ["n", "high", "low"], keys, accumulate)
-    windowed = rows.withColumn("readings", F.sum("n").over(frame)).withColumn(
-        "growth", F.max("high").over(frame) - F.min("low").over(frame)
-    )
-    return _finish(windowed.where(F.col("readings") >= 2), own, F.col("growth"), step_s, keys)
+    def add_up(along) -> dict[str, Column]:
+        return {"high": F.sum(F.col("_link") + F.col("inner_growth")).over(along)}
+
+    def gather(along) -> dict[str, Column]:
+        pane = F.struct("k", "n", "high", (F.col("high") - F.col("inner_growth")).alias("low"))
+        return {"_panes": F.collect_list(pane).over(along.rangeBetween(-(width - 1), 0))}
+
+    points = _reached(counter_panes(samples, step_s, keys), width, keys, link, add_up, gather)
+    within = F.filter("_panes", lambda p: p["k"] > F.col("e") - width)
+    readings = F.aggregate("_w", F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    growth = F.array_max(F.transform("_w", lambda p: p["high"])) - F.array_min(F.transform("_w", lambda p: p["low"]))
+    windowed = points.select(*keys, "e", within.alias("_w")).where(readings >= 2)
+    return _finish(windowed, growth, step_s, keys)
 
 
 def rate(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SERIES) -> DataFrame:
@@ -163,17 +162,29 @@ def rate(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SERIES
 
 def avg_over_time(samples: DataFrame, range_s: int, step_s: int, keys: list[str] = SERIES) -> DataFrame:
     width = _panes_per_range(range_s, step_s)
-    rows, frame, own = _slide(gauge_panes(samples, step_s, keys=keys), width, ["n", "total"], keys)
-    windowed = rows.withColumn("mean", F.sum("total").over(frame) / F.sum("n").over(frame))
-    return _finish(windowed, own, F.col("mean"), step_s, keys)
+
+    def gather(along) -> dict[str, Column]:
+        return {"_panes": F.collect_list(F.struct("k", "n", "total")).over(along.rangeBetween(-(width - 1), 0))}
+
+    points = _reached(gauge_panes(samples, step_s, keys=keys), width, keys, gather)
+    within = F.filter("_panes", lambda p: p["k"] > F.col("e") - width)
+    total = F.aggregate(F.filter("_w", lambda p: p["total"].isNotNull()), F.lit(None).cast("double"), lambda s, p: F.coalesce(s + p["total"], p["total"]))
+    mean = total / F.aggregate("_w", F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    return _finish(points.select(*keys, "e", within.alias("_w")), mean, step_s, keys)
 
 
 def on_grid(samples: DataFrame, step_s: int, lookback_s: int = 300, keys: list[str] = SERIES) -> DataFrame:
     """Newest reading not older than the lookback, at every grid point."""
     width = _panes_per_range(lookback_s, step_s)
-    rows, frame, own = _slide(gauge_panes(samples, step_s, True, keys), width, ["last_value"], keys)
-    windowed = rows.withColumn("newest", F.last("last_value", ignorenulls=True).over(frame))
-    return _finish(windowed, own, F.col("newest"), step_s, keys)
+
+    def newest(along) -> dict[str, Column]:
+        seen = F.when(F.col("last_value").isNotNull(), F.struct("k", "last_value"))
+        return {"_newest": F.last(seen, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))}
+
+    points = _reached(gauge_panes(samples, step_s, True, keys), width, keys, newest)
+    # A pane may hold nothing but NULLs; an older reading counts while the window reaches it.
+    value = F.when(F.col("_newest.k") > F.col("e") - width, F.col("_newest.last_value"))
+    return _finish(points, value, step_s, keys)
 
 
 def instant(samples: DataFrame, at: str, lookback_s: int = 300) -> DataFrame:

@@ -35,6 +35,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Rows of series and flows take many times their compressed shuffle bytes in a task's memory, so
+# shuffles are cut finely; adaptive execution puts small pieces together again.
+FINE_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "512",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
+
+
+def fine_partitions(spark: SparkSession) -> SparkSession:
+    """Let the memory of a task follow the size of a shuffle piece, not that of the input."""
+    for key, value in FINE_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions.labels import series_key
 from netweir.operators import vectors as m
+from netweir.session import fine_partitions
 
 EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 STEP, RANGE = 60, 300
@@ -158,3 +159,16 @@ def test_federated_labels_override(spark):
     df = df.withColumn("series_key", series_key(F.col("labels")))
     got = m.federate({"s": df}, {"s": {"dc": "one"}}).first()
     assert got.series_key == '{"dc":"one","i":"1"}'
+
+
+@pytest.mark.parametrize("make", [lambda s: m.increase(s, 240, 60), lambda s: m.avg_over_time(s, 240, 60), lambda s: m.on_grid(s, 60, 240)])
+def test_nothing_is_sorted_after_spreading(spark, make):
+    """Grid points follow from panes: no window over the points, which are many times the panes."""
+    given = spark.createDataFrame([("s", dt.datetime(2024, 1, 1), 1.0)], "series_key string, ts timestamp, value double")
+    plan = make(given)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Window" not in plan[: plan.index("Generate")]
+
+
+def test_shuffles_of_the_queries_are_cut_finely(spark):
+    fine_partitions(spark)
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 512
