@@ -171,15 +171,15 @@ def gauge_alerts(spark, sf, names):
     """The conditions of all gauge rules from one pass over the readings."""
     metrics = sorted({GAUGES[n][0] for n in names})
     grid = m.on_grid(mv.samples(spark, sf, *metrics), STEP, DAY, ["metric", "series_key"])
-    found = []
+    found = {metric: [] for metric in metrics}
     for name in names:
         metric, matcher, value, condition = GAUGES[name]
         rule, x = RULES[name], value(F.col("value"))
-        holds = (F.col("metric") == metric) & condition(x) & (matcher() if matcher else F.lit(True))
         row = [F.lit(name).alias("alertname"), F.lit(rule.severity).alias("severity"), x.alias("value"), F.lit(al.need_of(rule, STEP)).alias("need")]
-        found.append(F.when(holds, F.struct(*row)))
-    hits = F.filter(F.array(*found), lambda r: r.isNotNull())
-    return grid.select("series_key", "t", F.explode(hits).alias("r")).select(
+        found[metric].append(F.when(condition(x) & (matcher() if matcher else F.lit(True)), F.struct(*row)))
+    # A reading is held against the rules of its own metric only.
+    hits = F.coalesce(*[F.when(F.col("metric") == metric, F.array(*rules)) for metric, rules in found.items()])
+    return grid.select("series_key", "t", F.explode(hits).alias("r")).where(F.col("r").isNotNull()).select(
         "r.alertname", "r.severity", "series_key", "t", "r.value", "r.need"
     )
 
