@@ -14,13 +14,16 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MICRO = 1_000_000
 
-TIMERS = "start_us BIGINT, last_k BIGINT, notified_us BIGINT, again_us BIGINT, waiting ARRAY<BIGINT>"
-AHEAD = "changed INT, repeat_s BIGINT"
-#: The state store that keyed state machines need.
+#: A group's session and, as three arrays, the steps that the watermark has not passed yet.
+STATE = (
+    "start_us BIGINT, last_k BIGINT, notified_us BIGINT, again_us BIGINT, waiting ARRAY<BIGINT>,"
+    " ahead_k ARRAY<BIGINT>, ahead_changed ARRAY<BIGINT>, ahead_repeat_s ARRAY<BIGINT>"
+)
+#: A state store that holds more groups than the memory of an executor.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -72,70 +75,65 @@ class Session:
         return (self.look_us() if self.notified_us >= 0 else (self.last_k + 1) * self.width) + self.width
 
 
-class Notices(StatefulProcessor):
-    """Rows in: ``by``, k, changed, repeat_s; rows out: ``by``, notify_us, reason."""
+class Notices:
+    """Rows in: ``by``, k, changed, repeat_s; rows out: ``by``, notify_us, reason.
+
+    The state of a group is read and written once a batch, and it has one timer: the first moment
+    at which the watermark brings a step or the end of the session.
+    """
 
     def __init__(self, by: list[str], step_s: int, wait_s: int, interval_s: int):
         self.by, self.width, self.wait, self.every = by, step_s * MICRO, wait_s * MICRO, interval_s * MICRO
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.timers = handle.getValueState("timers", TIMERS)
-        self.ahead = handle.getMapState("ahead", "k BIGINT", AHEAD)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for k, part in batch.groupby("k"):
-                changed, repeat_s = int(part["changed"].max()), int(part["repeat_s"].min())
-                held = self.ahead.getValue((int(k),))
-                if held is not None:
-                    changed, repeat_s = max(changed, held[0]), min(repeat_s, held[1])
-                else:
-                    self.handle.registerTimer(self._millis((int(k) + 1) * self.width))
-                self.ahead.updateValue((int(k),), (changed, repeat_s))
-        return iter(())
-
-    def _millis(self, us: int) -> int:
-        return -(-us // 1000)
-
-    def _session(self) -> Session:
-        held = self.timers.get() if self.timers.exists() else None
-        rest = () if held is None else (*held[:4], list(held[4]))
-        return Session(self.width, self.wait, self.every, *rest)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The watermark may be past more than this timer.
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        session, sent = self._session(), []
-        ripe = sorted((k[0], v[0], v[1]) for k, v in self.ahead.iterator() if (k[0] + 1) * self.width <= now)
-        for k, changed, repeat_s in ripe:
+    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, ahead = Session(self.width, self.wait, self.every), {}
+        if state.exists:
+            start, last_k, notified, again, waiting, *steps = state.get
+            session = Session(self.width, self.wait, self.every, start, last_k, notified, again, list(waiting))
+            ahead = {k: (changed, repeat_s) for k, changed, repeat_s in zip(*steps)}
+        for batch in batches:
+            for k, changed, repeat_s in zip(batch["k"].tolist(), batch["changed"].tolist(), batch["repeat_s"].tolist()):
+                k, changed, repeat_s = int(k), int(changed), int(repeat_s)
+                before = ahead.get(k, (changed, repeat_s))
+                ahead[k] = max(changed, before[0]), min(repeat_s, before[1])
+        watermark, sent = state.getCurrentWatermarkMs(), []
+        for k in sorted(k for k in ahead if (k + 1) * self.width <= watermark * 1000):
+            changed, repeat_s = ahead.pop(k)
             sent += session.step(k, bool(changed), repeat_s)
-            self.ahead.removeKey((k,))
-        if session.last_k is not None:
-            if session.over_us() <= now:
-                sent += session.ended()
-                self.timers.clear()
-            elif ripe:
-                self.timers.update((session.start_us, session.last_k, session.notified_us, session.again_us, session.waiting))
-                self.handle.registerTimer(self._millis(session.over_us()))
+        if session.last_k is not None and session.over_us() <= watermark * 1000:
+            sent += session.ended()
+            session = Session(self.width, self.wait, self.every)
+        due = [(min(ahead) + 1) * self.width] if ahead else []
+        due += [session.over_us()] if session.last_k is not None else []
+        if due:
+            ks = sorted(ahead)
+            state.update((
+                session.start_us, session.last_k, session.notified_us, session.again_us, session.waiting,
+                ks, [ahead[k][0] for k in ks], [ahead[k][1] for k in ks],
+            ))
+            # A timer runs once the watermark is past it; it has to lie ahead of the watermark.
+            state.setTimeoutTimestamp(max(-(-min(due) // 1000) - 1, watermark + 1))
+        elif state.exists:
+            state.remove()
         if sent:
             yield pd.DataFrame(
                 {**{c: [v] * len(sent) for c, v in zip(self.by, key)}, "notify_us": [at for at, _ in sent], "reason": [why for _, why in sent]}
             )
 
-    def close(self) -> None:
-        pass
-
 
 def notice_stream(steps: DataFrame, by: list[str], step_s: int, wait_s: int, interval_s: int, late_s: int = 0) -> DataFrame:
     """Notifications of each group: new, repeated and, at its end, resolved.
 
     ``steps`` is a stream of firing alerts or groups of them (``by``, k, changed, repeat_s), in
     any order up to ``late_s``. Time is that of the whole stream: a step of any group, or a clock
-    row with other values in ``by``, lets the timers of all groups run. The session needs the
-    RocksDB state store (``ROCKSDB``).
+    row with other values in ``by``, lets the timers of all groups run.
     """
     clocked = steps.withColumn("t", F.timestamp_micros(F.col("k") * step_s * MICRO)).withWatermark("t", f"{late_s} seconds")
     output = ", ".join([*(f"{c} STRING" for c in by), "notify_us BIGINT", "reason STRING"])
-    sent = clocked.groupBy(*by).transformWithStateInPandas(Notices(by, step_s, wait_s, interval_s), output, "append", "eventTime")
+    notices = Notices(by, step_s, wait_s, interval_s)
+
+    def advance(key, batches, state):  # a plain function: Spark looks at its signature
+        return notices(key, batches, state)
+
+    sent = clocked.groupBy(*by).applyInPandasWithState(advance, output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return sent.select(*by, F.timestamp_micros("notify_us").cast("timestamp_ntz").alias("notify_at"), "reason")

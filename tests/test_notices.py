@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,24 @@ def test_intervals_do_not_depend_on_batches(spark, batches):
     active = given.where("alertname != ''").select("alertname", "severity", "need", "series_key", "t", F.lit(1.0).alias("value"))
     want = al.intervals(active, STEP)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 20
+
+
+def test_a_group_has_its_state_once_a_batch():
+    """However many steps come for a group: one state, one timer."""
+
+    class State:
+        exists, updates, timers = False, [], []
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, row):
+            self.updates.append(row)
+
+        def setTimeoutTimestamp(self, ms):
+            self.timers.append(ms)
+
+    state, rows = State(), pd.DataFrame({"k": [12, 10, 11, 10], "changed": [0, 0, 0, 1], "repeat_s": [900, 900, 900, 300]})
+    assert list(sn.Notices(["g"], STEP, WAIT, EVERY)(("a",), iter([rows]), state)) == []
+    assert len(state.updates) == 1 and state.updates[0][5:] == ([10, 11, 12], [1, 0, 0], [300, 900, 900])
+    assert state.timers == [11 * STEP * 1000 - 1]
