@@ -1,10 +1,13 @@
 """Range tables against the plain rule: the longest prefix that covers an address."""
 
+from dataclasses import replace
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from netweir.plans import flow_queries as fq
+from netweir.plans import stream_queries as sq
 from netweir.operators.ranges import MAPPED, RangeTable, sweep
 
 SCHEMA = "prefix binary, plen int, country string, city string"
@@ -86,3 +89,12 @@ def test_empty_table(spark):
     table = RangeTable.of({"geo": (spark.createDataFrame([], SCHEMA), ["country", "city"])})
     facts = spark.createDataFrame([(1, MAPPED + bytes(4)), (2, None)], "id int, ip binary")
     assert [r.hit.geo for r in table.lookup(facts, "ip", "hit").collect()] == [None, None]
+
+
+def test_a_stream_looks_up_a_table_beyond_the_packed_size(spark, sf_dir, monkeypatch):
+    """Each batch of the stream is merged with the ranges; the rows are those of the batch query."""
+    whole = fq.wide_table
+    want = fq.enrich_wide_table(spark, sf_dir).collect()
+    monkeypatch.setattr(fq, "wide_table", lambda s, d: replace(whole(s, d), packed=None))
+    got = sq.stream_enrich_wide_table(spark, sf_dir).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 100
