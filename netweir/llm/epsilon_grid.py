@@ -2,9 +2,14 @@
 
 Vectors of length one are projected on their leading principal axes and sorted by grid cells of
 side epsilon, where epsilon is the distance at which the cosine falls to the limit. The sequence
-is cut into intervals. Two intervals whose boxes are farther apart than epsilon never meet; two
-that may meet are joined by halving them again and again, skipping distant halves, down to
-blocks that one matrix product compares. Exact copies are one point with a weight.
+is cut into intervals. Two intervals whose boxes are farther apart than epsilon never meet; of two
+that may meet, blocks are compared whose boxes are near. The length of what the axes leave of a
+vector is one more axis, and in these axes alone no two vectors are farther apart than in all:
+a product of the short vectors leaves few pairs, whose cosine is then taken in double precision.
+
+Intervals that meet are read by the task that compares them (a Cartesian product), so nothing is
+shuffled or written per pair and disk grows with the vectors. Exact copies are one point with a
+weight.
 """
 
 from __future__ import annotations
@@ -14,53 +19,80 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from netweir.llm.common import components, partitions, stored
+from netweir.llm.common import components, partitions, small_batches, stored
+from netweir.session import work_dir
 
-AXES = 8
-INTERVAL = 4096  # vectors in an interval of the sequence: what one side of a task holds
+AXES = 32  # of the short vectors and boxes
+CELLS = 8  # leading axes that order the sequence
+INTERVAL = 4096  # vectors in an interval of the sequence: what one side of a comparison holds
 BLOCK = 256
-SLACK = 1e-9  # on distances of boxes, so that rounding skips nothing
-
-
-def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
-    """Vectors of length one in double precision; None for those that link with nothing."""
+ROW_GROUP = 16 << 20  # bytes of intervals that a reader holds at once
+SLACK = 1e-7  # on distances of boxes, so that rounding skips nothing
+
+
+def unit_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By dimension, of the vectors that can link: their rows in ``column``, their numbers as
+    given, and their vectors of length one in double precision."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    values = flat.to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    missing = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
     out = []
-    for x in column.to_pylist():
-        v = None
-        if x and None not in x:
-            v = np.array(x, np.float64)
-            scale = np.abs(v).max()
-            if not np.isfinite(scale) or scale == 0:
-                v = None
-            else:
-                v = v / scale
-                v = v / np.sqrt(v @ v)
-        out.append(v)
+    for dim in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == dim)
+        places = starts[at][:, None] + np.arange(dim)
+        given = values[places]
+        v = given.astype(np.float64)
+        scale = np.abs(v).max(axis=1)
+        fine = np.isfinite(scale) & (scale > 0)
+        if missing is not None:
+            fine &= ~missing[places].any(axis=1)
+        v = v[fine] / scale[fine][:, None]
+        out.append((at[fine], given[fine], v / np.sqrt((v * v).sum(axis=1))[:, None]))
     return out
 
 
-def _points(rows: DataFrame) -> DataFrame:
-    """vec_id, dim, key (names the vector), unit (doubles) of the vectors that can link."""
-
-    def run(batches):
-        for batch in batches:
-            ids, kept = batch.column("vec_id").to_pylist(), ([], [], [], [])
-            for i, v in zip(ids, unit_rows(batch.column("embedding"))):
-                if v is not None and i is not None:
-                    data = v.astype("<f8").tobytes()
-                    for c, x in zip(kept, (i, len(v), hashlib.blake2b(data, digest_size=16).digest(), data)):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(kept, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["vec_id", "dim", "key", "unit"]
-            )
+def _units(raws: list[bytes], dim: int, kind: str) -> np.ndarray:
+    """Vectors of length one from their numbers as given."""
+    given = np.frombuffer(b"".join(raws), kind).reshape(-1, dim)
+    v = given.astype(np.float64)
+    v = v / np.abs(v).max(axis=1)[:, None]
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
-    return rows.mapInArrow(run, "vec_id long, dim int, key binary, unit binary")
 
+def _points(rows: DataFrame, kind: str, with_raw: bool) -> DataFrame:
+    """vec_id, dim, key (names the vector) of every row, the last two null where it links with
+    nothing; ``with_raw`` adds its numbers as given, of the others only."""
+    schema = "vec_id long, dim int, key binary" + (", raw binary" if with_raw else "")
 
-def principal_axes(points: DataFrame) -> dict[int, np.ndarray]:
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("vec_id")
+            present = ids.is_valid().to_numpy(zero_copy_only=False)
+            dims, keys, raws = ([None] * batch.num_rows for _ in range(3))
+            for at, given, unit in unit_vectors(batch.column("embedding")):
+                given = np.ascontiguousarray(given, kind)
+                for i, row, u in zip(at.tolist(), given, unit):
+                    if present[i]:
+                        dims[i], keys[i] = len(u), hashlib.blake2b(u.astype("<f8").tobytes(), digest_size=16).digest()
+                        if with_raw:
+                            raws[i] = row.tobytes()
+            columns = [ids, pa.array(dims, pa.int32()), pa.array(keys, pa.binary())]
+            if with_raw:
+                columns.append(pa.array(raws, pa.binary()))
+            made = pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "key", "raw"][: len(columns)])
+            yield made.filter(made.column("dim").is_valid()) if with_raw else made
+
+    return rows.mapInArrow(run, schema)
+
+
+def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
     """By dimension of the vectors: the leading axes of all of them (AXES columns at most).
 
     Sums of products are added up per task, then in at most 64 groups for each dimension.
@@ -69,10 +101,9 @@ def principal_axes(points: DataFrame) -> dict[int, np.ndarray]:
     def partial(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                x = _matrix([u for u, d in zip(batch.column("unit").to_pylist(), dims) if d == dim], int(dim))
-                sums[int(dim)] = sums.get(int(dim), 0) + x.T @ x
+            for _, _, x in unit_vectors(batch.column("embedding")):
+                if len(x):
+                    sums[x.shape[1]] = sums.get(x.shape[1], 0) + x.T @ x
         from pyspark import TaskContext
 
         slot = TaskContext.get().partitionId() % 64
@@ -85,24 +116,21 @@ def principal_axes(points: DataFrame) -> dict[int, np.ndarray]:
         total = sum(np.frombuffer(s, "<f8") for s in pdf["sums"])
         return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "sums": [total.tobytes()]})
 
-    parts = points.select("dim", "unit").mapInArrow(partial, "dim int, slot int, sums binary").groupBy("dim", "slot").applyInPandas(add, "dim int, sums binary")
+    parts = rows.select("embedding").mapInArrow(partial, "dim int, slot int, sums binary").groupBy("dim", "slot").applyInPandas(add, "dim int, sums binary")
     total: dict[int, np.ndarray] = {}
     for r in parts.collect():
         total[r["dim"]] = total.get(r["dim"], 0) + np.frombuffer(r["sums"], "<f8").reshape(r["dim"], r["dim"])
     return {dim: np.linalg.eigh(m)[1][:, ::-1][:, :AXES].copy() for dim, m in total.items()}
 
 
-def _matrix(units: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(units), "<f8").reshape(-1, dim)
-
-
-def _apart(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
-    gap = np.maximum(np.maximum(lo_b - hi_a, lo_a - hi_b), 0)
-    return float(gap @ gap) > eps * eps + SLACK
+def _short(units: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Places on the axes, and the length of the rest of each vector."""
+    at = units @ axes
+    return np.column_stack([at, np.sqrt(np.maximum(1 - (at * at).sum(axis=1), 0))])
 
 
 class _Links:
-    """Links found in one task: their number per vector and which vectors they join."""
+    """Links found in one comparison: their number per vector and which vectors they join."""
 
     def __init__(self, n: int):
         self.count, self.root = np.zeros(n, np.int64), np.arange(n)
@@ -113,57 +141,107 @@ class _Links:
             i = self.root[i]
         return int(i)
 
-    def add(self, a: int, b: int, near: np.ndarray, weights: np.ndarray, same: bool) -> None:
-        """near: which of the rows from a on link with which of the rows from b on."""
-        rows, columns = near.shape
-        self.count[a : a + rows] += near @ weights[b : b + columns]
-        if not same:
-            self.count[b : b + columns] += weights[a : a + rows] @ near
-        i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        if not len(i):
-            return
-        near = near[np.ix_(i, j)]
+    def add(self, i: np.ndarray, j: np.ndarray, near: np.ndarray, weights: np.ndarray) -> None:
+        """near: which of the vectors i link with which of the vectors j, each pair once."""
+        self.count[i] += near @ weights[j]
+        self.count[j] += weights[i] @ near
+        rows, columns = near.any(axis=1), near.any(axis=0)
+        i, j, near = i[rows], j[columns], near[np.ix_(rows, columns)]
         # The least row reachable within this block, then one join for each row and column.
-        left, big = i.copy(), rows
+        left, big = np.arange(len(i)), len(i)
         while True:
             right = np.where(near, left[:, None], big).min(axis=0)
             new = np.where(near, right[None, :], big).min(axis=1)
             if (new == left).all():
                 break
             left = new
-        for k, target in [*zip((i + a).tolist(), (left + a).tolist()), *zip((j + b).tolist(), (right + a).tolist())]:
+        for k, target in [*zip(i.tolist(), i[left].tolist()), *zip(j.tolist(), i[right].tolist())]:
             x, y = self.find(k), self.find(target)
             if x != y:
                 self.root[max(x, y)] = min(x, y)
 
 
-def _join(x, p, a0, a1, b0, b1, limit, eps, weights, links) -> None:
-    """Join rows [a0, a1) with rows [b0, b1) of the same sequence, b after a or equal to it."""
-    work = [(a0, a1, b0, b1)]
-    while work:
-        a0, a1, b0, b1 = work.pop()
-        if a0 >= a1 or b0 >= b1:
+class _Side:
+    """An interval as it is compared: units, short vectors and the boxes of its blocks."""
+
+    def __init__(self, row: dict, axes: dict[int, np.ndarray], kind: str):
+        self.ids, self.weights = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["weights"], "<i8")
+        self.units = _units([row["raws"]], row["dim"], kind)
+        short = _short(self.units, axes[row["dim"]])
+        self.short, firsts = short.astype(np.float32), np.arange(0, len(short), BLOCK)
+        self.lo, self.hi = np.minimum.reduceat(short, firsts), np.maximum.reduceat(short, firsts)
+
+
+def _join(a: _Side, b: _Side | None, limit: float, eps: float) -> tuple[np.ndarray, _Links]:
+    """Links between the vectors of two intervals, or within ``a``."""
+    other, shift = (a, 0) if b is None else (b, len(a.ids))
+    ids, weights = (a.ids, a.weights) if b is None else (np.concatenate([a.ids, b.ids]), np.concatenate([a.weights, b.weights]))
+    links = _Links(len(ids))
+    # Above the error of the product of short vectors in single precision.
+    least = np.float32(limit - 1e-5 - 2.4e-7 * a.short.shape[1])
+    for k in range(len(a.lo)):
+        gap = np.maximum(np.maximum(other.lo - a.hi[k], a.lo[k] - other.hi), 0)
+        meets = (gap * gap).sum(axis=1) <= eps * eps + SLACK
+        if b is None:
+            meets[:k] = False
+        if not meets.any():
             continue
-        pa_, pb = p[a0:a1], p[b0:b1]
-        same = (a0, a1) == (b0, b1)
-        if not same and _apart(pa_.min(0), pa_.max(0), pb.min(0), pb.max(0), eps):
+        i, j = np.arange(k * BLOCK, min((k + 1) * BLOCK, len(a.ids))), None
+        if not meets.all():
+            j = np.flatnonzero(np.repeat(meets, BLOCK)[: len(other.ids)])
+        product = a.short[i[0] : i[-1] + 1] @ (other.short if j is None else other.short[j]).T
+        maybe = product >= least
+        columns = np.flatnonzero(maybe.any(axis=0))
+        if b is None:
+            columns = columns[(columns if j is None else j[columns]) > i[0]]
+        if not len(columns):
             continue
-        if max(a1 - a0, b1 - b0) <= BLOCK:
-            near = x[a0:a1] @ x[b0:b1].T >= limit
-            if same:
-                np.fill_diagonal(near, False)
-            if near.any():
-                links.add(a0, b0, near, weights, same)
+        i, j = i[maybe[:, columns].any(axis=1)], columns if j is None else j[columns]
+        if not len(i):
             continue
-        if same:
-            m = (a0 + a1) // 2
-            work += [(a0, m, a0, m), (a0, m, m, a1), (m, a1, m, a1)]
-        elif a1 - a0 >= b1 - b0:
-            m = (a0 + a1) // 2
-            work += [(a0, m, b0, b1), (m, a1, b0, b1)]
-        else:
-            m = (b0 + b1) // 2
-            work += [(a0, a1, b0, m), (a0, a1, m, b1)]
+        near = a.units[i] @ other.units[j].T >= limit
+        if b is None:
+            near &= i[:, None] < j[None, :]
+        if near.any():
+            links.add(i, j + shift, near, weights)
+    return ids, links
+
+
+def _compared(axes: dict[int, np.ndarray], kind: str, limit: float, eps: float):
+    """From rows of two intervals (or one twice) to id, n, root of the vectors with a link."""
+
+    def run(batches):
+        last: tuple = (None, None)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right = ({c: batch.column(f"{s}_{c}")[row].as_py() for c in ("interval", "dim")} for s in ("a", "b"))
+                if last[0] != left["interval"]:
+                    last = left["interval"], _Side(left | {c: batch.column(f"a_{c}")[row].as_py() for c in ("ids", "weights", "raws")}, axes, kind)
+                second = None
+                if right["interval"] != left["interval"]:
+                    second = _Side(right | {c: batch.column(f"b_{c}")[row].as_py() for c in ("ids", "weights", "raws")}, axes, kind)
+                ids, links = _join(last[1], second, limit, eps)
+                hit = np.flatnonzero(links.count)
+                if len(hit):
+                    columns = (ids[hit], links.count[hit], np.array([ids[links.find(i)] for i in hit]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "root"])
+
+    return run
+
+
+def interval_pairs(intervals: DataFrame, eps: float) -> DataFrame:
+    """Every two intervals whose boxes may meet, once, each also with itself, side by side.
+
+    A Cartesian product: its tasks read their intervals from the stored table. Which of two
+    intervals comes first changes from pair to pair, so that all tasks have as much to do.
+    """
+    a, b = (intervals.select(*[F.col(c).alias(f"{s}_{c}") for c in intervals.columns]) for s in ("a", "b"))
+    gap = F.expr("aggregate(zip_with(arrays_zip(a_lo, a_hi), arrays_zip(b_lo, b_hi), (a, b) -> greatest(b.b_lo - a.a_hi, a.a_lo - b.b_hi, 0.0D)), 0.0D, (s, g) -> s + g * g)")
+    even = F.xxhash64("a_interval").bitwiseXOR(F.xxhash64("b_interval")) % 2 == 0
+    once = F.when(F.col("a_interval") == F.col("b_interval"), True).otherwise((F.col("a_interval") < F.col("b_interval")) == even)
+    # Written as an order, because a shuffle on the dimension would bring all to one task.
+    same_dim = (F.col("a_dim") <= F.col("b_dim")) & (F.col("a_dim") >= F.col("b_dim"))
+    return a.join(b.hint("shuffle_replicate_nl"), same_dim & once & (gap <= eps * eps + SLACK))
 
 
 def near_vectors(rows: DataFrame, limit: float = 0.95) -> DataFrame:
@@ -176,95 +254,79 @@ def near_vectors(rows: DataFrame, limit: float = 0.95) -> DataFrame:
     different dimension never link. Copies are links like any; a repeated row is one more vector
     under the same id, and the id gets the links of all its rows' vector. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    points = stored(_points(rows), "points")
-    axes = principal_axes(points)
+    spark = small_batches(rows.sparkSession)
+    single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
+    kind = "<f4" if single else "<f8"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    points = stored(_points(rows, kind, False), "points")
+    axes = principal_axes(rows)
     eps = float(np.sqrt(2 - 2 * limit))
-    classes = points.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    classes = stored(classes, "classes")
-    reps = points.join(classes.select("dim", "key", F.col("rep").alias("vec_id"), "weight"), ["dim", "key", "vec_id"]).dropDuplicates(["dim", "key"])
+    # The vector of a class moves with it once; of copies a task passes on one.
+    reps = _points(rows, kind, True).groupBy("dim", "key").agg(F.min(F.struct("vec_id", "raw")).alias("least"), F.count("*").alias("weight"))
 
     def project(batches):
         for batch in batches:
-            dims = batch.column("dim").to_pylist()
-            at = [np.frombuffer(u, "<f8") @ axes[d] for u, d in zip(batch.column("unit").to_pylist(), dims)]
-            cells = pa.array([np.floor(a / eps).astype(np.int32).tolist() for a in at], pa.list_(pa.int32()))
+            dims, raws = batch.column("dim").to_numpy(), batch.column("raw").to_pylist()
+            cells = np.empty(len(dims), object)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                found = np.floor(_units([raws[i] for i in at], int(dim), kind) @ axes[int(dim)][:, :CELLS] / eps).astype(np.int32)
+                for i, c in zip(at.tolist(), found):
+                    cells[i] = c
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("vec_id", "dim", "weight", "unit")), cells, pa.array([a.tolist() for a in at], pa.list_(pa.float64()))],
-                ["id", "dim", "weight", "unit", "cells", "at"],
+                [*(batch.column(c) for c in ("id", "dim", "weight", "raw")), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["id", "dim", "weight", "raw", "cells"]
             )
 
-    placed = reps.select("vec_id", "dim", "weight", "unit").mapInArrow(project, "id long, dim int, weight long, unit binary, cells array<int>, at array<double>")
-    ordered = stored(placed, "grid").repartitionByRange(max(2, partitions(spark)), "dim", "cells", "id").sortWithinPartitions("dim", "cells", "id")
-    intervals = stored(ordered.mapInArrow(_intervals, INTERVALS), "intervals")
-    box = intervals.select("interval", "dim", "lo", "hi")
-    steps = F.expr(f"sequence(CAST(floor(lo[0] / {eps}) AS INT), CAST(floor(hi[0] / {eps}) AS INT))")
-    left = box.withColumn("cell", F.explode(steps))
-    reach = F.expr(f"sequence(CAST(floor(lo[0] / {eps}) AS INT) - 1, CAST(floor(hi[0] / {eps}) AS INT) + 1)")
-    right = box.select(F.col("interval").alias("other"), "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(reach).alias("cell"))
-    gap = F.expr("aggregate(zip_with(arrays_zip(lo, hi), arrays_zip(lo2, hi2), (a, b) -> greatest(b.lo2 - a.hi, a.lo - b.hi2, 0.0D)), 0.0D, (s, g) -> s + g * g)")
-    pairs = left.join(right, ["dim", "cell"]).filter((F.col("interval") <= F.col("other")) & (gap <= eps * eps + SLACK)).select("interval", "other").distinct()
-    pairs = stored(pairs, "interval_pairs")
-    sides = pairs.select("interval", "other", F.col("interval").alias("side")).unionAll(
-        pairs.filter("interval <> other").select("interval", "other", F.col("other").alias("side"))
+    placed = reps.select(F.col("least.vec_id").alias("id"), "dim", "weight", F.col("least.raw").alias("raw")).mapInArrow(
+        project, "id long, dim int, weight long, raw binary, cells array<int>"
     )
-    met = sides.join(intervals.select(F.col("interval").alias("side"), "dim", "ids", "weights", "units", "places"), "side")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("side")
-        dim = int(pdf["dim"].iloc[0])
-        ids = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["ids"]])
-        weights = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["weights"]])
-        x = np.concatenate([np.frombuffer(b, "<f8").reshape(-1, dim) for b in pdf["units"]])
-        p = np.concatenate([np.frombuffer(b, "<f8").reshape(-1, min(AXES, dim)) for b in pdf["places"]])
-        links = _Links(len(ids))
-        n = len(pdf["ids"].iloc[0]) // 8
-        if len(pdf) == 1:
-            _join(x, p, 0, n, 0, n, limit, eps, weights, links)
-        else:
-            _join(x, p, 0, n, n, len(ids), limit, eps, weights, links)
-        hit = np.flatnonzero(links.count)
-        return pd.DataFrame({"id": ids[hit], "n": links.count[hit], "root": [ids[links.find(i)] for i in hit]}, columns=["id", "n", "root"]).astype("int64")
-
-    found = stored(met.groupBy("interval", "other").applyInPandas(meet, "id long, n long, root long"), "found")
+    ordered = placed.repartitionByRange(max(2, partitions(spark)), "dim", "cells", "id").sortWithinPartitions("dim", "cells", "id")
+    path = work_dir(spark, "intervals")
+    ordered.mapInArrow(_intervals(axes, kind), INTERVALS).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    intervals = spark.read.schema(INTERVALS).parquet(path)
+    pairs = interval_pairs(intervals, eps).drop("a_lo", "a_hi", "b_lo", "b_hi")
+    found = stored(pairs.mapInArrow(_compared(axes, kind, limit, eps), "id long, n long, root long"), "found")
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    known = classes.select("dim", "key", "rep", "weight").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(
-        comps.withColumnRenamed("id", "rep"), "rep", "left"
-    )
+    linking = points.filter("dim IS NOT NULL")
+    classes = linking.groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    known = classes.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("dim", "key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    by_id = points.select("vec_id", "dim", "key").join(known, ["dim", "key"]).groupBy("vec_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    out = rows.select("vec_id").join(by_id, "vec_id", "left")
+    by_id = linking.join(known, ["dim", "key"]).groupBy("vec_id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    out = points.select("vec_id").join(by_id, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")
     )
 
 
-INTERVALS = "interval long, dim int, lo array<double>, hi array<double>, ids binary, weights binary, units binary, places binary"
+INTERVALS = "interval long, dim int, lo array<double>, hi array<double>, ids binary, weights binary, raws binary"
 
 
-def _intervals(batches):
+def _intervals(axes: dict[int, np.ndarray], kind: str):
     """Runs of at most INTERVAL vectors of the sorted sequence, as one row with their box."""
-    from pyspark import TaskContext
-
-    part, made = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
-
-    def close():
-        nonlocal made, held
-        ids, dims, weights, units, at = zip(*held)
-        p = np.array(at, np.float64)
-        row = [(part << 32) + made, dims[0], p.min(0).tolist(), p.max(0).tolist(), np.array(ids, "<i8").tobytes(), np.array(weights, "<i8").tobytes(), b"".join(units), p.astype("<f8").tobytes()]
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        made, held = made + 1, []
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["interval", "dim", "lo", "hi", "ids", "weights", "units", "places"])
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("id", "dim", "weight", "unit", "at"))):
-            if held and (len(held) == INTERVAL or held[-1][1] != row[1]):
-                yield close()
-            held.append(row)
-    if held:
-        yield close()
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+
+        def close():
+            nonlocal made, held
+            ids, dims, weights, raws = zip(*held)
+            p = _short(_units(raws, dims[0], kind), axes[dims[0]])
+            row = [(part << 32) + made, dims[0], p.min(0).tolist(), p.max(0).tolist(), np.array(ids, "<i8").tobytes(), np.array(weights, "<i8").tobytes(), b"".join(raws)]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
+            made, held = made + 1, []
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["interval", "dim", "lo", "hi", "ids", "weights", "raws"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "dim", "weight", "raw"))):
+                if held and (len(held) == INTERVAL or held[-1][1] != row[1]):
+                    yield close()
+                held.append(row)
+        if held:
+            yield close()
+
+    return run

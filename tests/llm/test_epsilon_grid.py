@@ -42,6 +42,36 @@ def test_same_as_all_pairs(spark, monkeypatch, interval):
     assert got == brute(rows, 0.95)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_same_as_all_pairs_in_more_dimensions_than_axes(spark, monkeypatch, kind):
+    """Cosines around the limit, over many intervals and blocks."""
+    monkeypatch.setattr(eg, "INTERVAL", 32)
+    monkeypatch.setattr(eg, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(120, 48))
+    v = np.concatenate([centres, centres + rng.normal(size=centres.shape) * 0.33, centres[:60] + rng.normal(size=(60, 48)) * 0.2]).astype(np.float32)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in eg.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), 0.95).collect()}
+    want = brute(rows, 0.95)
+    assert got == want and 50 < sum(n > 0 for n, _, _ in want.values()) < 290
+
+
+def test_nothing_is_shuffled_per_pair_of_intervals(spark, monkeypatch):
+    """The comparison reads its intervals where they are stored."""
+    monkeypatch.setattr(eg, "INTERVAL", 16)
+    plans, stored = {}, eg.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(eg, "stored", noted)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(200)]
+    eg.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert "Exchange" not in plans["found"] and "CartesianProduct" in plans["found"]
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in eg.near_vectors(df).collect())
