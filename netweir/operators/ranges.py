@@ -30,13 +30,24 @@ V4_BITS = 96
 NONE = -1
 
 
-def _cleaned(prefixes: DataFrame, attributes: list[str]) -> DataFrame:
-    """One row per prefix: bits after the length cleared, the greatest attributes of equal ones."""
+def _valid(prefixes: DataFrame, attributes: list[str]) -> DataFrame:
+    """hi, lo, plen, value of the rows that are prefixes, bits after the length cleared."""
     hi, lo = words(F.col("prefix"))
     rows = prefixes.select(hi.alias("hi"), lo.alias("lo"), F.col("plen").cast("int").alias("plen"), F.struct(*attributes).alias("value"))
     rows = rows.where(F.col("hi").isNotNull() & F.col("plen").between(0, 128))
-    rows = rows.withColumns({"hi": F.col("hi").bitwiseAND(_keep_column(F.col("plen"))), "lo": F.col("lo").bitwiseAND(_keep_column(F.col("plen") - 64))})
-    return rows.groupBy("hi", "lo", "plen").agg(F.max("value").alias("value"))
+    return rows.withColumns({"hi": F.col("hi").bitwiseAND(_keep_column(F.col("plen"))), "lo": F.col("lo").bitwiseAND(_keep_column(F.col("plen") - 64))})
+
+
+def _coded(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """hi, lo, plen, code: one row per prefix, with the greatest value of equal ones.
+
+    Codes rise with the values, so the greatest code is the greatest value's: a number, which is
+    added up by hash where text would be sorted. Values too large to send are not put on every row.
+    """
+    key = ["hi", "lo", "plen"]
+    if fits_broadcast(values):
+        return rows.join(F.broadcast(values), "value").groupBy(*key).agg(F.max("code").alias("code"))
+    return rows.groupBy(*key).agg(F.max("value").alias("value")).join(values, "value").select(*key, "code")
 
 
 def _by_family(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,17 +163,17 @@ class RangeTable:
         """Flatten tables of rows ``prefix`` (16 bytes), ``plen`` and attributes, by name.
 
         ``store`` writes a table and reads it back; codes are given once, when ``values`` is
-        written, so without a store the inputs have to be stable.
+        written. The tables are read twice, for values and for prefixes, and have to be stable.
         """
         names, values, longs, shorts = list(tables), {}, [], []
         spark = next(iter(tables.values()))[0].sparkSession
         for name, (prefixes, attributes) in tables.items():
-            rows = store(_cleaned(prefixes, attributes), f"{name}-prefixes")
+            rows = _valid(prefixes, attributes)
             # As many rows as there are different answers: an order over them is small.
             distinct = rows.select("value").distinct()
             codes = distinct.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
             values[name] = store(codes.select("code", "value"), f"{name}-values")
-            long, short = _by_family(rows.join(F.broadcast(values[name]) if fits_broadcast(values[name]) else values[name], "value"))
+            long, short = _by_family(store(_coded(rows, values[name]), f"{name}-prefixes"))
             longs.append(long.withColumn("name", F.lit(name)))
             shorts.append(short.withColumn("name", F.lit(name)))
         long, short = store(reduce(DataFrame.unionByName, longs), "long"), store(reduce(DataFrame.unionByName, shorts), "short")
@@ -181,13 +192,18 @@ class RangeTable:
 
     def lookup(self, facts: DataFrame, ip: str, out: str) -> DataFrame:
         """Add ``out``: a struct of one struct of attributes per table (NULL where none covers
-        ``ip``). A table beyond the limit resolves each distinct address by a sorted merge with
-        the ranges of its bucket; that needs a batch."""
+        ``ip``)."""
+        return self.lookup_ends(facts, {ip: out})
+
+    def lookup_ends(self, facts: DataFrame, ends: dict[str, str]) -> DataFrame:
+        """``lookup`` of several addresses of a row: ``ends`` names the output of each. A table
+        beyond the limit resolves each distinct address once, whichever ends it is at, by a
+        sorted merge with the ranges of its bucket; that needs a batch."""
         if self.packed is None:
             if facts.isStreaming:
                 raise ValueError("a stream needs a range table within the packed size")
-            return self._merge(facts, ip, out)
-        return facts.withColumn(out, self._udf(facts.sparkSession)(F.col(ip)))
+            return self._merge(facts, ends)
+        return facts.withColumns({out: self._udf(facts.sparkSession)(F.col(ip)) for ip, out in ends.items()})
 
     def _type(self) -> str:
         return "struct<" + ",".join(f"{n}:{v.schema['value'].dataType.simpleString()}" for n, v in self.values.items()) + ">"
@@ -201,19 +217,37 @@ class RangeTable:
 
         return find
 
-    def _merge(self, facts: DataFrame, ip: str, out: str) -> DataFrame:
+    def _merge(self, facts: DataFrame, ends: dict[str, str]) -> DataFrame:
         family = F.when(F.substring("first", 1, 12) == F.lit(MAPPED), 4).otherwise(6)
         lead = F.when(F.col("family") == 4, F.substring("first", 13, 2)).otherwise(F.substring("first", 1, 2))
-        asked = facts.where(F.octet_length(ip) == 16).select(F.col(ip).alias("first")).distinct().withColumn("family", family)
-        asked = asked.select("family", "first", F.lit(1).alias("kind"), F.lit(None).cast("array<int>").alias("codes"))
+        asked = reduce(DataFrame.unionAll, [facts.where(F.octet_length(ip) == 16).select(F.col(ip).alias("first")) for ip in ends])
+        asked = asked.distinct().withColumn("family", family).select("family", "first", F.lit(1).alias("kind"), F.lit(None).cast("array<int>").alias("codes"))
         ranges = self.ranges.where("not closes").select("family", "first", F.lit(0).alias("kind"), "codes")
         both = asked.unionByName(ranges).withColumn("lead", lead)
         order = Window.partitionBy("family", "lead").orderBy("first", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        found = both.withColumn("codes", F.last("codes", ignorenulls=True).over(order)).where("kind = 1").select(F.col("first").alias(ip), "codes")
+        found = both.withColumn("codes", F.last("codes", ignorenulls=True).over(order)).where("kind = 1")
+        found = found.select("first", *[F.get("codes", F.lit(k)).alias(f"code_{k}") for k in range(len(self.values))])
+        # Facts that move carry codes; small values join them where they are in the end.
+        small = {name for name, table in self.values.items() if fits_broadcast(table)}
+        late = []
         for k, (name, table) in enumerate(self.values.items()):
-            found = found.join(table.select(F.col("code").alias("_code"), F.col("value").alias(f"_{name}")), F.get("codes", F.lit(k)) == F.col("_code"), "left").drop("_code")
-        answer = F.struct(*[F.col(f"_{n}").alias(n) for n in self.values]).alias(out)
-        return facts.join(found.select(ip, answer), ip, "left")
+            if name not in small:
+                found = found.join(table.select(F.col("code").alias(f"code_{k}"), F.col("value").alias(f"value_{k}")), f"code_{k}", "left").drop(f"code_{k}")
+        for ip, out in ends.items():
+            kept = [F.col(c).alias(f"{out}_{c}") for c in found.columns if c != "first"]
+            facts = facts.join(found.select(F.col("first").alias(ip), *kept), ip, "left")
+        for out in ends.values():
+            for k, (name, table) in enumerate(self.values.items()):
+                if name in small:
+                    sent = F.broadcast(table.select(F.col("code").alias(f"{out}_code_{k}"), F.col("value").alias(f"{out}_value_{k}")))
+                    facts = facts.join(sent, f"{out}_code_{k}", "left")
+                    late.append(f"{out}_code_{k}")
+                late.append(f"{out}_value_{k}")
+        answers = {
+            out: F.when(F.octet_length(ip) == 16, F.struct(*[F.col(f"{out}_value_{k}").alias(name) for k, name in enumerate(self.values)]))
+            for ip, out in ends.items()
+        }
+        return facts.withColumns(answers).drop(*late)
 
 
 @dataclass(frozen=True)

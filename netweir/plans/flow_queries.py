@@ -318,7 +318,7 @@ def wide_table(spark, sf):
 
 
 def wide_lookup(flows, table):
-    found = table.lookup(table.lookup(flows, "src_ip", "_src"), "dst_ip", "_dst")
+    found = table.lookup_ends(flows, {"src_ip": "_src", "dst_ip": "_dst"})
     return found.withColumns({f"{s}_{c}": F.col(f"_{s}.geo.{c}") for s in ("src", "dst") for c in ("country", "city")}).drop("_src", "_dst")
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from netweir.operators import ranges
 from netweir.plans import flow_queries as fq
 from netweir.plans import stream_queries as sq
 from netweir.operators.ranges import MAPPED, RangeTable, sweep
@@ -69,6 +70,48 @@ def test_longest_prefix_of_several_tables(spark, max_bytes):
         assert (tuple(hit.geo) if hit and hit.geo else None, tuple(hit.site) if hit and hit.site else None) == (plain(geo, a), plain(sites, a)), a
 
 
+def test_flows_move_with_codes(spark, sf_dir, monkeypatch):
+    """The text of the answers joins flows after their last move, not before it."""
+    whole, want = fq.wide_table, fq.enrich_wide_table(spark, sf_dir).collect()
+    monkeypatch.setattr(fq, "wide_table", lambda s, d: replace(whole(s, d), packed=None))
+    merged = fq.enrich_wide_table(spark, sf_dir)
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, want)) and len(want) > 100
+    joins = [line for line in merged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert ["broadcast" in line for line in joins] == [True, True, False, False]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_several_ends_at_once(spark, monkeypatch, large):
+    """Merged, with values that may be sent and with values that may not, as packed."""
+    if large:
+        monkeypatch.setattr(ranges, "fits_broadcast", lambda df: False)
+    geo, sites = prefixes(4, 60), [r[:3] for r in prefixes(5, 20)]
+    given = {"geo": (spark.createDataFrame(geo, SCHEMA), ["country", "city"]), "site": (spark.createDataFrame(sites, "prefix binary, plen int, name string"), ["name"])}
+    asked = addresses(geo, 6)
+    facts = spark.createDataFrame([(i, a, asked[-i]) for i, a in enumerate(asked)], "id int, a binary, b binary")
+    found = []
+    for max_bytes in (1 << 30, 0):
+        out = RangeTable.of(given, max_bytes=max_bytes).lookup_ends(facts, {"a": "x", "b": "y"})
+        assert sorted(out.columns) == ["a", "b", "id", "x", "y"]
+        found.append(sorted(tuple(r) for r in out.select("id", *[f"{e}.{f}" for e in "xy" for f in ("geo.country", "geo.city", "site.name")]).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(asked)
+
+
+def test_text_of_equal_prefixes_is_not_sorted(spark):
+    """Equal prefixes are reduced by a number, in a hash table."""
+    seen = []
+
+    def store(df, name):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    rows = prefixes(1, 40) + [(bytes(16), 80, None, "zero"), (bytes(16), 80, "v", "zero2")]
+    table = RangeTable.of({"geo": (spark.createDataFrame(rows, SCHEMA), ["country", "city"])}, store)
+    assert "SortAggregate" not in dict(seen)["geo-prefixes"]
+    hit = table.lookup(spark.createDataFrame([(bytes(16),)], "ip binary"), "ip", "hit").first().hit
+    assert tuple(hit.geo) == max(r[2:] for r in rows if r[0] == bytes(16) and r[1] == 80 and r[2])
+
+
 def test_sweep():
     assert sweep([], -1, 0, 16) == [(0, -1)]
     assert sweep([(0, 16, 1)], -1, 0, 16) == [(0, 1)]
