@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweir.operators.joins import PrefixTable, fits_broadcast, longest_prefix, lookup_left, with_words
+from netweir.operators.joins import BROADCAST_BYTES, PrefixTable, fits_broadcast, longest_prefix, lookup_left, measured_bytes, with_words
 
 
 SIDES = ("src", "dst")
+#: Interfaces whose index agrees but for so many bits are looked up as one row.
+BLOCK_BITS = 6
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,10 @@ def enrich_interfaces(
     known = interface.join(device.select("mgmt_ip"), "mgmt_ip", "left_semi")
     if broadcast is None:
         broadcast = fits_broadcast(known)
+    if not broadcast:
+        packed = _in_blocks(known)
+        if packed is not None:
+            return _from_blocks(flows, *packed)
     result = flows
     for side in ("in_if", "out_if"):
         dim = known.select(
@@ -75,6 +81,46 @@ def enrich_interfaces(
     return result
 
 
+def _in_blocks(known: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame] | None:
+    """Interfaces as one row per exporter and block of indexes (index and code of each), and the
+    values by code. None if an index comes twice, or if either is too large to be sent.
+
+    Interfaces are many, but names and speeds are few, so the codes take a fraction of the text.
+    """
+    rows = known.select(
+        F.col("mgmt_ip").alias("exporter_ip"), F.col("snmp_index").cast("long").alias("index"),
+        F.struct(_or(F.col("name"), "").alias("name"), _or(F.col("speed"), 0).cast("long").alias("speed")).alias("_if"),
+    ).where(F.col("exporter_ip").isNotNull() & F.col("index").isNotNull())
+    distinct = rows.select("_if").distinct()
+    if not fits_broadcast(distinct, max_bytes):
+        return None
+    values = distinct.withColumn("code", F.row_number().over(Window.orderBy("_if")))
+    entries = F.collect_list(F.struct("index", "code")).alias("_entries")
+    blocks = rows.join(F.broadcast(values), "_if").groupBy("exporter_ip", F.shiftright("index", BLOCK_BITS).alias("_block")).agg(entries)
+    twice = F.size(F.array_distinct("_entries.index")) < F.size("_entries")
+    size = blocks.agg(F.sum(64 + 16 * F.size("_entries")).alias("bytes"), F.max(twice).alias("twice")).first()
+    return None if size["twice"] or (size["bytes"] or 0) > max_bytes else (blocks, values)
+
+
+def _entry_of(side: str) -> Column:
+    # A higher-order function is not compiled into the stage: what is before and after it are
+    # compiled methods of their own, which stay below HotSpot's limit.
+    return F.get(F.filter("_entries", lambda entry: entry["index"] == F.col(side)), F.lit(0))
+
+
+def _from_blocks(flows: DataFrame, blocks: DataFrame, values: DataFrame) -> DataFrame:
+    """Both interfaces of a flow by their codes; the flows do not move."""
+    result = flows
+    for side in ("in_if", "out_if"):
+        result = result.withColumn("_block", F.shiftright(F.col(side).cast("long"), BLOCK_BITS))
+        result = lookup_left(result, blocks, ["exporter_ip", "_block"], broadcast=True)
+        result = result.withColumn("code", _entry_of(side)["code"]).drop("_entries", "_block")
+        result = lookup_left(result, values, ["code"], broadcast=True).withColumns(
+            {f"{side}_{c}": F.coalesce(F.col(f"_if.{c}"), F.col(f"{side}_{c}")) for c in ("name", "speed")}
+        ).drop("_if", "code")
+    return result
+
+
 def enrich_geo(flows: DataFrame, geo: PrefixTable, strategy: str = "auto", sides: tuple[str, ...] = SIDES) -> DataFrame:
     """Country and city of the ends; overwritten by '' where nothing covers the address."""
     result = flows

@@ -1,8 +1,9 @@
 """Lookup cases of the flow enrichment."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from netweir.operators.enrich import Dimensions, enrich
+from netweir.operators.enrich import Dimensions, enrich, enrich_interfaces
 from netweir.operators.joins import PrefixTable
 from netweir.sources.flows import skip_undecoded, to_canonical
 from netweir.schema import FLOW_COLUMNS
@@ -103,3 +104,29 @@ def test_unknown_codes_become_unknown(spark):
 def test_undecoded_messages_are_skipped(spark):
     decoded = spark.sql("SELECT 1 AS offset, named_struct('bytes', 5L) AS flow UNION ALL SELECT 2, NULL")
     assert [tuple(r) for r in skip_undecoded(decoded).collect()] == [(1, 5)]
+
+
+def interface_cases(spark, repeated):
+    device = spark.range(40).select(F.col("id").alias("mgmt_ip"), F.concat(F.lit("r"), "id").alias("name"), F.lit("s").alias("site"), F.lit("g").alias("region"), F.lit("e").alias("role"))
+    index = F.explode(F.expr("array(-3L, 0L, 1L, 63L, 64L, 200L, 4294967295L, NULL)"))
+    interface = spark.range(45).select(F.when(F.col("id") > 0, F.col("id")).alias("mgmt_ip"), index.alias("snmp_index")).select(
+        "mgmt_ip", "snmp_index", F.when(F.col("snmp_index") != 63, F.concat(F.lit("Eth"), F.col("snmp_index") % 5)).alias("name"), (F.col("mgmt_ip") % 3).alias("speed")
+    )
+    if repeated:
+        interface = interface.unionByName(interface.where("mgmt_ip = 7"))
+    wire = spark.range(50 * 9).select(
+        (F.col("id") % 50).alias("exporter_ip"), F.expr("element_at(array(-3L, 0L, 1L, 2L, 63L, 64L, 65L, 200L, 4294967295L), cast(id % 9 as int) + 1)").alias("in_if"),
+        F.expr("element_at(array(4294967295L, 64L, 5L, 0L), cast(id % 4 as int) + 1)").alias("out_if"), F.lit("own").alias("in_if_name"),
+    )
+    return to_canonical(wire), device, interface
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_interfaces_too_large_to_send_give_the_same_rows(spark, repeated):
+    """By codes in blocks of indexes, where each index comes once; else by joins as before."""
+    flows, device, interface = interface_cases(spark, repeated)
+    columns = ["exporter_ip", "in_if", "out_if", "in_if_name", "in_if_speed", "out_if_name", "out_if_speed"]
+    found = [sorted(map(tuple, enrich_interfaces(flows, device, interface, sent).select(*columns).collect())) for sent in (True, False)]
+    assert found[0] == found[1] and (len(found[0]) > 450 if repeated else len(found[0]) == 450)
+    plan = enrich_interfaces(flows, device, interface, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_salt" in plan) == repeated
