@@ -176,7 +176,8 @@ class RangeTable:
             long, short = _by_family(store(_coded(rows, values[name]), f"{name}-prefixes"))
             longs.append(long.withColumn("name", F.lit(name)))
             shorts.append(short.withColumn("name", F.lit(name)))
-        long, short = store(reduce(DataFrame.unionByName, longs), "long"), store(reduce(DataFrame.unionByName, shorts), "short")
+        # The long prefixes are read off the stored ones; the short ones, a row a bucket, are kept.
+        long, short = reduce(DataFrame.unionByName, longs), store(reduce(DataFrame.unionByName, shorts), "short")
         used = long.select("family", "bucket").distinct()
         # A short prefix has no length here; zeros, because pandas has no missing whole numbers.
         within = short.join(used, ["family", "bucket"], "left_semi").withColumns({"hi": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "plen": F.lit(NONE)})

@@ -164,11 +164,14 @@ def enrich_batches(dimensions: RefreshingDimensions, path: str) -> Callable[[Dat
     return sink
 
 
-def ranged_batches(table, look, path: str) -> Callable[[DataFrame, int], None]:
+def ranged_batches(table, look, path: str, decode=lambda wire: wire) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: ``look(batch, table)`` with a ``RangeTable`` of any size, written to the
-    batch's folder. A packed table is searched in place; a larger one is merged with the batch."""
+    batch's folder. A packed table is searched in place; a larger one is merged with the batch.
+
+    ``decode`` makes flows of wire rows here, where the optimizer sees which of their columns are
+    constants: those do not move with the flows that are merged."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        look(batch, table).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        look(decode(batch), table).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return sink
