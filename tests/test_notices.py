@@ -130,3 +130,38 @@ def test_a_group_has_its_state_once_a_batch():
     assert list(sn.Notices(["g"], STEP, WAIT, EVERY)(("a",), iter([rows]), state)) == []
     assert len(state.updates) == 1 and state.updates[0][5:] == ([10, 11, 12], [1, 0, 0], [300, 900, 900])
     assert state.timers == [11 * STEP * 1000 - 1]
+
+
+@pytest.mark.parametrize("buckets", [1, 4, None])
+def test_groups_in_one_row_of_state(spark, buckets):
+    """Groups that share a state are not taken for each other; a key may be NULL."""
+    rows = [(None if g == 2 else f"g{g}", k + 10_000, changed, 900, k + 10_000) for g in range(6) for k, (changed, _) in firing_steps(g + 40, 60).items()]
+    given = spark.createDataFrame([*rows, ("", 20_000, 0, 900, 20_000)], "g string, k long, changed int, repeat_s long, order long")
+    with sq.keyed_states(spark):
+        got = run_stream(spark, given, 3, lambda s: sn.notice_stream(s.drop("order"), ["g"], STEP, WAIT, EVERY, STEP, buckets))
+        found = sorted((str(r.g), r.notify_at, r.reason) for r in got.where("g is null or g != ''").collect())
+    want = [
+        (str(None if g == 2 else f"g{g}"), dt.datetime(1970, 1, 1) + dt.timedelta(seconds=10_000 * STEP + at), why)
+        for g in range(6) for at, why in plain({k: (c, 900) for k, (c, _) in firing_steps(g + 40, 60).items()})
+    ]
+    assert found == sorted(want)
+
+
+def test_python_is_called_once_a_bucket():
+    """However many groups: one state, one timer, the earliest of all."""
+
+    class State:
+        exists, updates, timers = False, [], []
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, row):
+            self.updates.append(row)
+
+        def setTimeoutTimestamp(self, ms):
+            self.timers.append(ms)
+
+    state, rows = State(), pd.DataFrame({"g": ["a", "b", "c"], "k": [12, 10, 11], "changed": [1, 1, 1], "repeat_s": [900] * 3})
+    assert list(sn.BucketNotices(sn.Notices(["g"], STEP, WAIT, EVERY))(iter([rows]), state)) == []
+    assert len(state.updates) == 1 and state.timers == [11 * STEP * 1000 - 1]
