@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweir.operators import rollup
+from netweir.operators.enrich import enrich
 from netweir.plans import views as v
 from netweir.schema import HOUR_KEYS, MINUTE_KEYS
 from netweir.sources import tables
@@ -164,3 +165,16 @@ def test_month_tables_expire_and_compact(spark, flows, tmp_path):
     left = spark.read.parquet(path)
     assert left.count() == hours.where(F.col("hour") > F.lit(as_of - dt.timedelta(days=days))).count()
     assert months[-1] in {str(r[0]) for r in left.select("event_month").distinct().collect()}
+
+
+@pytest.mark.parametrize("rolled", [rollup.rollup_1m, rollup.rollup_1h])
+def test_rollups_with_interfaces_too_many_to_send(spark, sf_dir, rolled):
+    """The aggregation is the only move of the flows."""
+    flows = v.flows(spark, sf_dir)
+    small, large = v.dimensions(spark, sf_dir), v.dimensions(spark, sf_dir)
+    large.sizes["interface"] = False
+    out = rolled(enrich(flows, large))
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert len(joins) > 5 and all("broadcast" in line for line in joins)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(out.collect(), key=key) == sorted(rolled(enrich(flows, small)).collect(), key=key)
